@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.words import SPACES, chunked, mixed, signed, split, utf8
+from tessera.llm.bitmaps import bit_map, in_map
+from tessera.llm.words import chunked, mixed, signed, split, utf8
 from tessera.plans.staging import staged
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
-#: Bits of the map of contexts (1 MB).
-MAP_BITS = 1 << 23
 #: Longest candidate token, and how much text around a span is read for its words.
 LONGEST, AROUND = 128, 160
 
@@ -181,23 +180,6 @@ def extract(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"uid long, doc_id long, code long, {_FOUND}")
 
 
-def bit_map(keys: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """A map of ``bits`` bits in which those of ``keys(key)`` are set; at most bits/64
-    rows come to the driver, however many keys there are."""
-    place = F.pmod("key", F.lit(bits))
-    rows = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, int(pmod(key, {bits}) & 63)))").alias("mask"))
-    words = np.zeros(bits // 64, np.int64)
-    found = rows.toPandas()
-    words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
-    return words
-
-
-def in_map(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Of unsigned keys whether the map may hold them."""
-    place = np.mod(signed(keys), len(words) * 64)
-    return (words[place >> 6] >> (place & 63)) & 1 == 1
-
-
 def occurrences(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """``key, n``: how often each mapped context occurs around any word (or span)."""
     sent = docs.sparkSession.sparkContext.broadcast(words)

@@ -114,7 +114,7 @@ def split(data: np.ndarray, offsets: np.ndarray, letters: bool) -> Words:
     return Words(flat, start, end, first, mixed(code))
 
 
-_PLACES = np.random.default_rng(20232).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACES = np.random.default_rng(20232).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(code: np.ndarray, n: int) -> np.ndarray:
@@ -124,7 +124,7 @@ def shingles(code: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(len(code) - n + 1, np.uint64)
     for j in range(n):
-        out += code[j : len(code) - n + 1 + j] * _PLACES[j]
+        out += code[j : len(code) - n + 1 + j] * PLACES[j]
     return mixed(out + np.uint64(n))
 
 
