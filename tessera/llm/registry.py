@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontam, langid, pii, sharding, token_files
+from tessera.llm import bpe, chat, decontam, langid, near_dup, pii, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op4_near_duplicates": near_dup.op4_near_duplicates,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_chat_format": chat.op6_chat_format,
         "op7_language_id": langid.op7_language_id,
