@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontam, embed_dup, langid, near_dup, pii, sharding, token_files
+from tessera.llm import bpe, chat, class_lm, decontam, embed_dup, langid, near_dup, pii, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op2_class_lm": class_lm.op2_class_lm,
         "op3_embedding_dedup": embed_dup.op3_embedding_dedup,
         "op4_near_duplicates": near_dup.op4_near_duplicates,
         "op5_byte_bpe": bpe.op5_byte_bpe,
