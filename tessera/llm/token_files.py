@@ -136,8 +136,14 @@ class TokenReader:
 class WordEncoder:
     """The tokenizers library behind a memory of words.
 
-    Text is cut at ASCII white space, which the tokenizer drops; each piece's ids
-    are those it has within the text. Strings of special tokens are plain text."""
+    Text is cut at ASCII white space, which the tokenizer drops; each piece's ids are
+    those it has within the text. The tokenizer parts letters from marks, so a piece of
+    letters and then marks is looked up as these two. New words go to the library many
+    at a time, a mark between them. Strings of special tokens are plain text."""
+
+    #: A character that is no letter, whose first byte no letter has.
+    BETWEEN = "\ue000"
+    MARKS = ".,;:!?)]}*&$%#@+=/|\\^~_-"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -145,18 +151,44 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.memory = Memory()
+        self.piece, self.word = Memory(), Memory()
+        self.between = np.asarray(self._ids(self.BETWEEN))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words of letters."""
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = np.asarray(self._ids(f" {self.BETWEEN} ".join(part)), "<u4")
+            cuts = np.flatnonzero(ids == self.between[0])
+            starts = [0, *(cuts + len(self.between)).tolist()]
+            for w, a, b in zip(part, starts, [*cuts.tolist(), len(ids)], strict=True):
+                self.word.known[w] = ids[a:b].tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Of each text its ids as unsigned 32-bit integers."""
         pieces = [t.split() for t in texts]
-        self.memory.turn()
-        known = self.memory.known
-        new = self.memory.missing({p for own in pieces for p in own if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[p] = np.asarray(e.ids, "<u4").tobytes()
+        self.piece.turn()
+        self.word.turn()
+        known, words = self.piece.known, self.word.known
+        parts, odd = {}, []
+        for p in self.piece.missing({p for own in pieces for p in own if p not in known}):
+            text = p.decode()
+            head = text.rstrip(self.MARKS)
+            low = head if "\u03a3" in head else head.lower()  # the lower case of a sigma depends on its place
+            if low.isalpha():
+                parts[p] = (low, text[len(head) :])
+            else:
+                odd.append((p, text))
+        self._learn(self.word.missing({h for h, _ in parts.values() if h not in words}))
+        for tail in {t for _, t in parts.values() if t not in words}:
+            words[tail] = np.asarray(self._ids(tail), "<u4").tobytes()
+        for p, (head, tail) in parts.items():
+            known[p] = words[head] + words[tail]
+        for p, text in odd:
+            known[p] = np.asarray(self._ids(text), "<u4").tobytes()
         for own in pieces:
             yield b"".join([known[p] for p in own])
 
