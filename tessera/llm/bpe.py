@@ -55,14 +55,15 @@ def compile_pattern(pattern: str) -> regex.Pattern:
 
 
 class Memory:
-    """What was found for recent strings: two generations of REMEMBERED each."""
+    """What was found for recent strings: two generations of a given size."""
 
-    def __init__(self):
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
         self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}
 
     def turn(self) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
 
     def missing(self, keys: set[str]) -> list[str]:

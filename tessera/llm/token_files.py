@@ -151,7 +151,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.piece, self.word = Memory(), Memory()
+        self.piece, self.word = Memory(), Memory(600_000)
         self.between = np.asarray(self._ids(self.BETWEEN))
 
     def _ids(self, text: str) -> list[int]:
@@ -178,7 +178,7 @@ class WordEncoder:
             text = p.decode()
             head = text.rstrip(self.MARKS)
             low = head if "\u03a3" in head else head.lower()  # the lower case of a sigma depends on its place
-            if low.isalpha():
+            if head.lower().isalpha():
                 parts[p] = (low, text[len(head) :])
             else:
                 odd.append((p, text))
