@@ -47,7 +47,7 @@ def linear_table() -> list[float]:
 
 
 def to_linear(c: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, linear_table())), c + 1)
+    return F.element_at(F.expr("array(" + ", ".join(f"{v!r}D" for v in linear_table()) + ")"), c + 1)
 
 
 def half_up(c: Column) -> Column:
@@ -55,6 +55,11 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def to_byte(c: Column) -> Column:
     """Linear light -> sRGB byte; not finite or below 0 gives 0."""
     s = F.when(c <= 0.0031308, c * 12.92).otherwise(1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)

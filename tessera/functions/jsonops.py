@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +49,6 @@ def null_payloads_json(c: Column) -> Column:
 
 
 def _json_udf(rule: str):
-    import pandas as pd
-
     def walk(v):
         if isinstance(v, list):
             return [walk(x) for x in v]

@@ -26,8 +26,8 @@ def chroma_mask(pixels: DataFrame, images: DataFrame, key: str = "auto", sidecar
     if not 0 < saturation_ratio <= 1:
         raise ValueError("saturation_ratio must be in (0, 1]")
     keys = keys_of(pixels, images, key, sidecars, border_sample)
-    rows = pixels.join(keys, "image_id")
-    alpha = spill_alpha(*(to_linear(F.col(c)) for c in "rgb"), F.col("kind"), F.col("channel"), F.col("strength"), saturation_ratio)
+    rows = pixels.join(keys, "image_id").withColumns({f"l{c}": to_linear(F.col(c)) for c in "rgb"})
+    alpha = spill_alpha(F.col("lr"), F.col("lg"), F.col("lb"), F.col("kind"), F.col("channel"), F.col("strength"), saturation_ratio)
     masks = rows.select(*KEY, alpha.alias("a"))
     if preserve_interior:
         from tessera.operators.components import preserve_interior as keep

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.color import hex_channel, hex_of, hsv, hue_distance, to_byte, to_linear, topology
+from tessera.functions.color import bound, hex_channel, hex_of, hsv, hue_distance, to_byte, to_linear, topology
 
 KEY = ["image_id", "y", "x"]
 BOX = "struct<x:int,y:int,width:int,height:int>"
@@ -53,8 +53,9 @@ def keys_of(pixels: DataFrame, images: DataFrame, key: str = "auto", sidecars: D
 
         parse_hex(key)
         named = border.withColumn("key", F.lit(key.lower())).withColumn("key_source", F.lit("explicit"))
-    own = topology(*(to_linear(hex_channel(F.col("key"), k)) for k in range(3)))
-    edge = topology(F.col("lr"), F.col("lg"), F.col("lb"))
+    linear = bound(F.col("key"), lambda key: F.struct(*(to_linear(hex_channel(key, k)).alias(c) for k, c in enumerate("rgb"))))
+    own = bound(linear, lambda v: topology(v["r"], v["g"], v["b"]))
+    edge = bound(F.struct("lr", "lg", "lb"), lambda v: topology(v["lr"], v["lg"], v["lb"]))
     named = named.withColumn("t", own).withColumn("e", edge)
     same = (F.col("t.kind") == F.col("e.kind")) & (F.col("t.channel") == F.col("e.channel"))
     strength = F.when(same, F.col("e.strength")).otherwise(F.col("t.strength"))
