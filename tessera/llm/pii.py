@@ -195,7 +195,7 @@ def occurrences(docs: DataFrame, words: np.ndarray) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in chunked(batch.column("text")):
                 w = split(data, offsets, False)
-                h, row = np.concatenate(([0, 0], w.hash, [0])).astype(np.uint64), np.concatenate(([-1, -1], w.row, [-1]))
+                h, row = np.pad(w.hash, (2, 1)), np.concatenate(([-1, -1], w.row, [-1]))
                 same = lambda x, y: row[x:y] == row[2:-1]
                 n = len(h)
                 b1, b2, af = np.where(same(1, n - 2), h[1 : n - 2], 0), np.where(same(0, n - 3), h[: n - 3], 0), np.where(same(3, n), h[3:], 0)
@@ -258,10 +258,15 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["a"], s["b"])), ",")
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    # a lambda with a second parameter would be given the position
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    count = [count_of(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return find_personal_data(docs).select("doc_id", *count, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
