@@ -6,8 +6,10 @@ the word before with the word after. The graph of patterns and instances holds
 seeds and candidates, that is tokens in the shape of an identifier which no seed
 covers. Spark scores it in rounds: a pattern's confidence is the confidence of its
 instances over all its occurrences in the corpus (of whatever word stands there);
-an instance's is that of its best pattern, a seed's is 1. Candidates behind patterns
-with enough different seeds and confidence become spans of kind ``id``.
+an instance's is that of its best pattern, a seed's is 1. Patterns need enough
+different instances trusted before, so candidates found in one round induce patterns
+in the next. Candidates whose instance is trusted in the end become spans of kind
+``id`` wherever they stand.
 
 Patterns, instances and scores stay in tables; what goes to the tasks is a bit map of
 fixed size that tells which contexts need to be counted."""
@@ -211,31 +213,47 @@ def occurrences(docs: DataFrame, words: np.ndarray) -> DataFrame:
     return counted.groupBy("key").agg(F.sum("n").alias("occurs"))
 
 
-def confident_patterns(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """``key, confidence`` of the patterns that name an identifier."""
-    spans = found.select(F.explode("found").alias("f")).select("f.kind", "f.value", F.explode("f.keys").alias("key")).where("key <> 0")
-    edges = spans.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("kind") == 4).alias("open"))
-    edges = staged(edges, "edges")
-    seeds = edges.where("not open").groupBy("key").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("hits")).where(F.col("seeds") >= support)
-    seeds = staged(seeds, "patterns")
-    total = occurrences(docs, bit_map(seeds.select("key")))
-    # a pattern's confidence is at most its share of seeds and candidates
-    held = edges.groupBy("key").agg(F.sum("n").alias("spans"))
-    live = seeds.join(total, "key").join(held, "key").where(F.col("spans") >= confidence * F.col("occurs"))
-    live = staged(live.select("key", "occurs", "spans", "hits"), "live")
-    graph = edges.join(live.select("key", "occurs", "spans"), "key")
-    scored = live.select("key", F.least(F.lit(1.0), F.col("hits") / F.greatest("occurs", "spans")).alias("score"))
-    for _ in range(rounds - 1):
-        near = graph.join(scored, "key")
-        best = near.groupBy("value").agg(F.max(F.when(F.col("open"), F.col("score")).otherwise(1.0)).alias("trust"))
-        scored = graph.join(best, "value").groupBy("key").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("trust")) / F.max(F.greatest("occurs", "spans"))).alias("score"))
-    return scored.where(F.col("score") >= confidence).select("key", F.col("score").alias("confidence"))
-
-
-def added_spans(found: DataFrame, patterns: DataFrame, by: list[str]) -> DataFrame:
-    """The candidates behind a confident pattern, of each row or group of equal rows."""
-    tokens = found.select(*by, F.explode("found").alias("f")).where("f.kind = 4").select(*by, "f.a", "f.b", F.explode("f.keys").alias("key")).where("key <> 0")
-    return tokens.join(patterns, "key").groupBy(*by).agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "a", "b")).alias("added"))
+def trusted_values(docs: DataFrame, found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """``value`` of the instances that are seeds, or stand behind a confident pattern.
+
+    In each round the instances trusted so far, seeds or candidates, induce the patterns
+    that hold ``support`` of them; only new patterns are counted in the corpus. There are
+    ``rounds`` rounds, and more as long as one brings a new pattern or instance."""
+    spans = found.select(F.explode("found").alias("f")).select("f.kind", "f.value", "f.keys")
+    seeds = staged(spans.where("kind < 4").select("value").distinct(), "seeds")
+    edges = staged(spans.select("value", F.explode("keys").alias("key")).where("key <> 0").groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")), "edges")
+    # fewer different instances never make a pattern
+    held = edges.groupBy("key").agg(F.sum("n").alias("spans"), F.count(F.lit(1)).alias("values")).where(F.col("values") >= support)
+    edges = staged(edges.join(held.select("key", "spans"), "key"), "held")
+    seeded = seeds.withColumn("trust", F.lit(1.0))
+    trusted, total, before, turn = seeded, None, -1, 0
+    while True:
+        backed = edges.join(trusted, "value").groupBy("key").agg(F.sum(F.col("n") * F.col("trust")).alias("weight"), F.max("spans").alias("spans"), F.count(F.when(F.col("trust") >= confidence, 1)).alias("backing"))
+        backed = staged(backed.where(F.col("backing") >= support), "patterns")
+        new = staged((backed if total is None else backed.join(total, "key", "left_anti")).select("key"), "new")
+        more = not new.isEmpty()
+        if more:
+            # a key that the corpus never shows between its words counts 0 and isn't asked again
+            counted = new.join(occurrences(docs, bit_map(new)), "key", "left").select("key", F.coalesce("occurs", F.lit(0)).alias("occurs"))
+            counted = staged(counted, "occurrences")
+            total = counted if total is None else total.union(counted)
+        if total is None:
+            return seeds
+        # a pattern's confidence is at most its share of seeds and candidates
+        live = backed.join(total.where("occurs > 0"), "key").where(F.col("spans") >= confidence * F.col("occurs"))
+        scored = live.select("key", F.least(F.lit(1.0), F.col("weight") / F.greatest("occurs", "spans")).alias("score"))
+        best = edges.join(scored, "key").groupBy("value").agg(F.max("score").alias("trust")).join(seeds, "value", "left_anti")
+        trusted = staged(seeded.unionByName(best), "trusted")
+        now, turn = trusted.where(F.col("trust") >= confidence).count(), turn + 1
+        if turn >= rounds and not more and now == before:
+            return trusted.where(F.col("trust") >= confidence).select("value")
+        before = now
+
+
+def added_spans(found: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """The candidates whose instance is trusted, wherever they stand, of each row or group of equal rows."""
+    tokens = found.select(*by, F.explode("found").alias("f")).where("f.kind = 4").select(*by, "f.a", "f.b", "f.value")
+    return tokens.join(values, "value").groupBy(*by).agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "a", "b")).alias("added"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -245,8 +263,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     A null text is empty and has no span; null or repeated doc_ids and repeated rows
     stay as they are; other columns are ignored. Offsets count code points."""
     found = staged(extract(docs), "found")
-    patterns = confident_patterns(docs, found)
-    added = added_spans(found, patterns, ["uid"])
+    added = added_spans(found, trusted_values(docs, found), ["uid"])
     base = F.transform(F.filter("found", lambda f: f["kind"] < 4), lambda f: F.struct(f["kind"].alias("kind"), f["a"].alias("a"), f["b"].alias("b")))
     rows = found.select("uid", "doc_id", F.array_sort(base).alias("base"))
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))
@@ -279,8 +296,7 @@ def mask(docs: DataFrame) -> DataFrame:
     if their table is below its limit, and else shuffles both."""
     code, more = "__pii_code", "__pii_added"
     found = staged(extract(docs), "found")
-    patterns = confident_patterns(docs, found)
-    added = added_spans(found, patterns, ["doc_id", "code"])
+    added = added_spans(found, trusted_values(docs, found), ["doc_id", "code"])
     added = staged(added.select(F.col("doc_id").alias("__pii_id"), F.col("code").alias("__pii_key"), F.col("added").alias(more)), "added")
     schema, names = docs.schema, docs.columns
     lengths = "n_chars" in names

@@ -143,6 +143,23 @@ def test_patterns_find_unseen_identifiers(spark):
     assert all(len(rows[2000 + i]["spans"]) == 0 for i in range(8))
 
 
+def test_found_identifiers_induce_patterns_and_are_marked_elsewhere(spark):
+    rows = [row(i, f"{prose(i, 12)} contact me under user{i}@mail{i}.example for more {prose(i + 500, 12)}") for i in range(60)]
+    rows += [row(900 + i, f"{prose(i + 900, 12)} contact me under ZX{i}-99{i}7 for more {prose(i + 1900, 12)}") for i in range(8)]
+    # the same ones in a second context, others in that context alone, and in a third one that only those share
+    rows += [row(1000 + i, f"{prose(i + 1000, 12)} badge shown was ZX{i}-99{i}7 at noon {prose(i + 2900, 12)}") for i in range(8)]
+    rows += [row(1100 + i, f"{prose(i + 1100, 12)} badge shown was QY{i}-55{i}3 at noon {prose(i + 3900, 12)}") for i in range(4)]
+    rows += [row(1200 + i, f"{prose(i + 1200, 12)} parcel left for QY{i}-55{i}3 by hand {prose(i + 4900, 12)}") for i in range(4)]
+    rows += [row(1300, f"{prose(1300, 12)} parcel left for WV8-1234 by hand {prose(5900, 12)}")]
+    rows += [row(1400 + i, f"{prose(i + 1400, 12)} ZX{i}-99{i}7 {prose(i + 6900, 12)}") for i in range(8)]
+    clean = [row(2000 + i, f"{prose(i + 4000, 40)} AB{i}-77{i}1 {prose(i + 5000, 20)}") for i in range(8)]
+    frame = spark.createDataFrame(rows + clean, DOCS)
+    got = {r["doc_id"]: len(r["spans"]) for r in pii.find_personal_data(frame).collect()}
+    assert {i: n for i, n in got.items() if n != (i < 2000)} == {}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(frame).collect()}
+    assert {i for i, t in masked.items() if "[ID]" in t} == {r[0] for r in rows[60:]}
+
+
 def test_masking_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([row(i, t) for i, t in EDGE], DOCS)
     out = pii.mask(docs)
