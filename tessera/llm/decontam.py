@@ -1,10 +1,11 @@
-"""Operator 1: benchmark decontamination by rare seeds and local alignment.
+"""Operator 1: benchmark decontamination by seeds and local alignment.
 
 Runs of ``SEED_WORDS`` words that occur in a benchmark item are looked up in the
-corpus. Those that are rare there, and in each stretch of an item the rarest that
-occurs at all (so an item that a large part of the corpus repeats has seeds too),
-join documents to items. Each pair is scored by a Smith-Waterman alignment of the
-item's words with the document around the seeds; the score is the alignment's, as
+corpus; all of them, rare or not, join documents to items: an alignment of enough
+score may hang on a single shared run, and in a large group of copies the rarest runs
+are those that edits break. Each pair is scored by a Smith-Waterman alignment of the
+item's words with the document around the seeds, unless too few of the item's words
+occur there for any alignment; the score is the alignment's, as
 a share of the item's words, so edited copies count as well as exact ones.
 
 Tasks get a bit map of fixed size of the benchmark's runs, not the runs themselves;
@@ -24,10 +25,6 @@ from tessera.llm.words import Words, PLACES, chunked, lowered, mixed, signed, sp
 from tessera.plans.staging import staged
 
 SEED_WORDS = 3
-#: Item positions among which the rarest run is always a seed.
-STRETCH = 6
-#: A run is rare if it occurs at most so often for each document of the corpus, or RARE_COUNT times.
-RARE_SHARE, RARE_COUNT = 0.001, 20
 #: Least share of an item's words that the best alignment has to score.
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 1, -1, -1
@@ -121,12 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     grams = staged(_item_runs(items), "item_runs")
     hits = staged(_document_runs(docs, bit_map(grams.select("key"))), "document_runs")
-    often = hits.join(grams.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    limit = max(RARE_COUNT, RARE_SHARE * docs.select(F.count(F.lit(1))).first()[0])
-    counted = staged(grams.join(often, "key"), "counted").withColumn("stretch", F.expr(f"item_at div {STRETCH}"))
-    rarest = counted.groupBy("item_id", "stretch").agg(F.min("n").alias("least"))
-    seeds = counted.join(rarest, ["item_id", "stretch"]).where((F.col("n") <= limit) | (F.col("n") == F.col("least"))).select("key", "item_id", "item_at")
-    pairs = hits.join(seeds, "key").groupBy("code", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
+    pairs = hits.join(grams, "key").groupBy("code", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
     pairs = staged(pairs, "pairs")
     wanted = docs.sparkSession.sparkContext.broadcast(bit_map(pairs.select(F.col("code").alias("key"))))
 
@@ -144,6 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
                 for x in found:
                     item, best = _one(x["item"]), (0, 0, 0)
                     for a, b in windows(x["diagonals"], len(item), len(words)):
+                        if np.isin(item, words[a:b]).sum() * MATCH < least * MATCH * len(item):
+                            continue  # no alignment has more matches
                         score, end = aligned(item, words[a:b])
                         best = max(best, (score, -a, a + end))
                     if best[0] >= least * MATCH * len(item):
