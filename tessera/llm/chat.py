@@ -2,12 +2,10 @@ r"""Operator 6: chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example: all turns before it as context, and its
 reply as the only trainable text. The examples of a conversation are prefixes of
-one formatted text, so they are kept as a prefix chain: the row of an example has
-the text that it adds to the example before it (``piece``), where the piece starts
-(``prefix_chars``), and the span of its reply. Example k's text is the pieces 0..k
-joined; :func:`expanded` makes it. The chain grows with the turns, where written-out
-prefixes grow with their square. Turns after the last assistant turn are a last
-piece without a reply (``trainable`` false), so nothing of a conversation is lost.
+one formatted text, whose pieces, a turn each, :func:`format_conversations` makes;
+:func:`expanded` writes each example out with its context and the span of its
+reply, and :func:`read_back` reads turns and replies from these texts. Turns after the last assistant turn are a last
+row without a reply (``trainable`` false), so nothing of a conversation is lost.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n``. Escapes in role and text: a
 backslash is doubled, and one is put inside each control string of this and of
@@ -81,39 +79,83 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def expanded(chains: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Written-out examples: ``conv_id, example, text, loss_start, loss_end``, a row
-    per assistant turn. With ``max_chars`` the context starts at the first turn
-    that leaves the example within so many characters (never less than its reply).
+#: Characters of examples in a batch (a longer example is a batch of its own).
+BATCH_CHARS = 1 << 21
 
-    This output has the square of a conversation's size where ``max_chars`` is
-    None; use it on conversations of bounded length."""
-    c, r = chains.alias("c"), chains.where("trainable").alias("r")
-    near = F.lit(True) if max_chars is None else (F.expr("r.prefix_chars + length(r.piece) - c.prefix_chars") <= max_chars) | F.expr("c.position = r.position")
-    pairs = r.join(c, F.expr("c.conv_id <=> r.conv_id and c.position <= r.position") & near)
-    gathered = pairs.groupBy("r.conv_id", "r.example").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c.position", "c.piece"))), lambda x: x["piece"]), "").alias("text"),
-        F.max("r.prefix_chars").alias("at"), F.min("c.prefix_chars").alias("first"), F.max("r.loss_start").alias("s"), F.max("r.loss_end").alias("e"),
-    )
-    shift = F.col("at") - F.col("first")
-    return gathered.select("conv_id", "example", "text", (F.col("s") + shift).alias("loss_start"), (F.col("e") + shift).alias("loss_end"))
+
+def expanded(chains: DataFrame, max_chars: int | None = None, rest: bool = False) -> DataFrame:
+    """Written-out examples: ``conv_id, example, trainable, text, loss_start, loss_end``, a row
+    per assistant turn, with all turns before it as context; with ``rest``, also a row of
+    the turns after the last assistant turn (``trainable`` false). With ``max_chars``
+    the context starts at the first turn that leaves the example within so many
+    characters (never less than its reply).
+
+    The context is pieced together by position as the turns pass by, so a task holds one
+    conversation's pieces and a batch of examples. This output has the square of a
+    conversation's size where ``max_chars`` is None. Rows of a conversation follow each other, in order."""
+    names = ["conv_id", "example", "trainable", "text", "loss_start", "loss_end"]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        key, begun, pieces, after, chars, held = None, False, [], 0, 0, 0
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*done, strict=True)) or [[]] * len(names)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], names)
+
+        def finish() -> None:
+            if rest and after < len(pieces):
+                done.append((key, number, False, "".join(pieces[after:]), 0, 0))
+
+        number = 0
+        for batch in batches:
+            for conv, example, trainable, piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "example", "trainable", "piece", "loss_start", "loss_end")), strict=True):
+                if not begun or conv != key:
+                    if begun:
+                        finish()
+                    begun, key, pieces, after, chars = True, conv, [], 0, 0
+                pieces.append(piece)
+                chars, number = chars + len(piece), example
+                if trainable:
+                    first, before = 0, chars - len(piece)
+                    while max_chars is not None and first < len(pieces) - 1 and before + len(piece) > max_chars:
+                        before -= len(pieces[first])
+                        first += 1
+                    text = "".join(pieces[first:])
+                    done.append((conv, example, True, text, before + a, before + b))
+                    after, number, held = len(pieces), example + 1, held + len(text)
+                    if held >= BATCH_CHARS:
+                        yield out()
+                        held = 0
+        if begun:
+            finish()
+        yield out()
+
+    ordered = chains.select("conv_id", "position", "example", "trainable", "piece", "loss_start", "loss_end").repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "position")
+    return ordered.mapInArrow(run, "conv_id long, example long, trainable boolean, text string, loss_start long, loss_end long")
 
 
-def read_back(chains: DataFrame) -> DataFrame:
-    """Per conversation, from the pieces and their loss spans alone: ``conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars``.
+def read_back(examples: DataFrame) -> DataFrame:
+    """Per conversation, from the texts of its examples (with the rest) and their loss spans
+    alone: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
 
-    The digests are taken in one pass over the pieces in order, so the memory of a
-    task does not depend on how long a conversation is. ``formatted_chars`` counts
-    the chain's characters, that is those of the longest example with what follows it."""
+    The turns of every example are read; those of the last one, and of the rest, are the
+    conversation's. The replies are read by each example's own loss span.
+    ``formatted_chars`` counts the characters of all examples, a turn in each that
+    holds it, and of the rest."""
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, done = None, None, []
-        begun = False
+        key, begun, done = None, False, []
+        turns, rest, loss_chars, loss, chars = [], [], 0, hashlib.sha256(), 0
 
         def finish() -> None:
-            done.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+            whole = hashlib.sha256()
+            for role, text in turns + rest:
+                whole.update(f"{role}\n{text}\n".encode())
+            done.append((key, len(turns) + len(rest), whole.hexdigest(), loss_chars, loss.hexdigest(), chars))
 
         def out() -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -122,33 +164,35 @@ def read_back(chains: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)], columns)
 
         for batch in batches:
-            for conv, piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end")), strict=True):
+            for conv, trainable, text, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "trainable", "text", "loss_start", "loss_end")), strict=True):
                 if not begun or conv != key:
                     if begun:
                         finish()
-                    begun, key, state = True, conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parsed(piece)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                loss = unescaped(piece[a:b])
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += len(piece)
+                    begun, key = True, conv
+                    turns, rest, loss_chars, loss, chars = [], [], 0, hashlib.sha256(), 0
+                # no closing string is left in a role or text
+                read = [parsed(piece) for piece in text.split(CLOSE)[:-1]]
+                chars += len(text)
+                if trainable:
+                    turns, said = read, unescaped(text[a:b])
+                    loss_chars += len(said)
+                    loss.update(said.encode())
+                else:
+                    rest = read
             if done:
                 yield out()
         if begun:
             finish()
             yield out()
 
-    ordered = chains.select("conv_id", "position", "piece", "loss_start", "loss_end").repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "position")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _TURN = re.compile(r"((?:[^\\\n]|\\.)*)\n(.*)", re.S)
 
 
 def parsed(piece: str) -> tuple[str, str]:
-    """Role and text of a formatted turn."""
+    """Role and text of a formatted turn, with its closing string or without."""
     role, text = _TURN.fullmatch(piece.removeprefix(OPEN).removesuffix(CLOSE)).groups()
     return unescaped(role), unescaped(text)
 
@@ -159,4 +203,4 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(rows.unionByName(added)))
+    return read_back(expanded(format_conversations(rows.unionByName(added)), rest=True))
