@@ -7,7 +7,7 @@ its left part starts, the rank of each live pair; the root gives the leftmost
 minimum. A merge changes two or three leaves, each by a walk to the root, so a
 match of n bytes costs O(n log n) also where it is very long.
 
-Matches repeat, so each Python worker remembers the ids of recent ones. The trees of
+Matches repeat, so each task remembers the ids of recent ones. The trees of
 all new matches of up to LONGEST bytes are built and updated together as numpy
 arrays, one merge in each tree at a time; a longer match has a tree of its own."""
 
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import utf8
 
-#: Matches in each of the two generations that a Python worker remembers, and the
-#: most bytes of a match in them.
-REMEMBERED, LONGEST = 300_000, 64
+#: Strings in each of the two generations of what a task remembers, and the most bytes
+#: of a match among them: some 50 MB in all. A task forgets them when it ends.
+REMEMBERED, LONGEST = 120_000, 64
 #: What the vocabulary's own engine takes for white space in the pattern.
 WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -59,22 +59,21 @@ class Memory:
 
     def __init__(self, most: int = REMEMBERED):
         self.most = most
-        self.known: dict[str, object] = {}
-        self.older: dict[str, object] = {}
+        self.known: dict = {}
+        self.older: dict = {}
 
-    def turn(self) -> None:
+    def turn(self) -> dict:
+        """The generation to fill; the one before becomes the older one where it is full."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
+        return self.known
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def missing(self, keys: set) -> list:
         """Those of the keys that neither generation has; older ones become known."""
-        out = []
-        for key in keys:
-            if key in self.older:
-                self.known[key] = self.older[key]
-            else:
-                out.append(key)
-        return out
+        fresh = keys.difference(self.known)
+        again = fresh.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        return list(fresh.difference(again))
 
 
 _ODD = re.compile(r"  |^ | $| [^\S ]|[^\S ] ")
@@ -99,8 +98,6 @@ def chunks(text: str) -> list[str]:
 class BytePairEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, compile_pattern(pattern)
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.decimal = {v: str(v) for v in ranks.values()}
         self.none = max(ranks.values()) + 1  # above any rank: no pair starts here
         self.piece, self.chunk = Memory(), Memory()
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -230,9 +227,8 @@ class BytePairEncoder:
         A match ends before a space between two characters that are no white space, so
         texts are cut there first, and the ids of these chunks are remembered too."""
         cut = [chunks(t) for t in texts]
-        self.chunk.turn()
-        known = self.chunk.known
-        fresh = self.chunk.missing({c for own in cut for c in own[1:] if c not in known})
+        known = self.chunk.turn()
+        fresh = self.chunk.missing(set().union(*(own[1:] for own in cut)))
         found = self.encode_chunks([own[0] for own in cut] + [" " + c for c in fresh])
         long_ = {}
         for c, ids in zip(fresh, found[len(cut) :], strict=True):
@@ -244,9 +240,8 @@ class BytePairEncoder:
     def encode_chunks(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, by the pattern's matches."""
         found = list(map(self.pattern.findall, texts))
-        self.piece.turn()
-        known, new, long_ = self.piece.known, [], {}
-        for piece in self.piece.missing({p for own in found for p in own if p not in known}):
+        known, new, long_ = self.piece.turn(), [], {}
+        for piece in self.piece.missing(set().union(*found)):
             raw = piece.encode()
             if raw in self.ranks:  # a whole token is what its own merges end in
                 known[piece] = np.array([self.ranks[raw]], "<i4").tobytes()
@@ -260,6 +255,15 @@ class BytePairEncoder:
             return [b"".join([known[p] if p in known else long_[p] for p in own]) for own in found]
         return [b"".join([known[p] for p in own]) for own in found]
 
+    def forget(self) -> None:
+        self.piece, self.chunk = Memory(), Memory()
+
+
+class BytePairDecoder:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of = {v: k for k, v in ranks.items()}
+        self.decimal = {v: str(v) for v in ranks.values()}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -268,12 +272,21 @@ _encoders: dict[tuple[str, str], BytePairEncoder] = {}
 
 
 def encoder(path: str, pattern: str) -> BytePairEncoder:
-    """The worker's encoder, with its memory of earlier matches."""
+    """The worker's encoder."""
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = BytePairEncoder(load_ranks(path), pattern)
     return _encoders[path, pattern]
 
 
+_decoders: dict[str, BytePairDecoder] = {}
+
+
+def decoder(path: str) -> BytePairDecoder:
+    if path not in _decoders:
+        _decoders[path] = BytePairDecoder(load_ranks(path))
+    return _decoders[path]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, ids array<int>``, a row per row.
 
@@ -290,18 +303,19 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([doc_ids[lo : lo + 512], ids], ["doc_id", "ids"])
+        tool.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def digests(encoded: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids`` -> ``doc_id, n_tokens, ids_sha256, decoded_sha256``: the ids
     in decimal joined by a space, and the bytes that they decode to."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path, pattern)
+        tool = decoder(path)
         decimal = tool.decimal.__getitem__
         for batch in batches:
             n, a, b = [], [], []

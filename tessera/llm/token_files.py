@@ -26,17 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import Memory
-from tessera.llm.words import utf8
+from tessera.llm.bpe import LONGEST, Memory
+from tessera.llm.words import chunked, utf8
 from tessera.plans.staging import new_path
 
 END_ID = 1
 BLOCK = 1 << 15
+#: Bytes of text that are encoded at a time (a longer text goes alone).
+CHUNK_BYTES = 4 << 20
 _MAGIC = b"TBPACK01"
 _TAIL = struct.Struct("<QQII8s")
 
@@ -46,15 +49,29 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    flags = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
-    return np.packbits(flags.reshape(-1), bitorder="little").tobytes()
+    """The ids in ``bits`` bits each: of 64 ids at a time, ``bits`` words of 64 bits."""
+    rows = -(-len(ids) // 64)
+    wide = np.zeros((rows, 64), np.uint64)
+    wide.reshape(-1)[: len(ids)] = ids
+    wide, words = np.ascontiguousarray(wide.T), np.zeros((bits, rows), np.uint64)
+    for k in range(64):
+        word, shift = divmod(k * bits, 64)
+        words[word] |= wide[k] << np.uint64(shift)
+        if shift + bits > 64:
+            words[word + 1] |= wide[k] >> np.uint64(64 - shift)
+    return words.T.astype("<u8").tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
-    flags = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * bits].reshape(n, bits)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :bits] = flags
-    return np.packbits(wide, axis=1, bitorder="little").reshape(-1).view("<u4")
+    rows = -(-n // 64)
+    words = np.ascontiguousarray(np.frombuffer(data.ljust(rows * bits * 8, b"\0"), "<u8").reshape(rows, bits).T.astype(np.uint64))
+    wide = np.empty((64, rows), np.uint64)
+    for k in range(64):
+        word, shift = divmod(k * bits, 64)
+        wide[k] = words[word] >> np.uint64(shift)
+        if shift + bits > 64:
+            wide[k] |= words[word + 1] << np.uint64(64 - shift)
+    return (wide & np.uint64((1 << bits) - 1)).T.astype("<u4").reshape(-1)[:n]
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -72,12 +89,11 @@ class TokenWriter:
         self.waiting: list[np.ndarray] = []
         self.n_waiting = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if len(ids) and int(ids.max()) >> self.bits:
-            raise ValueError(f"an id needs more than {self.bits} bits")
-        self.docs.append(doc_id or 0)
-        self.nulls.append(doc_id is None)
-        self.starts.append(self.starts[-1] + len(ids))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: list[int]) -> None:
+        """Documents, the ids of all of them, and how many each has."""
+        self.docs += [x or 0 for x in doc_ids]
+        self.nulls += [x is None for x in doc_ids]
+        self.starts += (self.starts[-1] + np.cumsum(lengths)).tolist()
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         if self.n_waiting >= 8 * self.block:
@@ -85,6 +101,8 @@ class TokenWriter:
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.waiting) if self.waiting else np.empty(0, np.uint32)
+        if len(ids) and int(ids.max()) >> self.bits:
+            raise ValueError(f"an id needs more than {self.bits} bits")
         upto = len(ids) if last else len(ids) // self.block * self.block
         for at in range(0, upto, self.block):
             self.offsets.append(self.offsets[-1] + self.file.write(pack(ids[at : min(at + self.block, upto)], self.bits)))
@@ -139,10 +157,9 @@ class WordEncoder:
     Text is cut at ASCII white space, which the tokenizer drops; each piece's ids are
     those it has within the text. The tokenizer parts letters from marks, so a piece of
     letters and then marks is looked up as these two. New words go to the library many
-    at a time, a mark between them. Strings of special tokens are plain text."""
+    at a time; the last token of a word says that it ends there. Strings of special
+    tokens are plain text."""
 
-    #: A character that is no letter, whose first byte no letter has.
-    BETWEEN = "\ue000"
     MARKS = ".,;:!?)]}*&$%#@+=/|\\^~_-"
 
     def __init__(self, path: str):
@@ -151,46 +168,66 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.piece, self.word = Memory(), Memory(600_000)
-        self.between = np.asarray(self._ids(self.BETWEEN))
+        self.piece, self.word = Memory(), Memory()
+        self.ends = np.zeros(self.vocabulary, bool)
+        self.ends[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of words of letters."""
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            ids = np.asarray(self._ids(f" {self.BETWEEN} ".join(part)), "<u4")
-            cuts = np.flatnonzero(ids == self.between[0])
-            starts = [0, *(cuts + len(self.between)).tolist()]
-            for w, a, b in zip(part, starts, [*cuts.tolist(), len(ids)], strict=True):
-                self.word.known[w] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Of each text its ids as unsigned 32-bit integers."""
-        pieces = [t.split() for t in texts]
-        self.piece.turn()
-        self.word.turn()
-        known, words = self.piece.known, self.word.known
-        parts, odd = {}, []
-        for p in self.piece.missing({p for own in pieces for p in own if p not in known}):
-            text = p.decode()
-            head = text.rstrip(self.MARKS)
-            low = head if "\u03a3" in head else head.lower()  # the lower case of a sigma depends on its place
-            if head.lower().isalpha():
-                parts[p] = (low, text[len(head) :])
+            ids = self._ids(" ".join(part))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.word.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:  # the normal form of a letter is not always one letter
+                self.word.known.update((w, self._ids(w).tobytes()) for w in part)
+
+    def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after the other, and how many each has."""
+        small = pc.ascii_lower(texts)
+        if (np.frombuffer(texts.buffers()[2] or b"", np.uint8) == 0xCC).any():
+            # a capital letter before a combining mark isn't always composed as the small one is
+            small = pc.if_else(pc.match_substring_regex(texts, "[\u0300-\u033f]"), texts, small)
+        split = pc.ascii_split_whitespace(small)
+        pieces = split.flatten().dictionary_encode()
+        known = self.piece.turn()
+        listed, parts, odd = pieces.dictionary.to_pylist(), [], []
+        fresh = self.piece.missing(set(listed))
+        for p in fresh:
+            head = p.rstrip(self.MARKS)
+            low = head if head.isascii() else head.lower()
+            if low.isalpha():
+                # the lower case of a sigma depends on its place
+                parts.append((p, head if "\u03a3" in head else low, p[len(head) :]))
             else:
-                odd.append((p, text))
-        self._learn(self.word.missing({h for h, _ in parts.values() if h not in words}))
-        for tail in {t for _, t in parts.values() if t not in words}:
-            words[tail] = np.asarray(self._ids(tail), "<u4").tobytes()
-        for p, (head, tail) in parts.items():
-            known[p] = words[head] + words[tail]
-        for p, text in odd:
-            known[p] = np.asarray(self._ids(text), "<u4").tobytes()
-        for own in pieces:
-            yield b"".join([known[p] for p in own])
+                odd.append(p)
+        words = self.word.turn()
+        self._learn(self.word.missing({head for _, head, _ in parts}))
+        tails = {tail: self._ids(tail).tobytes() for tail in {tail for *_, tail in parts}}
+        known.update((p, words[head] + tails[tail]) for p, head, tail in parts)
+        known.update((p, self._ids(p).tobytes()) for p in odd)
+        found = list(map(known.__getitem__, listed))
+        for p in [p for p in fresh if len(p) > LONGEST]:
+            del known[p]
+        for w in {head for _, head, _ in parts if len(head) > LONGEST}:
+            del words[w]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = pieces.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        first = np.cumsum(sizes) - sizes
+        ids = flat[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate((np.zeros(1, np.int64), ends))[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return ids, np.diff(cuts)
+
+    def forget(self) -> None:
+        self.piece, self.word = Memory(), Memory()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -215,12 +252,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         number = TaskContext.get().partitionId()
         name = f"{folder}/tokens-{number:06d}-{uuid.uuid4().hex}.tbp"
         for batch in batches:
-            texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
-            for lo in range(0, len(ids), 256):
-                part = [x.encode() for x in texts[lo : lo + 256].to_pylist()]
-                for doc_id, raw in zip(ids[lo : lo + 256], tool.encode(part), strict=True):
-                    writer = writer or TokenWriter(name, bits_for(tool.vocabulary))
-                    writer.add(doc_id, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
+            texts, doc_ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
+            for lo, hi, *_ in chunked(texts, CHUNK_BYTES):
+                ids, n = tool.encode(pa.concat_arrays([texts[lo:hi]]))
+                writer = writer or TokenWriter(name, bits_for(tool.vocabulary))
+                writer.add(doc_ids[lo:hi], np.insert(ids, np.cumsum(n), end_id), (n + 1).tolist())
+        tool.forget()
         if writer:
             n = len(writer.docs)
             yield pa.RecordBatch.from_pydict({"part": [number], "path": [name], "docs": [n], "ids": [writer.close()]})
