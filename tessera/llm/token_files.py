@@ -32,14 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import LONGEST, Memory
 from tessera.llm.words import chunked, utf8
 from tessera.plans.staging import new_path
 
 END_ID = 1
 BLOCK = 1 << 15
 #: Bytes of text that are encoded at a time (a longer text goes alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Words that a task remembers, and words in a call of the library.
+REMEMBERED, GROUP = 250_000, 512
 _MAGIC = b"TBPACK01"
 _TAIL = struct.Struct("<QQII8s")
 
@@ -152,13 +153,14 @@ class TokenReader:
 
 
 class WordEncoder:
-    """The tokenizers library behind a memory of words.
+    """The tokenizers library on the different words of many texts.
 
     Text is cut at ASCII white space, which the tokenizer drops; each piece's ids are
     those it has within the text. The tokenizer parts letters from marks, so a piece of
-    letters and then marks is looked up as these two. New words go to the library many
+    letters and then marks is looked up as these two. Words go to the library many
     at a time; the last token of a word says that it ends there. Strings of special
-    tokens are plain text."""
+    tokens are plain text. Words of the texts before are remembered, ``REMEMBERED`` at most
+    beside those of the last texts."""
 
     MARKS = ".,;:!?)]}*&$%#@+=/|\\^~_-"
 
@@ -168,24 +170,55 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.piece, self.word = Memory(), Memory()
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.forget()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words of letters."""
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            ids = self._ids(" ".join(part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.word.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-            else:  # the normal form of a letter is not always one letter
-                self.word.known.update((w, self._ids(w).tobytes()) for w in part)
+    def _each(self, strings: list[str]) -> list[np.ndarray]:
+        """The ids of each string, on its own."""
+        return [np.concatenate([self._ids(x), np.empty(0, "<u4")]) for x in strings]
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters, one after the other, and how many each has."""
+        flat, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        starts = [*range(0, len(words), GROUP), len(words)]
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words)
+        for k, text in enumerate(pc.binary_join(lists, pa.scalar(" ", words.type)).to_pylist()):
+            ids = self._ids(text)
+            n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(n) != starts[k + 1] - starts[k]:  # the normal form of a letter is not always one letter
+                each = self._each(words[starts[k] : starts[k + 1]].to_pylist())
+                ids, n = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+            flat.append(ids)
+            sizes.append(n)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _strings(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings, few of them repeated, one after the other, and how many each has."""
+        known = pc.index_in(strings, value_set=self.words)
+        new = strings.filter(known.is_null())
+        easy = pc.utf8_is_alpha(new)
+        letters, odd = new.filter(easy), new.filter(pc.invert(easy))
+        flat, sizes = self._letters(letters)
+        each = self._each(odd.to_pylist())
+        words = pa.concat_arrays([self.words, letters, odd])
+        flat = np.concatenate([self.flat, flat, *each])
+        sizes = np.concatenate([self.sizes, sizes, np.array([len(x) for x in each], np.int64)])
+        at = np.empty(len(strings), np.int64)
+        fresh = known.is_null().to_numpy(zero_copy_only=False)
+        at[~fresh] = known.drop_null().to_numpy()
+        easy = easy.to_numpy(zero_copy_only=False)
+        rest = np.where(easy, np.cumsum(easy) - 1, len(letters) + np.cumsum(~easy) - 1)
+        at[fresh] = len(self.words) + rest
+        own_flat, own_sizes = flat[spread(sizes, at)], sizes[at]
+        if len(words) <= REMEMBERED:
+            self.words, self.flat, self.sizes = words, flat, sizes
+        else:
+            self.words, self.flat, self.sizes = strings, own_flat, own_sizes
+        return own_flat, own_sizes
 
     def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after the other, and how many each has."""
@@ -195,39 +228,39 @@ class WordEncoder:
             small = pc.if_else(pc.match_substring_regex(texts, "[\u0300-\u033f]"), texts, small)
         split = pc.ascii_split_whitespace(small)
         pieces = split.flatten().dictionary_encode()
-        known = self.piece.turn()
-        listed, parts, odd = pieces.dictionary.to_pylist(), [], []
-        fresh = self.piece.missing(set(listed))
-        for p in fresh:
-            head = p.rstrip(self.MARKS)
-            low = head if head.isascii() else head.lower()
-            if low.isalpha():
-                # the lower case of a sigma depends on its place
-                parts.append((p, head if "\u03a3" in head else low, p[len(head) :]))
-            else:
-                odd.append(p)
-        words = self.word.turn()
-        self._learn(self.word.missing({head for _, head, _ in parts}))
-        tails = {tail: self._ids(tail).tobytes() for tail in {tail for *_, tail in parts}}
-        known.update((p, words[head] + tails[tail]) for p, head, tail in parts)
-        known.update((p, self._ids(p).tobytes()) for p in odd)
-        found = list(map(known.__getitem__, listed))
-        for p in [p for p in fresh if len(p) > LONGEST]:
-            del known[p]
-        for w in {head for _, head, _ in parts if len(head) > LONGEST}:
-            del words[w]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at = pieces.indices.to_numpy()
-        n = sizes[at]
-        ends = np.cumsum(n)
-        first = np.cumsum(sizes) - sizes
-        ids = flat[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate((np.zeros(1, np.int64), ends))[np.asarray(split.offsets) - split.offsets[0].as_py()]
-        return ids, np.diff(cuts)
+        heads = pc.utf8_rtrim(pieces.dictionary, self.MARKS)
+        # marks alone, and letters with others among them, stay whole
+        heads = pc.if_else(pc.utf8_is_alpha(heads), heads, pieces.dictionary)
+        heads, tails = heads.dictionary_encode(), self._tails(pieces.dictionary, heads).dictionary_encode()
+        flat, sizes = self._strings(pa.concat_arrays([heads.dictionary, tails.dictionary]))
+        head, tail = heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)
+        # of each piece, its head and its tail; of each token of a text, its piece
+        both = np.stack((head, tail), axis=1)
+        at = both[pieces.indices.to_numpy()].reshape(-1)
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes[at])))
+        cuts = ends[2 * (np.asarray(split.offsets) - split.offsets[0].as_py())]
+        return flat[spread(sizes, at)], np.diff(cuts)
+
+    @staticmethod
+    def _tails(pieces: pa.Array, heads: pa.Array) -> pa.Array:
+        """What follows the heads in the pieces."""
+        ends = np.cumsum(np.asarray(pc.binary_length(pieces)))
+        n = np.asarray(pc.binary_length(pieces)) - np.asarray(pc.binary_length(heads))
+        data = np.frombuffer(pa.concat_arrays([pieces]).buffers()[2] or b"", np.uint8)
+        offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        at = np.repeat(ends - offsets[1:], n) + np.arange(offsets[-1])
+        return pa.Array.from_buffers(pa.large_string(), len(pieces), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[at])])
 
     def forget(self) -> None:
-        self.piece, self.word = Memory(), Memory()
+        self.words, self.flat, self.sizes = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.empty(0, np.int64)
+
+
+def spread(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the items of lists ``at``, where lists of such sizes follow each other."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    first = np.cumsum(sizes) - sizes
+    return np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _encoders: dict[str, WordEncoder] = {}
