@@ -40,7 +40,7 @@ FREQUENT, SHAPES, CLASSES, SWEEPS = 1024, 512, 64, 8
 #: Share of the bigram estimate in a transition, and the discount of a word's count.
 BIGRAM, DISCOUNT = 0.95, 0.75
 #: Bytes of text in a block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 #: The hash that stands for the end of a text; its class is the last one.
 END = np.uint64(0x5EED0E0D)
 #: In a block, a word below this share of the tokens isn't proposed as a frequent one.
@@ -82,15 +82,27 @@ class Block:
     NAMES = ["block", "doc_ids", "held", "sizes", "places", "words", "shapes", "counts"]
 
     def __init__(self, batch: pa.RecordBatch | pa.Table, row: int = 0):
-        raw = {n: batch.column(n)[row] for n in self.NAMES}
-        self.block, self.doc_ids = raw["block"].as_py(), raw["doc_ids"].values
-        self.held = np.asarray(raw["held"].values)
-        self.sizes = raw["sizes"].values.to_numpy()
+        """From a row of some of the columns."""
+        raw = {n: batch.column(n)[row] for n in batch.schema.names}
         of = lambda n, kind: np.frombuffer(raw[n].as_buffer(), kind)
-        self.places, self.words = of("places", "<u4"), of("words", "<u8")
-        self.shapes, self.counts = of("shapes", "<u2").astype(np.int64), of("counts", "<i8")
-        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.train = np.repeat(~self.held, self.sizes)
+        if "block" in raw:
+            self.block = raw["block"].as_py()
+        if "doc_ids" in raw:
+            self.doc_ids = raw["doc_ids"].values
+        if "sizes" in raw:
+            self.held, self.sizes = np.asarray(raw["held"].values), raw["sizes"].values.to_numpy()
+            self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+            self.places = of("places", "<u4")
+        if "shapes" in raw:
+            self.shapes = of("shapes", "<u2").astype(np.int64)
+        if "counts" in raw:
+            self.counts = of("counts", "<i8")
+        self.words = of("words", "<u8")
+
+    @property
+    def train(self) -> np.ndarray:
+        """Whether each token is of a training text."""
+        return np.repeat(~self.held, self.sizes)
 
     def before(self, kind: np.ndarray, end: int) -> np.ndarray:
         """Of each token the kind of the one before it, an end where it is a text's first."""
@@ -101,8 +113,9 @@ class Block:
 
 def _packed(number: int, parts: list) -> pa.RecordBatch:
     code, shape, sizes, ids, held = zip(*parts, strict=True)
-    code, shape, sizes, held = np.concatenate(code), np.concatenate(shape), np.concatenate(sizes), np.concatenate(held)
-    words, at, place = np.unique(code, return_index=True, return_inverse=True)
+    shape, sizes, held = np.concatenate(shape), np.concatenate(sizes), np.concatenate(held)
+    parts.clear()
+    words, at, place = np.unique(np.concatenate(code), return_index=True, return_inverse=True)
     order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # small places for frequent words
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
@@ -126,7 +139,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             ids, held = batch.column("doc_id"), np.asarray(batch.column("held_out"))
             for lo, hi, data, offsets in chunked(batch.column("text")):
                 code, shape, first = tokens(data, offsets)
-                parts.append((code, shape, np.diff(first), ids[lo:hi], held[lo:hi]))
+                parts.append((code, shape.astype(np.uint16), np.diff(first), ids[lo:hi], held[lo:hi]))
                 size += len(data)
                 if size >= block_bytes:
                     yield _packed(number, parts)
@@ -137,15 +150,15 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, Block.SCHEMA)
 
 
-def _each_block(blocks: DataFrame, of, schema: str, columns: list[str]) -> DataFrame:
-    """``of`` a block its columns, as rows."""
+def _each_block(blocks: DataFrame, of, needs: str, schema: str, columns: list[str]) -> DataFrame:
+    """``of`` a block its columns, as rows; it ``needs`` some of the block's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in of(Block(batch, k))], columns)
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.select(*needs.split()).mapInArrow(run, schema)
 
 
 def type_of(code: np.ndarray, shape: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -161,7 +174,7 @@ def _frequent(blocks: DataFrame) -> np.ndarray:
         keep = (b.counts >= max(1, LEAST_SHARE * b.counts.sum())) & (b.words != END)
         return signed(b.words[keep]), b.counts[keep]
 
-    top = _each_block(blocks, some, "word long, n long", ["word", "n"]).groupBy("word").agg(F.sum("n").alias("n"))
+    top = _each_block(blocks, some, "words counts", "word long, n long", ["word", "n"]).groupBy("word").agg(F.sum("n").alias("n"))
     rows = top.orderBy(F.desc("n"), "word").select("word").limit(FREQUENT).collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
@@ -192,7 +205,7 @@ def _type_pairs(blocks: DataFrame, frequent: np.ndarray) -> np.ndarray:
                 counts += np.bincount(pair, minlength=types * types)
         yield _pair_rows(counts, types)
 
-    return _table(blocks.mapInArrow(run, "a int, b int, n long"), types)
+    return _table(blocks.select("held", "sizes", "places", "words", "shapes").mapInArrow(run, "a int, b int, n long"), types)
 
 
 def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -272,9 +285,9 @@ def _neighbours(blocks: DataFrame, frequent: np.ndarray, class_of: np.ndarray) -
 
     def of(b: Block) -> tuple:
         kind = type_of(b.words, b.shapes, frequent)
-        own = class_of[kind]
+        own = class_of[kind].astype(np.int32)
         fixed = (kind < len(frequent)) | (b.words == END)
-        at = b.places.astype(np.int64)
+        at = b.places.astype(np.int32 if len(b.words) < 1 << 24 else np.int64)
         cls = own[at]
         free = b.train & ~fixed[at]
         left, right = b.before(cls, CLASSES - 1), np.concatenate((cls[1:], [0]))
@@ -292,7 +305,7 @@ def _neighbours(blocks: DataFrame, frequent: np.ndarray, class_of: np.ndarray) -
         near = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(entries.tobytes())])
         return signed(np.ascontiguousarray(b.words[some])), b.counts[some], near
 
-    return _each_block(blocks, of, "word long, n long, near binary", ["word", "n", "near"])
+    return _each_block(blocks, of, "held sizes places words shapes counts", "word long, n long, near binary", ["word", "n", "near"])
 
 
 def _classes(near: DataFrame, frequent: np.ndarray, class_of: np.ndarray, table: np.ndarray) -> DataFrame:
@@ -353,10 +366,10 @@ def _classed(blocks: DataFrame, words: DataFrame, parts: int, frequent: np.ndarr
             out.append(pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], names))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
 
-    listed = _each_block(blocks.select(*Block.NAMES), lambda b: (np.full(len(b.words), b.block), np.arange(len(b.words), dtype=np.int32), signed(b.words)), "block long, at int, word long", ["block", "at", "word"])
+    listed = _each_block(blocks, lambda b: (np.full(len(b.words), b.block), np.arange(len(b.words), dtype=np.int32), signed(b.words)), "block words", "block long, at int, word long", ["block", "at", "word"])
     told = listed.join(words, "word").select("block", "at", "n", "class").repartition(parts, "block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, seen double, classes binary"
-    return blocks.repartition(parts, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(of, schema)
+    return blocks.drop("counts").repartition(parts, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(of, schema)
 
 
 def _tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
