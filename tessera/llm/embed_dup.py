@@ -7,10 +7,12 @@ ones in few. Pairs that collide in at least ``collisions()`` of the ``COUNTED``
 projections, a bound that a pair at the threshold misses with probability ``MISSED``,
 are verified by their cosine.
 
-One projection alone leaves a fixed share of all pairs in each window, so windows
-are opened within cells: each of ``TABLES`` tables cuts ``DEPTH`` further projections
-in steps of ``STEP`` at a random shift, and only vectors with the same label and
-the same steps are compared. Equal vectors are one node with a count. Large cells are cut
+A window of one projection holds a fixed share of all vectors (``share_of_window()``, some
+three in ten at 0.93), so windows over whole labels would count a number of pairs that
+grows with the square of the label. Therefore windows are opened within cells: each of
+``TABLES`` tables cuts ``DEPTH`` further projections in steps of ``STEP`` at a random shift,
+and only vectors with the same label and the same steps are compared. ``cell_recall()`` is
+the probability that a pair at the threshold shares a cell. Equal vectors are one node with a count. Large cells are cut
 into blocks of at most ``BLOCK`` vectors, and each pair of blocks is a task of its own
 size. A pair is counted only in the first table where it shares a cell, and a
 block sends back counts and a forest of its links, never its pairs."""
@@ -30,7 +32,7 @@ from tessera.plans.components import connected_components
 from tessera.plans.staging import staged
 
 COSINE = 0.93
-TABLES, DEPTH, STEP = 32, 16, 2.6
+TABLES, DEPTH, STEP = 48, 16, 2.6
 COUNTED, MISSED = 48, 1e-4
 BLOCK = 512
 SEED = 30303
@@ -55,6 +57,24 @@ def collisions(cosine: float = COSINE, counted: int = COUNTED, missed: float = M
     return half, least
 
 
+def share_of_window(cosine: float = COSINE) -> float:
+    """Share of unrelated unit vectors in a window of one projection."""
+    return math.erf(collisions(cosine)[0] / 2)
+
+
+def cell_recall(cosine: float = COSINE) -> float:
+    """Probability that a pair of unit vectors with this cosine shares a cell of a table.
+
+    Two values at a normal distance of deviation ``d`` fall into one step at a random shift
+    with the mean of ``1 - |distance| / STEP``, as far as that is positive."""
+    d = distance(cosine)
+    if d == 0:
+        return 1.0
+    z = STEP / d
+    same = math.erf(z / math.sqrt(2)) - math.sqrt(2 / math.pi) / z * (1 - math.exp(-z * z / 2))
+    return 1 - (1 - same**DEPTH) ** TABLES
+
+
 class Projections:
     """Directions and shifts for one dimension of vectors."""
 
@@ -192,23 +212,22 @@ def near_vectors(vectors: DataFrame, least_cosine: float = COSINE) -> DataFrame:
     apart by label and vector for links and share the component; equal vectors count
     as different vectors that are linked. No rows give no rows; other columns are ignored.
 
-    A pair at the threshold shares a cell with probability above 0.99, a closer one
-    with more (see the README for measured recall)."""
+    A pair at the threshold is found with probability ``cell_recall() * (1 - MISSED)``, above
+    0.999, a closer one with more; the README has measured figures."""
     kind = vectors.schema["embedding"].dataType.simpleString()
     kind = kind if kind == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("vec"))
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound & F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.lit(False)))
     rows = rows.withColumn("code", F.when(F.col("sound"), F.sha2(F.to_json("vec"), 256)))
-    nodes = rows.where("sound").groupBy("label", "code").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
-    nodes = staged(nodes, "nodes")
-    # a label's node: one vec_id may stand for several vectors
-    cells = staged(_cells(nodes.select("label", F.xxhash64("label", "code").alias("node"), "vec")), "cells")
+    # a node is a label's different vector: one vec_id may stand for several
+    nodes = rows.where("sound").groupBy("label", "code").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
+    nodes = staged(nodes.withColumn("node", F.xxhash64("label", "code")), "nodes")
+    cells = staged(_cells(nodes.select("label", "node", "vec")), "cells")
     counted = cells.groupBy("label", "place", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})"))
     # a block is a slice of a cell by hash: about BLOCK vectors, however large the cell
     kept = cells.join(counted, ["label", "place", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    vec = nodes.select(F.xxhash64("label", "code").alias("key"), "node", "weight", "vec")
-    kept = kept.withColumnRenamed("node", "key").join(vec, "key")
+    kept = kept.join(nodes.select("node", "weight", "vec"), "node")
     where = ["label", "place", "cell"]
 
     def packed(rows: DataFrame) -> DataFrame:
@@ -222,12 +241,18 @@ def near_vectors(vectors: DataFrame, least_cosine: float = COSINE) -> DataFrame:
     )
     found = staged(_links(pairs, least_cosine), "found")
     counts = found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
-    parts = connected_components(found.where("n = 0").select("u", "v"))
-    own = nodes.select("label", "code", "node", "weight").join(counts, "node", "left").join(parts, "node", "left")
-    own = own.select("label", "code", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
+    # nodes that rows of one vec_id stand for have one component
+    named = rows.where("sound").select("vec_id", F.xxhash64("label", "code").alias("node")).distinct()
+    shared = named.groupBy("vec_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).where("u < w").select("vec_id", "u")
+    links = found.where("n = 0").select("u", "v").union(named.join(shared, "vec_id").where("u <> node").select("u", F.col("node").alias("v")))
+    parts = staged(connected_components(links), "parts")
+    own = nodes.select("label", "code", "node", "vec_id", "weight").join(counts, "node", "left").join(parts, "node", "left")
+    own = staged(own.select("label", "code", "vec_id", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "linked")
+    least = own.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    own = own.join(least, "component").select("label", "code", "weight", "links", "component_id")
     out = rows.select("vec_id", "label", "code").join(own, ["label", "code"], "left")
     out = out.select(
-        "vec_id", F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
+        "vec_id", F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
