@@ -40,7 +40,7 @@ FREQUENT, SHAPES, CLASSES, SWEEPS = 1024, 512, 64, 8
 #: Share of the bigram estimate in a transition, and the discount of a word's count.
 BIGRAM, DISCOUNT = 0.95, 0.75
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 14 << 20
 #: The hash that stands for the end of a text; its class is the last one.
 END = np.uint64(0x5EED0E0D)
 #: In a block, a word below this share of the tokens isn't proposed as a frequent one.
@@ -356,7 +356,8 @@ def _classed(blocks: DataFrame, words: DataFrame, parts: int, frequent: np.ndarr
             b = Block(left.combine_chunks(), k)
             n, cls = np.zeros(len(b.words), np.int64), class_of[type_of(b.words, b.shapes, frequent)]
             at = right.column("at").to_numpy()
-            n[at], cls[at] = right.column("n").to_numpy(), right.column("class").to_numpy()
+            told = right.column("told").to_numpy()
+            n[at], cls[at] = told // CLASSES, told % CLASSES
             known = n > 0
             per_word = (known.astype(np.int64), np.log10((n + 1.0) / (n_tokens + n_words + 1)), np.where(known, np.log10(np.where(known, n - DISCOUNT, 1)), 0))
             sums = [np.add.reduceat(x[b.places], b.first[:-1]) for x in per_word]
@@ -367,7 +368,7 @@ def _classed(blocks: DataFrame, words: DataFrame, parts: int, frequent: np.ndarr
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
 
     listed = _each_block(blocks, lambda b: (np.full(len(b.words), b.block), np.arange(len(b.words), dtype=np.int32), signed(b.words)), "block words", "block long, at int, word long", ["block", "at", "word"])
-    told = listed.join(words, "word").select("block", "at", "n", "class").repartition(parts, "block")
+    told = listed.join(words, "word").select("block", "at", (F.col("n") * CLASSES + F.col("class")).alias("told")).repartition(parts, "block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, seen double, classes binary"
     return blocks.drop("counts").repartition(parts, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(of, schema)
 
