@@ -1,10 +1,11 @@
 """Operator 8: personal data by seeds and bootstrapped contexts.
 
-Seeds are the spans of four fixed forms (e-mail, IP address, card, phone). The words
+Seeds are the spans of four fixed forms (e-mail, IP address, card, phone), and tokens in
+the form of a key or secret (``secret``). The words
 around a seed are lexical patterns: the word before it, the two words before it, and
 the word before with the word after. The graph of patterns and instances holds
-seeds and candidates, that is tokens in the shape of an identifier which no seed
-covers. Spark scores it in rounds: a pattern's confidence is the confidence of its
+seeds and candidates, that is tokens of five characters or more with a digit which no
+seed covers. Spark scores it in rounds: a pattern's confidence is the confidence of its
 instances over all its occurrences in the corpus (of whatever word stands there);
 an instance's is that of its best pattern, a seed's is 1. Patterns need enough
 different instances trusted before, so candidates found in one round induce patterns
@@ -29,10 +30,11 @@ from tessera.llm.bitmaps import bit_map, in_map
 from tessera.llm.words import chunked, mixed, signed, split, utf8
 from tessera.plans.staging import staged
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "secret", "id")
+SECRET, CANDIDATE = 4, 5
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.6
-#: Longest candidate token, and how much text around a span is read for its words.
-LONGEST, AROUND = 128, 160
+#: How much text around a span is read for its words at first.
+AROUND = 160
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -40,7 +42,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE_RUN = re.compile(r"\+([0-9][ ().0-9-]+)")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 _TAIL = re.compile(r"[0-9]\S*")
-_EDGE = "\"'`()[]{}<>,.;:!?"
+#: Keys by their form: hexadecimal digests, and the marked formats of well-known services.
+_SECRET = re.compile(
+    r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+){2}"
+)
+_EDGE = "\"'`()[]{}<>,.;:!?#$%&*|=~^"
 _LOCAL = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -84,26 +90,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens of 5 to LONGEST characters with three digits or more, outside of spans."""
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of the tokens of five characters or more with a digit, outside of
+    spans: of kind SECRET by their form, or else CANDIDATE. Marks at their ends aren't part."""
     spans, k = sorted((a, b) for _, a, b in taken), 0
     for m in _TAIL.finditer(text):
-        if m.end() - m.start() > LONGEST:
-            continue
-        start, low = m.start(), max(0, m.start() - LONGEST)
-        while start > low and not text[start - 1].isspace():
+        start, end = m.span()
+        while start > 0 and not text[start - 1].isspace():
             start -= 1
-        end = m.end()
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
+        if end - start < 5:
+            continue
         while k < len(spans) and spans[k][1] <= start:
             k += 1
         if k < len(spans) and spans[k][0] < end:
             continue
-        if 5 <= end - start <= LONGEST and sum(c in "0123456789" for c in text[start:end]) >= 3:
-            yield start, end
+        yield SECRET if _SECRET.fullmatch(text, start, end) else CANDIDATE, start, end
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -123,14 +128,43 @@ def _keys(before2: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[n
     )
 
 
+_BLANK, _BLANKS = " \t\n\x0b\x0c\r", re.compile(r"[ \t-\r]+")
+
+
+def _words_before(text: str, a: int) -> list[str]:
+    """Up to two whole words before a place."""
+    size = AROUND
+    while True:
+        low = max(0, a - size)
+        words = _BLANKS.split(text[low:a])
+        if low == 0 or len(words) > 3:  # the first one may be cut, the last one is empty
+            return [w for w in (words if low == 0 else words[1:]) if w][-2:]
+        size *= 4
+
+
+def _word_after(text: str, b: int) -> list[str]:
+    size = AROUND
+    while True:
+        words = _BLANKS.split(text[b : b + size])
+        if b + size >= len(text) or len(words) > 2:
+            return [w for w in words if w][:1]
+        size *= 4
+
+
 def contexts(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Pattern keys of each span, three to a row; a key is 0 where a word is missing."""
+    """Pattern keys of each span, three to a row; a key is 0 where a word is missing.
+
+    Quotes and other marks around a span count as part of it; where more stands
+    before it in its word, it has no context."""
     words, picks = [], []
     for a, b in spans:
-        left = [w for w in re.split(r"[ \t-\r]+", text[max(0, a - AROUND) : a]) if w][-2:]
-        right = [w for w in re.split(r"[ \t-\r]+", text[b : b + AROUND]) if w][:1]
-        glued = a > 0 and text[a - 1] not in " \t\n\x0b\x0c\r"
-        trailing = b < len(text) and text[b] not in " \t\n\x0b\x0c\r"
+        while a > 0 and text[a - 1] in _EDGE:
+            a -= 1
+        while b < len(text) and text[b] in _EDGE:
+            b += 1
+        left, right = _words_before(text, a), _word_after(text, b)
+        glued = a > 0 and text[a - 1] not in _BLANK
+        trailing = b < len(text) and text[b] not in _BLANK
         pick = [len(words) + i if i >= 0 else -1 for i in (len(left) - 2, len(left) - 1)]
         pick.append(len(words) + len(left) + 1 if right else -1)
         words += [*left, "x", *right]
@@ -152,8 +186,8 @@ _FOUND = "found array<struct<kind:int,a:int,b:int,value:long,keys:array<long>>>"
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``uid, doc_id, code, found``: seeds (kind 0-3) and
-    candidates (kind 4) with their pattern keys, a row per row; code hashes the text."""
+    """``docs(doc_id, text)`` -> ``uid, doc_id, code, found``: seeds (kind 0-4) and
+    candidates (kind 5) with their pattern keys, a row per row; code hashes the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -167,7 +201,7 @@ def extract(docs: DataFrame) -> DataFrame:
                 part = texts[lo : lo + 512].to_pylist()
                 for text in part:
                     base = base_spans(text)
-                    spans = base + [(4, a, b) for a, b in candidates(text, base)]
+                    spans = base + list(candidates(text, base))
                     if not spans:
                         out.append([])
                         continue
@@ -220,7 +254,7 @@ def trusted_values(docs: DataFrame, found: DataFrame, support: int = SUPPORT, co
     that hold ``support`` of them; only new patterns are counted in the corpus. There are
     ``rounds`` rounds, and more as long as one brings a new pattern or instance."""
     spans = found.select(F.explode("found").alias("f")).select("f.kind", "f.value", "f.keys")
-    seeds = staged(spans.where("kind < 4").select("value").distinct(), "seeds")
+    seeds = staged(spans.where(F.col("kind") < CANDIDATE).select("value").distinct(), "seeds")
     edges = staged(spans.select("value", F.explode("keys").alias("key")).where("key <> 0").groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")), "edges")
     # fewer different instances never make a pattern
     held = edges.groupBy("key").agg(F.sum("n").alias("spans"), F.count(F.lit(1)).alias("values")).where(F.col("values") >= support)
@@ -252,8 +286,8 @@ def trusted_values(docs: DataFrame, found: DataFrame, support: int = SUPPORT, co
 
 def added_spans(found: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     """The candidates whose instance is trusted, wherever they stand, of each row or group of equal rows."""
-    tokens = found.select(*by, F.explode("found").alias("f")).where("f.kind = 4").select(*by, "f.a", "f.b", "f.value")
-    return tokens.join(values, "value").groupBy(*by).agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "a", "b")).alias("added"))
+    tokens = found.select(*by, F.explode("found").alias("f")).where(F.col("f.kind") == CANDIDATE).select(*by, "f.a", "f.b", "f.value")
+    return tokens.join(values, "value").groupBy(*by).agg(F.collect_set(F.struct(F.lit(CANDIDATE).alias("kind"), "a", "b")).alias("added"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -264,9 +298,13 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     stay as they are; other columns are ignored. Offsets count code points."""
     found = staged(extract(docs), "found")
     added = added_spans(found, trusted_values(docs, found), ["uid"])
-    base = F.transform(F.filter("found", lambda f: f["kind"] < 4), lambda f: F.struct(f["kind"].alias("kind"), f["a"].alias("a"), f["b"].alias("b")))
-    rows = found.select("uid", "doc_id", F.array_sort(base).alias("base"))
-    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))
+
+    def below(kind: int) -> Column:
+        kept = F.filter("found", lambda f: f["kind"] < kind)
+        return F.array_sort(F.transform(kept, lambda f: F.struct(f["kind"].alias("kind"), f["a"].alias("a"), f["b"].alias("b"))))
+
+    rows = found.select("uid", "doc_id", below(SECRET).alias("base"), below(CANDIDATE).alias("sure"))
+    spans = F.when(F.col("added").isNull(), F.col("sure")).otherwise(F.array_sort(F.concat("sure", "added")))
     return rows.join(added, "uid", "left").select("uid", "doc_id", "base", spans.alias("spans"))
 
 
@@ -305,7 +343,8 @@ def mask(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for text, extra in zip(batch.column("text").to_pylist(), batch.column(more).to_pylist(), strict=True):
-                spans = [] if text is None else base_spans(text) + [(x["kind"], x["a"], x["b"]) for x in extra or ()]
+                base = base_spans(text or "")
+                spans = base + [x for x in candidates(text or "", base) if x[0] == SECRET] + [(x["kind"], x["a"], x["b"]) for x in extra or ()]
                 texts.append(replaced(text, spans))
             columns = {n: batch.column(n) for n in names}
             columns["text"] = pa.array(texts, columns["text"].type)
