@@ -16,38 +16,63 @@ PAYLOAD_KEYS = ("b64_json", "image_b64", "image_base64")
 REDACTED = "[redacted]"
 
 
-def _rewritten(c: Column, kind: T.DataType, hit: Callable[[str], bool], value: Callable[[T.DataType], Column]) -> Column:
-    """The value with fields that are hit replaced, at any depth; null stays null."""
+def _rewritten(c: Column, kind: T.DataType, hit: Callable[[Column], Column], named: Callable[[str], bool], value: Callable[[T.DataType], Column]) -> Column:
+    """The value with fields (and keys of maps) that are hit replaced, at any depth; null stays
+    null. A VARIANT may hold any key, so it can't be rewritten and is refused."""
+    again = lambda x, t: _rewritten(x, t, hit, named, value)
     if isinstance(kind, T.StructType):
-        fields = [(value(f.dataType) if hit(f.name) else _rewritten(c[f.name], f.dataType, hit, value)).alias(f.name) for f in kind.fields]
+        fields = [(value(f.dataType) if named(f.name) else again(c[f.name], f.dataType)).alias(f.name) for f in kind.fields]
         return F.when(c.isNotNull(), F.struct(*fields))
     if isinstance(kind, T.ArrayType):
-        return F.transform(c, lambda x: _rewritten(x, kind.elementType, hit, value))
+        return F.transform(c, lambda x: again(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            return F.transform_values(c, lambda k, v: again(v, kind.valueType))
+        new = value(kind.valueType)
+        if not isinstance(kind.valueType, T.StringType):
+            new = F.lit(None).cast(kind.valueType)
+        return F.transform_values(c, lambda k, v: F.when(hit(k), new).otherwise(again(v, kind.valueType)))
+    if isinstance(kind, T.VariantType):
+        raise ValueError("a VARIANT has to be given a schema before its secrets or payloads can be taken out")
     return c
 
 
 def redact(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Secrets in struct columns replaced by a mark; a secret of any type becomes a string."""
+    """Secrets in struct and map columns, at any depth, replaced by a mark. A secret field of a
+    struct becomes a string whatever its type; in a map whose values are no strings it becomes
+    null, as all values of a map have one type. A VARIANT is an error."""
     mark = lambda kind: F.lit(REDACTED)
-    return df.withColumns({c: _rewritten(F.col(c), df.schema[c].dataType, lambda n: n.lower() in SECRET_KEYS, mark) for c in cols})
+    return df.withColumns({c: _rewritten(F.col(c), df.schema[c].dataType, lambda k: F.lower(k).isin(*SECRET_KEYS), lambda n: n.lower() in SECRET_KEYS, mark) for c in cols})
 
 
 def null_payloads(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Encoded images in struct columns set to null, their place kept."""
-    return df.withColumns({c: _rewritten(F.col(c), df.schema[c].dataType, lambda n: n in PAYLOAD_KEYS, lambda kind: F.lit(None).cast(kind)) for c in cols})
+    """Encoded images in struct and map columns set to null, their place kept; a VARIANT is an error."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return df.withColumns({c: _rewritten(F.col(c), df.schema[c].dataType, lambda k: k.isin(*PAYLOAD_KEYS), lambda n: n in PAYLOAD_KEYS, none) for c in cols})
 
 
 def redact_json(c: Column) -> Column:
-    """Secrets in JSON text of any shape; null stays null, text that is no JSON is an error.
+    """Secrets in JSON text of any shape; null stays null, and text that is no JSON becomes a
+    JSON string that says so, as it might hold anything (see :func:`unreadable`).
 
     Schemas of free-form JSON aren't known, so this is a Python function over batches."""
     return _json_udf("redact")(c)
 
 
 def null_payloads_json(c: Column) -> Column:
+    """Encoded images in JSON text of any shape, as :func:`redact_json`."""
     return _json_udf("payloads")(c)
 
 
+#: What stands for text that is no JSON.
+UNREADABLE = '"[unreadable]"'
+
+
+def unreadable(c: Column) -> Column:
+    """Whether text is there that is no JSON: the rows to look at."""
+    return c.isNotNull() & F.try_parse_json(c).isNull()
+
+
 def _json_udf(rule: str):
     def walk(v):
         if isinstance(v, list):
@@ -58,33 +83,56 @@ def _json_udf(rule: str):
             return {k: None if k in PAYLOAD_KEYS else walk(x) for k, x in v.items()}
         return v
 
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(walk(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return UNREADABLE
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False, separators=(",", ":")))
+        return texts.map(one)
 
     return run
 
 
 def deep_merge(base: Column, patch: Column, kind: T.DataType) -> Column:
-    """Two values of one type, the patch's leaves first; its nulls give nothing. Arrays are joined."""
+    """Two values of one type, the patch's leaves first; its nulls give nothing. Arrays are
+    joined, the patch's elements first, as the merge of settings that users know does it."""
     if isinstance(kind, T.StructType):
         return F.struct(*(deep_merge(base[f.name], patch[f.name], f.dataType).alias(f.name) for f in kind.fields))
     if isinstance(kind, T.ArrayType):
-        return F.when(base.isNotNull() & patch.isNotNull(), F.concat(base, patch)).otherwise(F.coalesce(patch, base))
+        return F.when(base.isNotNull() & patch.isNotNull(), F.concat(patch, base)).otherwise(F.coalesce(patch, base))
     return F.coalesce(patch, base)
 
 
-#: Timeout (ms), retries and retry intervals (s) of each kind of call (fixed values of ours).
-CATEGORIES = ("generate", "edit", "vision", "download")
-
-
 def layer_budgets(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     """``category, timeout, max_retries, retry_intervals``: each leaf of the override if it is
-    valid (timeout above 0, retries not negative, intervals all not negative), else the default's."""
+    valid (timeout above 0, retries not negative, intervals all finite and not negative), else the default's."""
     o = overrides.select("category", F.col("timeout").alias("t"), F.col("max_retries").alias("m"), F.col("retry_intervals").alias("i"))
     rows = defaults.join(o, "category", "left")
     pick = lambda valid, new, old: F.when(F.coalesce(valid, F.lit(False)), F.col(new)).otherwise(F.col(old)).alias(old)
-    return rows.select("category", pick(F.col("t") > 0, "t", "timeout"), pick(F.col("m") >= 0, "m", "max_retries"), pick(F.forall("i", lambda x: x >= 0), "i", "retry_intervals"))
+    return rows.select("category", pick(F.col("t") > 0, "t", "timeout"), pick(F.col("m") >= 0, "m", "max_retries"), pick(F.forall("i", lambda x: (x >= 0) & (x < float("inf")) & ~F.isnan(x)), "i", "retry_intervals"))
+
+
+def mask_defaults(args: DataFrame, section: str = "chroma") -> DataFrame:
+    """Unset arguments of a mask (``key, preserve_interior, border_sample, saturation_ratio``) filled
+    from the row's settings, a struct column (``color`` and the same names but ``key``).
+
+    What the caller gave wins, also false and 0; a blank colour gives no key."""
+    of = lambda name: F.col(f"{section}.{name}")
+    filled = {n: F.coalesce(n, of(n)) for n in ("preserve_interior", "border_sample", "saturation_ratio")}
+    return args.withColumns({"key": F.coalesce(F.col("key"), F.nullif(of("color"), F.lit("")))} | filled)
+
+
+def request_record(requests: DataFrame, params: list[str]) -> DataFrame:
+    """``requests(prompt, n, chroma_color, ...)`` with ``request``, the JSON of the parameters named,
+    prompt and number, and of the key colour only where one was used (not null, not blank).
+    Parameters without a value are left out."""
+    chroma = F.when(F.coalesce("chroma_color", F.lit("")) != "", F.struct(F.col("chroma_color").alias("color")))
+    return requests.withColumn("request", F.to_json(F.struct(*params, "prompt", "n", chroma.alias("chroma"))))
 
 
 def parse_verdicts(responses: DataFrame) -> DataFrame:
