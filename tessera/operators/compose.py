@@ -21,6 +21,16 @@ def same_size(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where(~(F.col("a_width").eqNullSafe(F.col("b_width")) & F.col("a_height").eqNullSafe(F.col("b_height"))))
 
 
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two rasters joined by position. A position that one of them lacks (sizes differ, or an
+    image is missing) is an error when the rows are worked out. Columns but the position differ."""
+    a, b = a.withColumn("__in_a", F.lit(True)), b.withColumn("__in_b", F.lit(True))
+    both = a.join(b, PAIR, "full")
+    missing = F.concat(F.lit("images of different sizes: "), F.col("image_id").cast("string"), F.lit(" at "), F.col("x"), F.lit(","), F.col("y"))
+    whole = F.when(F.col("__in_a") & F.col("__in_b"), True).otherwise(F.raise_error(missing).cast("boolean"))
+    return both.where(whole).drop("__in_a", "__in_b")
+
+
 def chroma_mask(pixels: DataFrame, images: DataFrame, key: str = "auto", sidecars: DataFrame | None = None, preserve_interior: bool = False, border_sample: int = 4, saturation_ratio: float = 0.82) -> tuple[DataFrame, DataFrame]:
     """Masks (``image_id, y, x, a``) that remove each image's key, and statistics."""
     if not 0 < saturation_ratio <= 1:
@@ -42,7 +52,7 @@ def combine(op: str, a: DataFrame, b: DataFrame | None = None, radius: float = 1
     if op in ("union", "intersect", "subtract"):
         if b is None:
             raise ValueError(f"{op} needs two masks")
-        both = a.select(*PAIR, F.col("a").alias("p")).join(b.select(*PAIR, F.col("a").alias("q")), PAIR)
+        both = aligned(a.select(*PAIR, F.col("a").alias("p")), b.select(*PAIR, F.col("a").alias("q")))
         value = {"union": F.greatest("p", "q"), "intersect": F.least("p", "q"), "subtract": F.greatest(F.col("p") - F.col("q"), F.lit(0))}[op]
         return both.select(*PAIR, value.alias("a"))
     if b is not None:
@@ -150,9 +160,9 @@ def over_spec(over: str | DataFrame) -> tuple[str, object]:
 def compose(pixels: DataFrame, masks: DataFrame, over: str | DataFrame = "transparent", remove_bleed: str | None = None) -> DataFrame:
     """Each image cut out by its mask, or laid over a colour or over other images' pixels.
 
-    Images and masks are joined by position; check their sizes with :func:`same_size`."""
+    Images, masks and what is below are joined by position; where sizes differ it is an error."""
     kind, below = over_spec(over)
-    rows = pixels.select(*KEY, "r", "g", "b").join(masks.select(*KEY, F.col("a").alias("m")), KEY)
+    rows = aligned(pixels.select(*KEY, "r", "g", "b"), masks.select(*KEY, F.col("a").alias("m")))
     r, g, b, m = (F.col(c) for c in "rgbm")
     if remove_bleed:
         r, g, b = without_bleed(r, g, b, m, remove_bleed)
@@ -164,7 +174,7 @@ def compose(pixels: DataFrame, masks: DataFrame, over: str | DataFrame = "transp
     if kind == "color":
         under = [F.lit(x) for x in below]
     else:
-        rows = rows.join(below.select(*KEY, *(F.col(c).alias(f"o{c}") for c in "rgb")), KEY)
+        rows = aligned(rows, below.select(*KEY, *(F.col(c).alias(f"o{c}") for c in "rgb")))
         under = [F.col(f"o{c}") for c in "rgb"]
     mixed = [half_up(c * t + u * (1 - t)).cast("int").alias(n) for c, u, n in zip((r, g, b), under, "rgb", strict=True)]
     return rows.select(*KEY, *mixed, F.lit(255).alias("a"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions.color import half_up, parse_hex
 from tessera.operators.compose import dilate
 from tessera.operators.measure import KEY, alpha_boxes
+from tessera.plans.staging import staged
 
-GRAVITIES = ("north", "south", "east", "west", "center", "northeast", "northwest", "southeast", "southwest")
+#: Share of the free width and height that is left of and above an image, by gravity.
+SHARES = {f"{v}{h}" or "center": (x, y) for v, y in (("", 0.5), ("north", 0.0), ("south", 1.0)) for h, x in (("", 0.5), ("west", 0.0), ("east", 1.0))}
+GRAVITIES = tuple(SHARES)
 MAX_TOP = 16384
 
 
@@ -35,24 +38,24 @@ def trim_plan(pixels: DataFrame, margin: float = 0.08, square: bool = False) ->
 
 def trim(pixels: DataFrame, margin: float = 0.08, square: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pixels cropped to their content with a transparent margin, and the plan."""
-    plan = trim_plan(pixels, margin, square)
+    plan = staged(trim_plan(pixels, margin, square), "trim_plan")
     to = plan.where("bbox is not null").select("image_id", "width", "height", (F.col("pad_left") - F.col("bbox.x")).alias("dx"), (F.col("pad_top") - F.col("bbox.y")).alias("dy"))
     moved = pixels.join(plan.where("bbox is not null").select("image_id", "bbox", "pad_left", "pad_top"), "image_id")
     inside = F.col("x").between(F.col("bbox.x"), F.col("bbox.x") + F.col("bbox.width") - 1) & F.col("y").between(F.col("bbox.y"), F.col("bbox.y") + F.col("bbox.height") - 1)
     moved = moved.where(inside).select("image_id", (F.col("y") - F.col("bbox.y") + F.col("pad_top")).alias("y"), (F.col("x") - F.col("bbox.x") + F.col("pad_left")).alias("x"), "r", "g", "b", "a")
-    return _filled(canvas(to).select(*KEY), moved), plan
+    return filled(canvas(to).select(*KEY), moved), plan
 
 
-def _filled(places: DataFrame, pixels: DataFrame) -> DataFrame:
+def filled(places: DataFrame, pixels: DataFrame) -> DataFrame:
     """Pixels on a canvas; where there is none, transparent black."""
     return places.join(pixels, KEY, "left").select(*KEY, *(F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in "rgba"))
 
 
 def anchor(gravity: Column, base_w: Column, base_h: Column, top_w: Column, top_h: Column) -> tuple[Column, Column]:
     """Where the top's corner goes on the base; outside of it where the top is larger."""
-    x = F.when(gravity.isin("west", "northwest", "southwest"), 0).when(gravity.isin("east", "northeast", "southeast"), base_w - top_w).otherwise(half_up((base_w - top_w) / 2))
-    y = F.when(gravity.isin("north", "northeast", "northwest"), 0).when(gravity.isin("south", "southeast", "southwest"), base_h - top_h).otherwise(half_up((base_h - top_h) / 2))
-    return x.cast("int"), y.cast("int")
+    shares = F.create_map(*(F.lit(v) for name, (x, y) in SHARES.items() for v in (name, [x, y])))
+    share = lambda k: F.element_at(F.element_at(shares, gravity), k)
+    return half_up((base_w - top_w) * share(1)).cast("int"), half_up((base_h - top_h) * share(2)).cast("int")
 
 
 def fit_longer(width: Column, height: Column, longer: Column) -> tuple[Column, Column]:
@@ -105,36 +108,69 @@ def source_over(base: DataFrame, top: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.select(*KEY, *map(mixed, "rgb"), half_up(alpha * 255).cast("int").alias("a"))
 
 
+def _cut(length: Column, core: int, margin: int) -> Column:
+    """Of one side: an array of its tiles' number, core and feed, each as start and size. Cores
+    part the side; a feed is the core with a margin, as far as the side goes."""
+    many = F.ceil(length / core).cast("int")
+
+    def one(k: Column) -> Column:
+        start, feed = k * core, F.greatest(F.lit(0), k * core - margin)
+        return F.struct(
+            k.alias("number"), start.alias("core"), F.least(F.lit(core), length - start).alias("core_size"),
+            feed.alias("feed"), (F.least(length, start + core + margin) - feed).alias("feed_size"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), many - 1), one)
+
+
 def plan_tiles(images: DataFrame, tile: int = 256, overlap: int = 32) -> DataFrame:
-    """``image_id, ix, iy, tw, th, fx0, fy0, fw, fh, left_ctx, top_ctx``: tiles whose inner
-    parts make up the image, and what is fed for each (with ``overlap`` around, clamped)."""
-    region = tile - 2 * overlap
-    if overlap < 0 or region < 8:
+    """``image_id, row, col`` of each tile with its core (``core_y, core_x, core_h, core_w``), the
+    part of the image that is its own, and its feed (``feed_y, feed_x, feed_h, feed_w``), the
+    core with up to ``overlap`` pixels around it."""
+    core = tile - 2 * overlap
+    if overlap < 0 or core < 8:
         raise ValueError("a tile must be wider than its overlaps by 8 or more")
-    rows = images.where("width > 0 and height > 0").select("image_id", "width", "height", F.explode(F.expr(f"sequence(0, height - 1, {region})")).alias("iy"))
-    rows = rows.withColumn("ix", F.explode(F.expr(f"sequence(0, width - 1, {region})")))
-    tw, th = F.least(F.lit(region), F.col("width") - F.col("ix")), F.least(F.lit(region), F.col("height") - F.col("iy"))
-    fx0, fy0 = F.greatest(F.lit(0), F.col("ix") - overlap), F.greatest(F.lit(0), F.col("iy") - overlap)
-    fx1, fy1 = F.least("width", F.col("ix") + tw + overlap), F.least("height", F.col("iy") + th + overlap)
-    return rows.select("image_id", "ix", "iy", tw.alias("tw"), th.alias("th"), fx0.alias("fx0"), fy0.alias("fy0"), (fx1 - fx0).alias("fw"), (fy1 - fy0).alias("fh"), (F.col("ix") - fx0).alias("left_ctx"), (F.col("iy") - fy0).alias("top_ctx"))
+    rows = images.where("width > 0 and height > 0")
+    rows = rows.select("image_id", "width", F.explode(_cut(F.col("height"), core, overlap)).alias("v")).withColumn("h", F.explode(_cut(F.col("width"), core, overlap)))
+    side = lambda of, name: [F.col(f"{of}.{c}").cast("int").alias(f"{c.partition('_')[0]}_{name[c]}") for c in ("core", "core_size", "feed", "feed_size")]
+    down, across = {"core": "y", "core_size": "h", "feed": "y", "feed_size": "h"}, {"core": "x", "core_size": "w", "feed": "x", "feed_size": "w"}
+    return rows.select("image_id", F.col("v.number").alias("row"), F.col("h.number").alias("col"), *side("v", down), *side("h", across))
 
 
 def tile_pixels(pixels: DataFrame, tiles: DataFrame, tile: int = 256, overlap: int = 32) -> DataFrame:
-    """Each pixel in every tile that is fed it: ``image_id, ix, iy, ty, tx, r, g, b, a`` with the
-    tile's columns. The tiles of a pixel are worked out, so the join is an equi-join."""
-    region = tile - 2 * overlap
-    reach = lambda c: F.transform(F.sequence(F.floor(F.greatest(F.lit(0), F.col(c) - overlap) / region).cast("int"), F.floor((F.col(c) + overlap) / region).cast("int")), lambda k: k * region)
-    rows = pixels.withColumn("iy", F.explode(reach("y"))).withColumn("ix", F.explode(reach("x")))
-    rows = rows.join(tiles, ["image_id", "ix", "iy"])
-    inside = (F.col("x") >= F.col("fx0")) & (F.col("x") < F.col("fx0") + F.col("fw")) & (F.col("y") >= F.col("fy0")) & (F.col("y") < F.col("fy0") + F.col("fh"))
-    return rows.where(inside).withColumn("ty", F.col("y") - F.col("fy0")).withColumn("tx", F.col("x") - F.col("fx0")).drop("y", "x")
+    """Each pixel in every tile that is fed it: ``image_id, row, col, y, x, r, g, b, a``, positions
+    within the feed, with the tile's columns. A pixel's tiles are worked out, so the join is an equi-join."""
+    core = tile - 2 * overlap
+    near = lambda c: F.sequence(F.floor(F.greatest(F.lit(0), F.col(c) - overlap) / core).cast("int"), F.floor((F.col(c) + overlap) / core).cast("int"))
+    rows = pixels.withColumn("row", F.explode(near("y"))).withColumn("col", F.explode(near("x"))).join(tiles, ["image_id", "row", "col"])
+    y, x = F.col("y") - F.col("feed_y"), F.col("x") - F.col("feed_x")
+    return rows.withColumns({"y": y, "x": x}).where("y >= 0 and y < feed_h and x >= 0 and x < feed_w")
 
 
 def stitch(tiled: DataFrame, scale: int = 1) -> DataFrame:
-    """Whole images from tiles' pixels (``ty, tx`` in the fed part, times ``scale``): the inner parts, each position once."""
-    ty, tx = F.col("ty") - F.col("top_ctx") * scale, F.col("tx") - F.col("left_ctx") * scale
-    rows = tiled.withColumn("u", ty).withColumn("v", tx).where((F.col("u") >= 0) & (F.col("u") < F.col("th") * scale) & (F.col("v") >= 0) & (F.col("v") < F.col("tw") * scale))
-    return rows.select("image_id", (F.col("iy") * scale + F.col("u")).alias("y"), (F.col("ix") * scale + F.col("v")).alias("x"), "r", "g", "b", "a")
+    """Whole images from the pixels of feeds (scaled by ``scale``): the cores, each position once."""
+    y, x = F.col("y") + F.col("feed_y") * scale, F.col("x") + F.col("feed_x") * scale
+    own = lambda c, n: (F.col(c) >= F.col(f"core_{c}") * scale) & (F.col(c) < (F.col(f"core_{c}") + F.col(f"core_{n}")) * scale)
+    return tiled.withColumns({"y": y, "x": x}).where(own("y", "h") & own("x", "w")).select("image_id", "y", "x", "r", "g", "b", "a")
+
+
+def pad_to_multiple(pixels: DataFrame, images: DataFrame, multiple: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Images continued to the right and below to a multiple of a number of pixels, mirrored with
+    the edge repeated, and their new sizes (``image_id, width, height``)."""
+    if multiple < 1:
+        raise ValueError("multiple must be at least 1")
+
+    def copies(c: str, size: str) -> Column:
+        """Places that a pixel has in its row or column: its own, and those that show it in the mirror."""
+        n = F.col(size)
+        full = (F.ceil(n / multiple) * multiple).cast("int")
+        there = F.filter(F.sequence(n, F.greatest(n, full - 1)), lambda k: (k < full) & (F.when(k % (2 * n) < n, k % (2 * n)).otherwise(2 * n - 1 - k % (2 * n)) == F.col(c)))
+        return F.concat(F.array(F.col(c)), there)
+
+    sizes = images.select("image_id", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+    rows = pixels.join(sizes, "image_id").withColumn("x", F.explode(copies("x", "width"))).withColumn("y", F.explode(copies("y", "height")))
+    padded = sizes.select("image_id", *((F.ceil(F.col(c) / multiple) * multiple).cast("int").alias(c) for c in ("width", "height")))
+    return rows.select("image_id", "y", "x", "r", "g", "b", "a"), padded
 
 
 def sheet_plan(sheets: DataFrame, cols: int | None = None, cell: int = 256, gap: int = 16) -> DataFrame:
@@ -159,23 +195,6 @@ def sheet_report(sheets: DataFrame, cols: int | None = None, cell: int = 256, ga
     return counts.join(sizes, "sheet_id", "left")
 
 
-def contact_sheet(pixels: DataFrame, images: DataFrame, sheets: DataFrame, cols: int | None = None, cell: int = 256, gap: int = 16, background: str = "transparent") -> tuple[DataFrame, DataFrame]:
-    """Sheets of images fitted into cells (nearest pixel), and the report; ``image_id`` of the pixels is the sheet's."""
-    plan = sheet_plan(sheets, cols, cell, gap)
-    w, h = fit_longer(F.col("iw"), F.col("ih"), F.lit(cell))
-    sized = plan.join(images.select("image_id", F.col("width").alias("iw"), F.col("height").alias("ih")), "image_id").withColumn("w", w).withColumn("h", h)
-    spots = canvas(sized.select("sheet_id", "image_id", "left", "top", "iw", "ih", "w", "h"), "w", "h")
-    x, y = F.floor(F.col("x") * F.col("iw") / F.col("w")).cast("int"), F.floor(F.col("y") * F.col("ih") / F.col("h")).cast("int")
-    spots = spots.select("sheet_id", "image_id", (F.col("top") + F.floor((cell - F.col("h")) / 2) + F.col("y")).cast("int").alias("sy"), (F.col("left") + F.floor((cell - F.col("w")) / 2) + F.col("x")).cast("int").alias("sx"), y.alias("y"), x.alias("x"))
-    tiles = spots.join(pixels, KEY).select(F.col("sheet_id").alias("image_id"), F.col("sy").alias("y"), F.col("sx").alias("x"), "r", "g", "b", "a")
-    places = canvas(plan.where("place = 0").select(F.col("sheet_id").alias("image_id"), "width", "height")).select(*KEY)
-    if background == "transparent":
-        return _filled(places, tiles), sheet_report(sheets, cols, cell, gap)
-    under, t = parse_hex(background), F.coalesce(F.col("a") / 255, F.lit(0.0))
-    over = places.join(tiles, KEY, "left").select(*KEY, *(half_up(F.coalesce(F.col(c), F.lit(0)) * t + u * (1 - t)).cast("int").alias(c) for c, u in zip("rgb", under, strict=True)), F.lit(255).alias("a"))
-    return over, sheet_report(sheets, cols, cell, gap)
-
-
 def shadow_plan(images: DataFrame, blur: float = 12, offset: tuple[int, int] = (0, 8), spread: int = 0, keep_canvas: bool = False) -> DataFrame:
     """``image_id, pad, canvas_w, canvas_h, subject_x, subject_y, shadow_x, shadow_y``."""
     if not (blur == 0 or 0.3 <= blur <= 1000) or not all(-10000 <= v <= 10000 for v in offset) or not 0 <= spread <= 1024:
@@ -221,6 +240,6 @@ def shadow(pixels: DataFrame, images: DataFrame, blur: float = 12, offset: tuple
     mask = gaussian(mask, blur) if blur > 0 else mask
     cast = mask.join(plan, "image_id").select("image_id", (F.col("y") + F.col("shadow_y")).alias("y"), (F.col("x") + F.col("shadow_x")).alias("x"), *(F.lit(t).alias(c) for t, c in zip(tint, "rgb", strict=True)), "a")
     places = canvas(plan.select("image_id", F.col("canvas_w").alias("width"), F.col("canvas_h").alias("height"))).select(*KEY)
-    below = _filled(places, cast)
+    below = filled(places, cast)
     at = plan.select(F.col("image_id").alias("base_id"), F.col("image_id").alias("top_id"), F.col("subject_x").alias("dest_x"), F.col("subject_y").alias("dest_y"), F.lit("ok").alias("status"))
     return source_over(below, pixels, at)

@@ -30,7 +30,8 @@ def border_means(pixels: DataFrame, images: DataFrame, depth: int = 4) -> DataFr
     rows = pixels.join(images.select("image_id", "width", "height", d.alias("d")), "image_id")
     border = (F.col("y") < F.col("d")) | (F.col("y") >= F.greatest(F.col("d"), F.col("height") - F.col("d")))
     border |= (F.col("x") < F.col("d")) | (F.col("x") >= F.greatest(F.col("d"), F.col("width") - F.col("d")))
-    means = [F.avg(to_linear(F.col(c)).cast("decimal(38,18)")).cast("double").alias(f"l{c}") for c in "rgb"]
+    # linear light is a multiple of 2**-35, so these sums are exact in any order
+    means = [(F.sum((to_linear(F.col(c)) * 2.0**35).cast("long")).cast("double") / F.count(F.lit(1)) / 2.0**35).alias(f"l{c}") for c in "rgb"]
     return rows.where(border).groupBy("image_id").agg(*means)
 
 

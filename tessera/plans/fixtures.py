@@ -1,7 +1,7 @@
 """Rasters derived from the ``part`` table by integer formulas, in Spark and as SQL.
 
-Every part gives one 32x32 image: a red disc (with a hole for every third part) on
-a green ground whose shade varies. The cutout variant has a transparent ground with
+Every part gives one 32x32 image: a purple diamond (with a hole for every third part)
+on a green ground whose shade varies. The cutout variant has a transparent ground with
 speckles and a faint wash. ``matte`` makes 8x8 masks of embeddings."""
 
 from __future__ import annotations
@@ -25,17 +25,16 @@ def pixels(spark: SparkSession, sf_dir: str, cutout: bool = False) -> DataFrame:
     k = F.col("k")
     side = F.sequence(F.lit(0), F.lit(SIDE - 1))
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.explode(side).alias("y")).withColumn("x", F.explode(side))
-    rows = rows.withColumn("dx", F.col("x") - (12 + k * 7 % 9)).withColumn("dy", F.col("y") - (12 + k * 11 % 9))
-    rows = rows.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).withColumn("rr", F.pow(4 + F.col("size") % 7, F.lit(2)).cast("long"))
-    rows = rows.withColumn("n", (F.col("x") * 13 + F.col("y") * 7 + k) % 11 - 5)
-    rows = rows.withColumn("subject", (F.col("r2") < F.col("rr")) & ~((k % 3 == 0) & (F.col("r2") * 4 < F.col("rr"))))
+    far = F.abs(F.col("x") - (11 + k * 5 % 10)) + F.abs(F.col("y") - (11 + k * 3 % 10))
+    rows = rows.withColumn("far", far).withColumn("reach", 5 + F.col("size") % 6).withColumn("n", (F.col("x") * 3 + F.col("y") * 11 + k * 2) % 13 - 6)
+    rows = rows.withColumn("subject", (F.col("far") < F.col("reach")) & ~((k % 3 == 0) & (F.col("far") * 2 < F.col("reach"))))
     if cutout:
-        faint = F.when((F.col("x") * 5 + F.col("y") * 3 + k) % 53 == 0, 3).otherwise(0)
-        alpha = F.when(F.col("subject"), 255).when((F.col("x") * 31 + F.col("y") * 17 + k) % 97 == 0, 200).otherwise(faint)
+        faint = F.when((F.col("x") * 4 + F.col("y") * 9 + k) % 47 == 0, 2).otherwise(0)
+        alpha = F.when(F.col("subject"), 255).when((F.col("x") * 23 + F.col("y") * 29 + k) % 89 == 0, 180).otherwise(faint)
     else:
         alpha = F.lit(255)
-    ground = {"r": 10 + F.col("n"), "g": 200 + F.col("n"), "b": 10 + F.col("n")}
-    subject = {"r": 200, "g": 30, "b": 40}
+    ground = {"r": 24 + F.col("n"), "g": 170 + F.col("n"), "b": 36 - F.col("n")}
+    subject = {"r": 150, "g": 40, "b": 120}
     return rows.select(k.alias("image_id"), "y", "x", *(F.when(F.col("subject"), subject[c]).otherwise(ground[c]).cast("int").alias(c) for c in "rgb"), alpha.cast("int").alias("a"))
 
 
@@ -48,15 +47,14 @@ def matte(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables as common table expressions: spots, px (opaque), cut (cutout).
 PIXELS_SQL = """
-spots AS (SELECT p_partkey AS k, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, (x * 13 + y * 7 + p_partkey) % 11 - 5 AS n,
-  (x - (12 + p_partkey * 7 % 9)) * (x - (12 + p_partkey * 7 % 9)) + (y - (12 + p_partkey * 11 % 9)) * (y - (12 + p_partkey * 11 % 9)) AS r2,
-  (4 + p_size % 7) * (4 + p_size % 7) AS rr FROM part CROSS JOIN range(32) AS ty(y) CROSS JOIN range(32) AS tx(x)),
-marked AS (SELECT *, r2 < rr AND NOT (k % 3 = 0 AND r2 * 4 < rr) AS subject FROM spots),
-px AS (SELECT k AS image_id, y, x, CAST(CASE WHEN subject THEN 200 ELSE 10 + n END AS INTEGER) AS r, CAST(CASE WHEN subject THEN 30 ELSE 200 + n END AS INTEGER) AS g,
-  CAST(CASE WHEN subject THEN 40 ELSE 10 + n END AS INTEGER) AS b, 255 AS a FROM marked),
-cut AS (SELECT k AS image_id, y, x, CAST(CASE WHEN subject THEN 200 ELSE 10 + n END AS INTEGER) AS r, CAST(CASE WHEN subject THEN 30 ELSE 200 + n END AS INTEGER) AS g,
-  CAST(CASE WHEN subject THEN 40 ELSE 10 + n END AS INTEGER) AS b, CASE WHEN subject THEN 255 WHEN (x * 31 + y * 17 + k) % 97 = 0 THEN 200
-  WHEN (x * 5 + y * 3 + k) % 53 = 0 THEN 3 ELSE 0 END AS a FROM marked)"""
+spots AS (SELECT p_partkey AS k, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, (x * 3 + y * 11 + p_partkey * 2) % 13 - 6 AS n,
+  abs(x - (11 + p_partkey * 5 % 10)) + abs(y - (11 + p_partkey * 3 % 10)) AS far, 5 + p_size % 6 AS reach FROM part CROSS JOIN range(32) AS ty(y) CROSS JOIN range(32) AS tx(x)),
+marked AS (SELECT *, far < reach AND NOT (k % 3 = 0 AND far * 2 < reach) AS subject FROM spots),
+px AS (SELECT k AS image_id, y, x, CAST(CASE WHEN subject THEN 150 ELSE 24 + n END AS INTEGER) AS r, CAST(CASE WHEN subject THEN 40 ELSE 170 + n END AS INTEGER) AS g,
+  CAST(CASE WHEN subject THEN 120 ELSE 36 - n END AS INTEGER) AS b, 255 AS a FROM marked),
+cut AS (SELECT k AS image_id, y, x, CAST(CASE WHEN subject THEN 150 ELSE 24 + n END AS INTEGER) AS r, CAST(CASE WHEN subject THEN 40 ELSE 170 + n END AS INTEGER) AS g,
+  CAST(CASE WHEN subject THEN 120 ELSE 36 - n END AS INTEGER) AS b, CASE WHEN subject THEN 255 WHEN (x * 23 + y * 29 + k) % 89 = 0 THEN 180
+  WHEN (x * 4 + y * 9 + k) % 47 = 0 THEN 2 ELSE 0 END AS a FROM marked)"""
 
 
 def digest(df: DataFrame, channels: str = "rgba") -> DataFrame:

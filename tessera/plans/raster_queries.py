@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.color import hsv, linear_table
-from tessera.operators import components, compose, geometry, measure, resample
+from tessera.operators import components, compose, geometry, layers, measure, resample
 from tessera.plans.fixtures import PIXELS_SQL, digest, digest_sql, images, matte, pixels, table
-from tessera.plans.staging import staged
+from tessera.plans.staging import new_path, staged
+from tessera.sources import files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,9 +34,11 @@ def byte_sql(c: str) -> str:
 
 
 LUT_SQL = f"lut AS (SELECT {linear_table()}::DOUBLE[] AS l)"
-BORDER_SQL = """border AS (SELECT image_id, avg(CAST(l[r + 1] AS DECIMAL(38, 18)))::DOUBLE AS lr, avg(CAST(l[g + 1] AS DECIMAL(38, 18)))::DOUBLE AS lg,
-  avg(CAST(l[b + 1] AS DECIMAL(38, 18)))::DOUBLE AS lb FROM px, lut WHERE y < 4 OR y >= 28 OR x < 4 OR x >= 28 GROUP BY image_id),
-named AS (SELECT *, {r} AS kr, {g} AS kg, {b} AS kb FROM border)""".format(r=byte_sql("lr"), g=byte_sql("lg"), b=byte_sql("lb"))
+BORDER_SQL = """border AS (SELECT image_id, {m}
+  FROM {{source}}, lut WHERE y < 4 OR y >= 28 OR x < 4 OR x >= 28 GROUP BY image_id),
+named AS (SELECT *, {r} AS kr, {g} AS kg, {b} AS kb FROM border)""".format(
+    m=", ".join(f"sum(CAST(l[{c} + 1] * 34359738368 AS BIGINT))::DOUBLE / count(*) / 34359738368 AS l{c}" for c in "rgb"), r=byte_sql("lr"), g=byte_sql("lg"), b=byte_sql("lb")
+)
 
 
 def topology_sql(name: str, source: str, r: str, g: str, b: str) -> str:
@@ -45,26 +48,34 @@ def topology_sql(name: str, source: str, r: str, g: str, b: str) -> str:
   CASE kind WHEN 'primary' THEN hi WHEN 'secondary' THEN mid - lo END AS strength FROM {name}_k)"""
 
 
-KEYS_SQL = ",\n".join((
-    LUT_SQL, BORDER_SQL,
-    topology_sql("own", "(SELECT image_id, kr, kg, kb, l[kr + 1] AS lr, l[kg + 1] AS lg, l[kb + 1] AS lb FROM named, lut)", "lr", "lg", "lb"),
-    topology_sql("edge", "border", "lr", "lg", "lb"),
-    """keyed AS (SELECT own.image_id, format('#{:02x}{:02x}{:02x}', kr, kg, kb) AS key, own.kind, own.channel,
+def keys_sql(source: str = "px") -> str:
+    return ",\n".join((
+        LUT_SQL, BORDER_SQL.format(source=source),
+        topology_sql("own", "(SELECT image_id, kr, kg, kb, l[kr + 1] AS lr, l[kg + 1] AS lg, l[kb + 1] AS lb FROM named, lut)", "lr", "lg", "lb"),
+        topology_sql("edge", "border", "lr", "lg", "lb"),
+        """keyed AS (SELECT own.image_id, format('#{:02x}{:02x}{:02x}', kr, kg, kb) AS key, own.kind, own.channel,
   CASE WHEN own.kind = edge.kind AND own.channel = edge.channel THEN edge.strength ELSE own.strength END AS strength FROM own JOIN edge USING (image_id))""",
-))
+    ))
+
+
+KEYS_SQL = keys_sql()
 
 
 def _pick(shift: int) -> str:
     return f"(CASE (channel + {shift}) % 3 WHEN 0 THEN l[r + 1] WHEN 1 THEN l[g + 1] ELSE l[b + 1] END)"
 
 
-MASK_SQL = KEYS_SQL + f""",
-spilled AS (SELECT px.image_id, y, x, kind, strength, CASE WHEN kind = 'primary' THEN {_pick(0)} - greatest({_pick(1)}, {_pick(2)}) ELSE least({_pick(1)}, {_pick(2)}) - {_pick(0)} END AS spill
-  FROM px JOIN keyed USING (image_id), lut),
+def mask_sql(source: str = "px") -> str:
+    return keys_sql(source) + f""",
+spilled AS (SELECT p.image_id, y, x, kind, strength, CASE WHEN kind = 'primary' THEN {_pick(0)} - greatest({_pick(1)}, {_pick(2)}) ELSE least({_pick(1)}, {_pick(2)}) - {_pick(0)} END AS spill
+  FROM {source} p JOIN keyed USING (image_id), lut),
 mask AS (SELECT image_id, y, x, CASE WHEN kind IS NULL OR spill <= 0 THEN 255 WHEN (spill / strength) * CAST({1 / 0.82!r} AS DOUBLE) >= 1 THEN 0
   ELSE CAST(floor((1 - (spill / strength) * CAST({1 / 0.82!r} AS DOUBLE)) * 255 + 0.5) AS INTEGER) END AS a FROM spilled)"""
 
 
+MASK_SQL = mask_sql()
+
+
 def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.chroma_mask(pixels(spark, sf_dir), images(spark, sf_dir))[0]
 
@@ -253,9 +264,9 @@ def _sized(spark, sf_dir):
 SIZED_SQL = "WITH sized AS (SELECT p_partkey AS image_id, CAST(40 + p_size * 13 AS INTEGER) AS width, CAST(30 + p_partkey % 700 AS INTEGER) AS height FROM part)"
 
 
-@query(SIZED_SQL + """, t AS (SELECT *, CAST(i * 192 AS INTEGER) AS ix, CAST(j * 192 AS INTEGER) AS iy FROM sized, range(8) AS a(i), range(8) AS b(j) WHERE i * 192 < width AND j * 192 < height),
-u AS (SELECT *, least(192, width - ix) AS tw, least(192, height - iy) AS th FROM t)
-SELECT image_id, ix, iy, tw, th, greatest(0, ix - 32) AS fx0, greatest(0, iy - 32) AS fy0, least(width, ix + tw + 32) - greatest(0, ix - 32) AS fw, least(height, iy + th + 32) - greatest(0, iy - 32) AS fh, ix - greatest(0, ix - 32) AS left_ctx, iy - greatest(0, iy - 32) AS top_ctx FROM u""")
+@query(SIZED_SQL + """, t AS (SELECT *, i, j, CAST(j * 192 AS INTEGER) AS cy, CAST(i * 192 AS INTEGER) AS cx FROM sized, range(8) AS a(i), range(8) AS b(j) WHERE i * 192 < width AND j * 192 < height),
+u AS (SELECT *, least(192, height - cy) AS ch, least(192, width - cx) AS cw, greatest(0, cy - 32) AS fy, greatest(0, cx - 32) AS fx FROM t)
+SELECT image_id, CAST(j AS INTEGER) AS row, CAST(i AS INTEGER) AS col, cy AS core_y, ch AS core_h, fy AS feed_y, least(height, cy + ch + 32) - fy AS feed_h, cx AS core_x, cw AS core_w, fx AS feed_x, least(width, cx + cw + 32) - fx AS feed_w FROM u""")
 def tile_plan(spark, sf_dir):
     return geometry.plan_tiles(_sized(spark, sf_dir))
 
@@ -307,9 +318,27 @@ def sheet_report(spark, sf_dir):
     return out.withColumn("n_skipped", F.size("skipped").cast("long")).drop("skipped")
 
 
-@query()
+SHEET_SQL = """placed AS (SELECT p_partkey // 40 AS sheet_id, p_partkey AS image_id, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1 AS place,
+  CAST(ceil(sqrt(count(*) OVER (PARTITION BY p_partkey // 40))) AS INTEGER) AS cols, count(*) OVER (PARTITION BY p_partkey // 40) AS many FROM part WHERE p_partkey % 7 <> 0)"""
+
+
+@query("WITH " + SHEET_SQL + """ SELECT sheet_id, image_id, CAST(place AS BIGINT) AS place, cols, CAST(ceil(many / cols) AS INTEGER) AS rows, CAST(16 + place % cols * 272 AS INTEGER) AS "left", CAST(16 + place // cols * 272 AS INTEGER) AS top,
+CAST(cols * 272 + 16 AS BIGINT) AS width, CAST(ceil(many / cols) AS INTEGER) * 272 + 16 AS height FROM placed""")
+def sheet_positions(spark, sf_dir):
+    return geometry.sheet_plan(_sheets(spark, sf_dir))
+
+
+@query(with_pixels(SHEET_SQL, "spread AS (SELECT sheet_id, image_id, CAST(2 + place // cols * 18 + y AS INTEGER) AS y, CAST(2 + place % cols * 18 + x AS INTEGER) AS x, 2 * y + 1 AS py, 2 * x + 1 AS px FROM placed, range(16) AS ty(y), range(16) AS tx(x))",
+    "tiles AS (SELECT s.sheet_id, s.y, s.x, c.r, c.g, c.b, c.a FROM spread s JOIN cut c ON c.image_id = s.image_id AND c.y = s.py AND c.x = s.px)",
+    "ground AS (SELECT sheet_id, CAST(ty.y AS INTEGER) AS y, CAST(tx.x AS INTEGER) AS x FROM (SELECT sheet_id, cols, CAST(ceil(many / cols) AS INTEGER) AS rows FROM placed WHERE place = 0), range(200) AS ty(y), range(200) AS tx(x) WHERE ty.y < rows * 18 + 2 AND tx.x < cols * 18 + 2)",
+    "done AS (SELECT g.sheet_id AS image_id, g.y, g.x, coalesce(r, 0) AS r, coalesce(t.g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a FROM ground g LEFT JOIN tiles t USING (sheet_id, y, x))", then=digest_sql("done")))
 def contact_sheet(spark, sf_dir):
-    return digest(geometry.contact_sheet(pixels(spark, sf_dir, True), images(spark, sf_dir), _sheets(spark, sf_dir), cell=16, gap=2)[0])
+    return digest(layers.contact_sheet(pixels(spark, sf_dir, True), images(spark, sf_dir), _sheets(spark, sf_dir), cell=16, gap=2, kernel="nearest")[0])
+
+
+@query()
+def contact_sheet_lanczos(spark, sf_dir):
+    return digest(layers.contact_sheet(pixels(spark, sf_dir, True), images(spark, sf_dir), _sheets(spark, sf_dir), cell=12, gap=2, background="#204060")[0])
 
 
 @query("""WITH m AS (SELECT vec_id AS image_id, i - 1 AS i, embedding[i] AS v FROM embeddings, range(1, 65) AS t(i))
@@ -323,3 +352,138 @@ def logits_to_alpha(spark, sf_dir):
 @query(with_pixels(then=digest_sql("px")))
 def feature_round_trip(spark, sf_dir):
     return digest(resample.from_features(resample.to_features(pixels(spark, sf_dir), normalize=False)))
+
+
+#: The opaque rasters with a magenta and with a grey ground.
+TURNED_SQL = "turned AS (SELECT image_id, y, x, g AS r, r AS g, g AS b, a FROM px)"
+GREY_SQL = "grey AS (SELECT image_id, y, x, g AS r, g, g AS b, a FROM px)"
+
+
+def _turned(spark, sf_dir, grey: bool = False):
+    rows = pixels(spark, sf_dir)
+    return rows.select("image_id", "y", "x", F.col("g").alias("r"), F.col("g" if grey else "r").alias("g"), F.col("g").alias("b"), "a")
+
+
+STATS_SQL = """SELECT image_id, CAST(count(*) FILTER (a < 128) AS BIGINT) AS removed_pixels, round(count(*) FILTER (a < 128) / count(*), 6) AS removed_fraction,
+  any_value(key) AS key, any_value(kind) AS kind FROM mask JOIN keyed USING (image_id) GROUP BY image_id"""
+
+
+def _turned_stats(spark, sf_dir, grey):
+    rows = _turned(spark, sf_dir, grey)
+    stats = compose.chroma_mask(rows, images(spark, sf_dir))[1].withColumn("removed_fraction", F.round("removed_fraction", 6))
+    return stats.join(measure.keys_of(rows, images(spark, sf_dir)).select("image_id", "kind"), "image_id").drop("key_source")
+
+
+@query(with_pixels(TURNED_SQL, mask_sql("turned"), then=STATS_SQL))
+def secondary_mask_stats(spark, sf_dir):
+    return _turned_stats(spark, sf_dir, False)
+
+
+@query(with_pixels(GREY_SQL, mask_sql("grey"), then=STATS_SQL))
+def achromatic_mask_stats(spark, sf_dir):
+    return _turned_stats(spark, sf_dir, True)
+
+
+def _bleed_sql(source: str, linear: tuple[str, str, str], *more: str) -> str:
+    clean = ", ".join(f"CASE WHEN m.a > 0 THEN {byte_sql(v)} ELSE 0 END AS {c}" for c, v in zip("rgb", linear, strict=True))
+    return with_pixels(source, LUT_SQL, *more, f"done AS (SELECT p.image_id, p.y, p.x, {clean}, m.a FROM lit p JOIN cut m USING (image_id, y, x))", then=digest_sql("done"))
+
+
+def _lit(source: str) -> str:
+    return f"lit AS (SELECT image_id, y, x, l[r + 1] AS lr, l[g + 1] AS lg, l[b + 1] AS lb FROM {source}, lut)"
+
+
+_EXCESS = "CAST(CAST(greatest(0.0::DOUBLE, {c} - greatest(0.0::DOUBLE, least(lr, lb) - lg)) AS FLOAT) AS DOUBLE)"
+
+
+@query(_bleed_sql(TURNED_SQL, (_EXCESS.format(c="lr"), "lg", _EXCESS.format(c="lb")), _lit("turned")))
+def bleed_removal_secondary(spark, sf_dir):
+    return digest(compose.compose(_turned(spark, sf_dir), pixels(spark, sf_dir, True), "transparent", "#ff00ff"))
+
+
+def _solved(c: str) -> str:
+    k = f"CAST({linear_table()[128]!r} AS DOUBLE)"
+    return f"CASE WHEN m.a < 255 AND m.a / 255 > 0.05 THEN CAST(CAST(least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({c} - (1 - m.a / 255) * {k}) / (m.a / 255))) AS FLOAT) AS DOUBLE) ELSE {c} END"
+
+
+@query(_bleed_sql(GREY_SQL, tuple(f"({_solved(c)})" for c in ("lr", "lg", "lb")), _lit("grey")))
+def bleed_removal_achromatic(spark, sf_dir):
+    return digest(compose.compose(_turned(spark, sf_dir, True), pixels(spark, sf_dir, True), "transparent", "#808080"))
+
+
+@query(with_pixels("done AS (SELECT image_id, y, x, CAST(floor(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b + 0.5) AS INTEGER) AS a FROM px)", then=digest_sql("done", "a")))
+def mask_from_image(spark, sf_dir):
+    return digest(files.as_mask(pixels(spark, sf_dir)), "a")
+
+
+@query(with_pixels(then=digest_sql("cut")))
+def pixels_written_and_read(spark, sf_dir):
+    path = new_path(spark, "pixels")
+    files.write_pixels(pixels(spark, sf_dir, True), path)
+    return digest(spark.read.parquet(path))
+
+
+@query(with_pixels("c AS (SELECT image_id, c.* FROM (SELECT image_id, unnest([{'channel': 0, 'v': (r / 255 - 0.485) / 0.229, 'w': y * 64 + x}, {'channel': 1, 'v': (g / 255 - 0.456) / 0.224, 'w': y * 64 + x}, {'channel': 2, 'v': (b / 255 - 0.406) / 0.225, 'w': y * 64 + x}]) AS c FROM px))",
+    then="SELECT image_id, channel, count(*) AS pixels, CAST(sum(CAST(floor(v * 10000 + 0.5) AS BIGINT) * (w + 1)) AS BIGINT) AS value_sum FROM c GROUP BY image_id, channel"))
+def feature_planes(spark, sf_dir):
+    rows = resample.to_features(pixels(spark, sf_dir))
+    value = F.floor(F.col("value") * 10000 + 0.5) * (F.col("y") * 64 + F.col("x") + 1)
+    return rows.groupBy("image_id", "channel").agg(F.count(F.lit(1)).alias("pixels"), F.sum(value).cast("long").alias("value_sum"))
+
+
+@query("""WITH m AS (SELECT vec_id AS image_id, CAST((i - 1) // 8 AS INTEGER) AS sy, CAST((i - 1) % 8 AS INTEGER) AS sx, CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 0.25) * 512))) AS INTEGER) AS a FROM embeddings, range(1, 65) AS t(i)),
+done AS (SELECT image_id, ty.y, tx.x, a FROM m, range(20) AS ty(y), range(20) AS tx(x) WHERE sy = CAST(floor((ty.y + 0.5) * 0.4) AS INTEGER) AND sx = CAST(floor((tx.x + 0.5) * 0.4) AS INTEGER) AND a IS NOT NULL)
+SELECT image_id, count(*) AS pixels, CAST(sum(a * (y * 64 + x + 1)) AS BIGINT) AS a_sum FROM done GROUP BY image_id""")
+def resize_matte_nearest(spark, sf_dir):
+    sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(20).alias("out_w"), F.lit(20).alias("out_h"))
+    return digest(resample.resize_to(matte(spark, sf_dir).where("a is not null"), sizes, "nearest", "a"), "a")
+
+
+@query(with_pixels("""entries AS (SELECT * FROM (VALUES ('small', 8), ('middle', 16), ('other', 16), ('same', 32)) AS e(entry, size))""",
+    "done AS (SELECT image_id || ':' || entry AS image_id, ty.y, tx.x, r, g, b, a FROM entries, range(32) AS ty(y), range(32) AS tx(x), (SELECT image_id, y AS sy, x AS sx, r, g, b, a FROM cut) WHERE ty.y < size AND tx.x < size AND sy = CAST(floor((ty.y + 0.5) * 32 / size) AS INTEGER) AND sx = CAST(floor((tx.x + 0.5) * 32 / size) AS INTEGER))", then=digest_sql("done")))
+def size_pyramid_nearest(spark, sf_dir):
+    entries = spark.createDataFrame([("small", 8), ("middle", 16), ("other", 16), ("same", 32)], "entry string, size int")
+    out = resample.size_pyramid(pixels(spark, sf_dir, True), images(spark, sf_dir), entries, 32, "nearest")
+    return digest(out.withColumn("image_id", F.concat_ws(":", "image_id", "entry")))
+
+
+@query(with_pixels("done AS (SELECT image_id, CAST(y * 2 + dy AS INTEGER) AS y, CAST(x * 2 + dx AS INTEGER) AS x, r, g, b, 255 AS a FROM px, range(2) AS j(dy), range(2) AS i(dx))", then=digest_sql("done")))
+def tiles_mapped(spark, sf_dir):
+    tiles = geometry.plan_tiles(images(spark, sf_dir), 20, 3)
+    return digest(resample.map_tiles(pixels(spark, sf_dir), tiles, lambda rgb: rgb.repeat(2, axis=0).repeat(2, axis=1), 2, 20, 3, 8))
+
+
+@query(with_pixels("done AS (SELECT c.image_id, CAST(ty.y AS INTEGER) AS y, CAST(tx.x AS INTEGER) AS x, r, g, b, a FROM cut c, range(48) AS ty(y), range(48) AS tx(x) WHERE c.y = CAST(floor(floor((ty.y + 0.5) * 128 / 48) / 4) AS INTEGER) AND c.x = CAST(floor(floor((tx.x + 0.5) * 128 / 48) / 4) AS INTEGER))", then=digest_sql("done")))
+def upscale_nearest(spark, sf_dir):
+    repeat = lambda rgb: rgb.repeat(4, axis=0).repeat(4, axis=1)
+    return digest(resample.upscale(pixels(spark, sf_dir, True), images(spark, sf_dir), repeat, 48, "nearest", 20, 3))
+
+
+@query(with_pixels("""done AS (SELECT p.image_id, CAST(ty.y AS INTEGER) AS y, CAST(tx.x AS INTEGER) AS x, r, g, b, a FROM cut p, range(36) AS ty(y), range(36) AS tx(x)
+  WHERE p.y = CASE WHEN ty.y < 32 THEN ty.y ELSE 63 - ty.y END AND p.x = CASE WHEN tx.x < 32 THEN tx.x ELSE 63 - tx.x END)""", then=digest_sql("done")))
+def mirror_padding(spark, sf_dir):
+    return digest(geometry.pad_to_multiple(pixels(spark, sf_dir, True), images(spark, sf_dir), 18)[0])
+
+
+@query(with_pixels("""done AS (SELECT p.image_id, p.y, p.x, coalesce(t.b, p.r) AS r, coalesce(t.r, p.g) AS g, coalesce(t.g, p.b) AS b, 255 AS a
+  FROM px p LEFT JOIN px t ON t.image_id = p.image_id + 1 AND p.y >= 16 AND p.x >= 16 AND t.y = (p.y - 16) * 2 + 1 AND t.x = (p.x - 16) * 2 + 1 WHERE p.image_id < (SELECT max(image_id) FROM px))""", then=digest_sql("done")))
+def layer_scaled(spark, sf_dir):
+    base = pixels(spark, sf_dir)
+    top = base.select("image_id", "y", "x", F.col("b").alias("r"), F.col("r").alias("g"), F.col("g").alias("b"), "a")
+    ids = images(spark, sf_dir).select(F.col("image_id").alias("top_id")).where("top_id > 0")
+    pairs = ids.select((F.col("top_id") - 1).alias("base_id"), "top_id", *(F.lit(32).alias(c) for c in ("base_w", "base_h", "top_w", "top_h")))
+    return digest(layers.layer(base.join(pairs.select(F.col("base_id").alias("image_id")), "image_id"), top, pairs, "southeast", 0.5, kernel="nearest")[0])
+
+
+@query("""WITH plates AS (SELECT p_partkey AS k, 0.5::DOUBLE + p_size % 4 * 0.125 AS content, p_partkey % 5 * 0.1::DOUBLE AS radius, p_partkey % 8 * 45 AS angle, CASE p_partkey % 2 WHEN 0 THEN 2 ELSE 4 END AS power FROM part),
+spots AS (SELECT *, content * 24 / 2 AS half, radius * 2 * (content * 24 / 2) AS corner, ty.y AS y, tx.x AS x FROM plates, range(24) AS ty(y), range(24) AS tx(x)),
+points AS (SELECT *, abs(x + (2 * i + 1) / 8 - 12) AS fx, abs(y + (2 * j + 1) / 8 - 12) AS fy FROM spots, range(4) AS a(i), range(4) AS b(j)),
+inside AS (SELECT k, y, x, count(*) FILTER (fx <= half AND fy <= half AND (fx <= half - corner OR fy <= half - corner OR pow(fx - (half - corner), power) + pow(fy - (half - corner), power) <= pow(corner, power))) AS n FROM points GROUP BY ALL),
+shaded AS (SELECT k, y, x, CAST(floor(n / 16 * 255 + 0.5) AS INTEGER) AS a, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5 + ((x + 0.5 - 12 + half) / (2 * half) - 0.5) * sin(radians(angle)) - ((y + 0.5 - 12 + half) / (2 * half) - 0.5) * cos(radians(angle)))) AS t FROM spots JOIN inside USING (k, y, x))
+SELECT k AS image_id, count(*) AS pixels, CAST(sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS BIGINT) AS shown, CAST(sum(a * (y * 64 + x + 1)) AS BIGINT) AS a_sum, round(avg(CASE WHEN a > 0 THEN floor(16 * (1 - t) + 235 * t + 0.5) ELSE 0 END), 1) AS r_mean FROM shaded GROUP BY k""")
+def gradient_plates(spark, sf_dir):
+    k = F.col("p_partkey")
+    plates = table(spark, sf_dir, "part").select(k.alias("image_id"), F.lit(24).alias("size"), (0.5 + F.col("p_size") % 4 * 0.125).alias("content"), (k % 5 * 0.1).alias("radius"), F.lit("#10ff20").alias("from_color"), F.lit("#eb0020").alias("to_color"), (k % 8 * 45).alias("angle"), F.when(k % 2 == 0, "rect").otherwise("squircle").alias("shape"))
+    at = F.col("y") * 64 + F.col("x") + 1
+    rows = layers.gradient_plates(plates)
+    return rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("a") > 0).cast("long")).alias("shown"), F.sum(F.col("a") * at).cast("long").alias("a_sum"), F.round(F.avg("r"), 1).alias("r_mean"))

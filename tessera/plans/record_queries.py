@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import jsonops, text
 from tessera.operators import artifacts
 from tessera.plans.fixtures import table
+from tessera.plans.staging import new_path
+from tessera.sources import files
 from tessera.streaming import logs
 
 QUERIES: dict = {}
@@ -90,7 +92,7 @@ def log_persisted(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'p' ELSE 'b' END AS name, CAST(CASE WHEN event_id % 3 = 0 THEN event_id ELSE 1 END AS BIGINT) AS n,
- CASE WHEN event_id % 2 = 0 THEN 'b,p' ELSE 'b' END AS tags FROM events""")
+ CASE WHEN event_id % 2 = 0 THEN 'p,b' ELSE 'b' END AS tags FROM events""")
 def merged_settings(spark, sf_dir):
     e = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(
@@ -100,30 +102,32 @@ def merged_settings(spark, sf_dir):
     return merged.select("event_id", "m.name", F.col("m.in.n").alias("n"), F.array_join("m.in.tags", ",").alias("tags"))
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS category, CAST(CASE WHEN event_id % 4 > 0 THEN event_id % 4 * 1000 ELSE 60000 END AS INTEGER) AS timeout, CAST(CASE WHEN event_id % 3 > 0 THEN event_id % 3 - 1 ELSE 3 END AS INTEGER) AS max_retries FROM events")
+@query("""SELECT CAST(event_id AS VARCHAR) AS category, CAST(CASE WHEN event_id % 4 > 0 THEN event_id % 4 * 1000 ELSE 60000 END AS INTEGER) AS timeout, CAST(CASE WHEN event_id % 3 > 0 THEN event_id % 3 - 1 ELSE 3 END AS INTEGER) AS max_retries,
+ CASE event_id % 5 WHEN 0 THEN '0.0,2.5' WHEN 1 THEN '' ELSE '1.0' END AS intervals FROM events""")
 def layered_budgets(spark, sf_dir):
     e = F.col("event_id")
     events = table(spark, sf_dir, "events").select(e.cast("string").alias("category"), e)
     defaults = events.select("category", F.lit(60000).alias("timeout"), F.lit(3).alias("max_retries"), F.array(F.lit(1.0)).alias("retry_intervals"))
-    over = events.select("category", (e % 4 * 1000).cast("int").alias("timeout"), (e % 3 - 1).cast("int").alias("max_retries"), F.array(F.lit(-1.0)).alias("retry_intervals"))
-    return jsonops.layer_budgets(defaults, over).select("category", "timeout", "max_retries")
+    given = F.when(e % 5 == 0, F.array(F.lit(0.0), F.lit(2.5))).when(e % 5 == 1, F.array().cast("array<double>")).when(e % 5 == 2, F.array(F.lit(1.0), F.lit(-1.0))).when(e % 5 == 3, F.array(F.lit(float("inf"))))
+    over = events.select("category", (e % 4 * 1000).cast("int").alias("timeout"), (e % 3 - 1).cast("int").alias("max_retries"), F.coalesce(given, F.array(F.lit(float("nan")))).alias("retry_intervals"))
+    return jsonops.layer_budgets(defaults, over).select("category", "timeout", "max_retries", F.array_join(F.col("retry_intervals").cast("array<string>"), ",").alias("intervals"))
 
 
 @query("""SELECT doc_id AS response_id, CASE WHEN doc_id % 11 = 0 THEN 'refusal' WHEN doc_id % 11 = 1 THEN 'content_filter' WHEN doc_id % 11 = 2 THEN 'length' WHEN doc_id % 11 = 3 THEN 'empty' WHEN doc_id % 11 = 4 THEN 'not_json'
- WHEN doc_id % 11 = 5 THEN 'off_schema' ELSE 'verdict' END AS status, CASE WHEN doc_id % 11 > 5 THEN quality = 1 END AS ok, CASE WHEN doc_id % 11 > 5 THEN least(1.0, greatest(0.0, quality * 1.5 - 0.2)) END AS score, CASE WHEN doc_id % 11 > 5 THEN 'a,b' END AS reasons FROM labels WHERE quality IS NOT NULL""")
+ WHEN doc_id % 11 = 5 OR quality IS NULL THEN 'off_schema' ELSE 'verdict' END AS status, CASE WHEN doc_id % 11 > 5 AND quality IS NOT NULL THEN quality = 1 END AS ok, CASE WHEN doc_id % 11 > 5 THEN least(1.0, greatest(0.0, quality * 1.5 - 0.2)) END AS score, CASE WHEN doc_id % 11 > 5 AND quality IS NOT NULL THEN 'a,b' END AS reasons FROM labels""")
 def verdicts(spark, sf_dir):
     m, q = F.col("doc_id") % 11, F.col("quality")
     good = F.to_json(F.struct((q == 1).alias("ok"), (q * 1.5 - 0.2).alias("score"), F.array(F.lit("a"), F.lit("b")).alias("reasons")))
     content = F.when(m == 3, "").when(m == 4, "{not json").when(m == 5, '{"ok":"yes","score":1,"reasons":[]}').otherwise(good)
     finish = F.when(m <= 1, "content_filter").when(m == 2, "length").otherwise("stop")
-    rows = table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("response_id"), F.when(m == 0, "no").alias("refusal"), finish.alias("finish_reason"), content.alias("content"))
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("response_id"), F.when(m == 0, "no").alias("refusal"), finish.alias("finish_reason"), content.alias("content"))
     return jsonops.parse_verdicts(rows).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("""SELECT doc_id AS key, CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'unverifiable' WHEN doc_id % 7 = 0 THEN 'mismatch' ELSE 'ok' END AS integrity FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id AS key, CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 13 = 0 OR text IS NULL THEN 'unverifiable' WHEN doc_id % 7 = 0 THEN 'mismatch' ELSE 'ok' END AS integrity FROM documents""")
 def integrity(spark, sf_dir):
     k = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(k, k.cast("string").alias("name"), F.sha2("text", 256).alias("sha"))
+    docs = table(spark, sf_dir, "documents").select(k, k.cast("string").alias("name"), F.sha2("text", 256).alias("sha"))
     manifest = docs.select(k.alias("key"), "name", F.when(k % 13 != 0, F.col("sha")).alias("expected"))
     inventory = docs.where(k % 11 != 0).select("name", F.when(k % 7 == 0, F.reverse("sha")).otherwise(F.col("sha")).alias("actual"))
     return artifacts.verify_integrity(manifest, inventory)
@@ -182,7 +186,7 @@ def _items(spark, sf_dir):
 ITEMS_SQL = "WITH i AS (SELECT conv_id AS g, turn + 1 AS p, (turn + conv_id) % 4 = 0 AS failed, CASE WHEN turn % 5 = 4 THEN 'jpg' ELSE 'png' END AS e, greatest(2, count(*) OVER (PARTITION BY conv_id)) AS many FROM conversations)"
 
 
-@query(ITEMS_SQL + " SELECT g AS group_id, p AS index, 'c' || g || '-' || lpad(CAST(p AS VARCHAR), CAST(length(CAST(many AS VARCHAR)) AS INTEGER), '0') || '.' || e AS name FROM i WHERE NOT failed")
+@query(ITEMS_SQL + " SELECT g AS group_id, p AS index, 'c' || g || '-' || lpad(CAST(p AS VARCHAR), CAST(length(CAST(many AS VARCHAR)) AS INTEGER), '0') || '.' || e AS name, 'c' || g || '-' || lpad(CAST(p AS VARCHAR), CAST(length(CAST(many AS VARCHAR)) AS INTEGER), '0') || '.json' AS sidecar FROM i WHERE NOT failed")
 def output_names(spark, sf_dir):
     return artifacts.plan_outputs(_items(spark, sf_dir))[0].orderBy("group_id", "index")
 
@@ -202,20 +206,106 @@ def output_duplicates(spark, sf_dir):
     return artifacts.duplicate_outputs(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").cast("string").alias("name")))
 
 
-@query("""WITH i AS (SELECT doc_id, p, (doc_id + p) % 3 AS k, text FROM documents, (VALUES (1), (2)) AS t(p) WHERE text IS NOT NULL)
+@query("""WITH i AS (SELECT doc_id, p, (doc_id + p) % 3 AS k, text FROM documents, (VALUES (1), (2)) AS t(p))
 SELECT doc_id AS response_id, CAST(p AS INTEGER) AS position, CASE WHEN k = 0 AND text <> '' THEN sha256(text) END AS sha, CASE WHEN k = 1 THEN 'u' || doc_id END AS url, CASE WHEN k = 0 AND text <> '' THEN 'content' WHEN k = 1 THEN 'pending' ELSE 'error' END AS status FROM i""")
 def response_content(spark, sf_dir):
     k = F.col("doc_id")
     item = lambda p: F.struct(F.when((k + p) % 3 == 0, F.regexp_replace(F.base64(F.encode("text", "utf-8")), "\\s", "")).alias("b64_json"), F.when((k + p) % 3 == 1, F.concat(F.lit("u"), k)).alias("url"))
-    rows = table(spark, sf_dir, "documents").where("text is not null").select(k.alias("response_id"), F.array(item(1), item(2)).alias("items"))
+    rows = table(spark, sf_dir, "documents").select(k.alias("response_id"), F.array(item(1), item(2)).alias("items"))
     return artifacts.response_items(rows).select("response_id", "position", F.sha2("bytes", 256).alias("sha"), "url", "status")
 
 
-@query("SELECT 'a/' || p_partkey || '.png' AS path, CASE p_partkey % 4 WHEN 0 THEN '#00ff00' WHEN 1 THEN '#ff00ff' WHEN 2 THEN '#808080' END AS color FROM part")
+@query("""SELECT 'd' || (p_partkey % 3) || '/' || (p_partkey // 3) || '.png' AS path, CASE WHEN p_partkey % 8 <> 3 THEN CASE p_partkey % 4 WHEN 0 THEN '#00ff00' WHEN 1 THEN '#ff00ff' WHEN 2 THEN '#808080' END END AS color FROM part""")
 def sidecar_colors(spark, sf_dir):
     k = F.col("p_partkey")
     color = F.when(k % 4 == 0, "#00ff00").when(k % 4 == 1, "#ff00ff").when(k % 4 == 2, "#808080")
     part = table(spark, sf_dir, "part")
     body = F.parse_json(F.to_json(F.struct(F.struct(F.struct(color.alias("color")).alias("chroma")).alias("request")), {"ignoreNullFields": "false"}))
-    sidecars = part.where(k % 8 != 3).select(F.concat(F.lit("b/"), k, F.lit(".json")).alias("path"), body.alias("body"))
-    return artifacts.sidecar_keys(part.select(F.concat(F.lit("a/"), k, F.lit(".png")).alias("path")), sidecars)
+    # the same stems in each of three folders
+    path = lambda ext: F.concat(F.lit("d"), k % 3, F.lit("/"), F.floor(k / 3), F.lit(ext)).alias("path")
+    return artifacts.sidecar_keys(part.select(path(".png")), part.where(k % 8 != 3).select(path(".json"), body.alias("body")))
+
+
+@query("""SELECT event_id, '{"b64_json":null,"b64":"x","inner":[{"image_b64":null,"n":' || (event_id % 3) || '}]}' AS response, 'a' || event_id AS kept FROM events""")
+def nulled_payload_structs(spark, sf_dir):
+    e = F.col("event_id")
+    body = F.struct(F.concat(F.lit("p"), e).alias("b64_json"), F.lit("x").alias("b64"), F.array(F.struct(F.lit("i").alias("image_b64"), (e % 3).alias("n"))).alias("inner"))
+    tags = F.create_map(F.lit("image_base64"), F.lit("z"), F.lit("n"), F.concat(F.lit("a"), e))
+    rows = jsonops.null_payloads(table(spark, sf_dir, "events").select(e, body.alias("response"), tags.alias("tags")), ["response", "tags"])
+    kept = F.when(F.col("tags")["image_base64"].isNull(), F.col("tags")["n"])
+    return rows.select("event_id", F.to_json("response", {"ignoreNullFields": "false"}).alias("response"), kept.alias("kept"))
+
+
+@query("SELECT event_id, '[redacted]' AS token, 'v' || event_id AS kept FROM events")
+def redacted_maps(spark, sf_dir):
+    e = F.col("event_id")
+    data = F.create_map(F.lit("Token"), F.concat(F.lit("s"), e), F.lit("tokens"), F.concat(F.lit("v"), e))
+    rows = jsonops.redact(table(spark, sf_dir, "events").select(e, data.alias("data")), ["data"])
+    return rows.select("event_id", F.col("data")["Token"].alias("token"), F.col("data")["tokens"].alias("kept"))
+
+
+@query(f"SELECT event_id, {LEVEL_SQL} AS level, {DATA_SQL} AS data FROM events WHERE event_type <> 'view'")
+def logs_written_and_read(spark, sf_dir):
+    path = new_path(spark, "logs")
+    entries = _logs(spark, sf_dir).select(F.to_timestamp(F.lit("2026-01-01 00:00:00")).alias("time"), "level", F.col("event_id").cast("string").alias("message"), F.lit("v").alias("verb"), F.lit("s").alias("stage"), F.to_json("data").alias("data"))
+    files.write_logs(entries, path)
+    return files.read_logs(spark, path).where("_corrupt_record is null").select(F.col("message").cast("long").alias("event_id"), "level", "data")
+
+
+@query("""SELECT p_partkey, p_partkey % 5 = 4 AS rejected, CASE WHEN p_partkey % 5 <> 4 THEN CAST(p_partkey AS VARCHAR) END AS stem, CASE WHEN p_partkey % 5 <> 4 THEN p_brand END AS brand FROM part""")
+def sidecar_scan(spark, sf_dir):
+    k = F.col("p_partkey")
+    body = F.when(k % 5 == 4, F.lit("{no json")).otherwise(F.to_json(F.struct("p_brand")))
+    good, bad = files.parse_sidecars(table(spark, sf_dir, "part").select(F.concat(F.lit("x/"), k, F.lit(".json")).alias("path"), body.alias("value")))
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey")
+    return good.select(number, F.lit(False).alias("rejected"), "stem", F.try_variant_get("body", "$.p_brand", "string").alias("brand")).union(bad.select(number, F.lit(True), F.lit(None), F.lit(None)))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'invalid_section' WHEN 2 THEN 'invalid_section' WHEN 3 THEN 'invalid_section' END AS error, CASE WHEN event_id % 6 > 3 THEN event_id END AS n, CASE WHEN event_id % 6 = 4 THEN 'a,b' END AS tags FROM events""")
+def settings_scan(spark, sf_dir):
+    e = F.col("event_id")
+    forms = ['{{"in": {{"n": {n}', '{{"in": {{"n": ["{n}"]}}}}', '{{"in": {{"n": "{n}"}}}}', '{{"in": {{"n": {n}, "tags": ["a", 1]}}}}', '{{"in": {{"n": {n}, "tags": ["a", "b"]}}, "other": 1}}', '{{"in": {{"n": {n}, "tags": null}}}}']
+    value = F.element_at(F.array(*(F.replace(F.lit(f.format(n="#")), F.lit("#"), e.cast("string")) for f in forms)), (e % 6 + 1).cast("int"))
+    rows = files.parse_settings(table(spark, sf_dir, "events").select(e.cast("string").alias("path"), value.alias("value")), "in struct<n: bigint, tags: array<string>>")
+    return rows.select(F.col("path").cast("long").alias("event_id"), "error", F.col("settings.in.n").alias("n"), F.array_join("settings.in.tags", ",").alias("tags"))
+
+
+#: First bytes of image files and what they say, in the order of doc_id % 10.
+HEADS = [("89504E470D0A1A0A", "png"), ("FFD8FFE0", "jpg"), ("474946383961", "gif"), ("524946460000000057454250", "webp"), ("000000206674797061766966", "avif"), ("000000206674797068656963", "heif"), ("49492A00", "tiff"), ("FF0A", "jxl"), ("00", "jpg"), ("0000000C4A584C20", "jxl")]
+
+
+@query("SELECT doc_id, CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, (_, kind) in enumerate(HEADS)) + " END AS format FROM documents")
+def image_formats(spark, sf_dir):
+    k = F.col("doc_id")
+    head = F.unhex(F.element_at(F.array(*(F.lit(h) for h, _ in HEADS)), (k % 10 + 1).cast("int")))
+    content = F.concat(head, F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return table(spark, sf_dir, "documents").select(k, files.image_format(content, F.concat(F.lit("a/b."), k, F.lit(".JPEG"))).alias("format"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '#112233' WHEN p_partkey % 3 > 0 THEN '#ff00ff' END AS key, CASE WHEN p_partkey % 5 < 2 THEN p_partkey % 5 = 1 ELSE true END AS preserve_interior,
+CAST(CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size END AS INTEGER) AS border_sample, CASE WHEN p_partkey % 7 = 0 THEN 0.5 END AS saturation_ratio FROM part""")
+def mask_arguments(spark, sf_dir):
+    k = F.col("p_partkey")
+    chroma = F.struct(F.when(k % 3 == 0, "").otherwise("#ff00ff").alias("color"), F.lit(True).alias("preserve_interior"), F.col("p_size").cast("int").alias("border_sample"), F.when(k % 7 == 0, 0.5).alias("saturation_ratio"))
+    rows = table(spark, sf_dir, "part").select(k, F.when(k % 2 == 0, "#112233").alias("key"), F.when(k % 5 < 2, k % 5 == 1).alias("preserve_interior"), F.when(k % 4 == 0, 0).alias("border_sample"), F.lit(None).cast("double").alias("saturation_ratio"), chroma.alias("chroma"))
+    return jsonops.mask_defaults(rows).drop("chroma")
+
+
+@query("""SELECT p_partkey, '{' || CASE WHEN p_partkey % 2 = 0 THEN '"size":' || p_size || ',' ELSE '' END || '"prompt":"p' || p_partkey || '","n":2' || CASE p_partkey % 3 WHEN 1 THEN ',"chroma":{"color":"#00ff00"}' ELSE '' END || '}' AS request FROM part""")
+def request_records(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k, F.when(k % 2 == 0, F.col("p_size")).alias("size"), F.concat(F.lit("p"), k).alias("prompt"), F.lit(2).alias("n"), F.when(k % 3 == 1, "#00ff00").when(k % 3 == 2, "").alias("chroma_color"))
+    return jsonops.request_record(rows, ["size"]).select("p_partkey", "request")
+
+
+@query("SELECT p_partkey, 'i' || p_partkey || '.icns,i' || p_partkey || '.ico,i' || p_partkey || '.png' || CASE WHEN p_partkey % 2 = 0 THEN ',i' || p_partkey || '-16.png,i' || p_partkey || '-512.png' ELSE '' END AS names FROM part")
+def icon_files(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("i"), k)
+    names = F.when(k % 2 == 0, F.array_join(text.icon_names(name, (16, 512)), ",")).otherwise(F.array_join(text.icon_names(name, (16, 512), False), ","))
+    return table(spark, sf_dir, "part").select(k, names.alias("names"))
+
+
+@query(f"SELECT 'doc' AS stem, 'Doc-' || doc_id || '.' || {EXT_SQL} AS name FROM documents ORDER BY name")
+def sibling_order(spark, sf_dir):
+    return artifacts.in_order(artifacts.siblings(_names(spark, sf_dir), _names(spark, sf_dir).select(F.lit("doc").alias("stem")).distinct()))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,18 @@ def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dense_numbers(df: DataFrame) -> DataFrame:
+    """The rows, staged, with ``number``: 0, 1, 2 ... in no particular order. Only the numbers of
+    rows of the partitions are put in order in one task."""
+    at = F.col("__at")
+    rows = staged(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumns({"__part": F.shiftright(at, 33), "__place": at.bitwiseAND((1 << 33) - 1)}).drop("__at")
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = staged(counts.select("__part", ahead.alias("__ahead")), "counts")
+    return rows.join(counts, "__part").withColumn("number", F.col("__ahead") + F.col("__place")).drop("__part", "__place", "__ahead")
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove the files behind a frame that :func:`staged` returned."""
     spark = df.sparkSession

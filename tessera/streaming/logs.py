@@ -21,7 +21,8 @@ def progress(entries: DataFrame) -> DataFrame:
 
 
 def persisted(entries: DataFrame, debug: str | None = None) -> DataFrame:
-    """All entries, debug ones only if enabled, with the secrets in ``data`` (a struct, or JSON text) redacted."""
+    """All entries, debug ones only if enabled, with the secrets in ``data`` (a struct, a map, or JSON
+    text) redacted. Data that is no JSON is replaced whole; a VARIANT is an error."""
     rows = entries if enabled(debug) else entries.where(F.coalesce("level", F.lit("")) != "debug")
     if dict(entries.dtypes)["data"] == "string":
         return rows.withColumn("data", redact_json(F.col("data")))

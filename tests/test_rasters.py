@@ -132,7 +132,7 @@ def test_tiles_partition_the_canvas_and_upscale_equals_one_pass(spark):
     raster = np.dstack([rng.integers(0, 256, (21, 13, 3)), np.full((21, 13), 255)])
     pixels, images = table(spark, {1: raster})
     tiles = geometry.plan_tiles(images, 16, 4)
-    assert tiles.selectExpr("sum(tw * th)").first()[0] == 21 * 13
+    assert tiles.selectExpr("sum(core_w * core_h)").first()[0] == 21 * 13
     out = resample.map_tiles(pixels, tiles, lambda t: t.repeat(4, 0).repeat(4, 1), 4, 16, 4)
     for k, c in enumerate("rgb"):
         assert back(out, (84, 52), c) == raster[..., k].repeat(4, 0).repeat(4, 1).tolist()
