@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.functions.color import hsv, parse_hex, to_byte, to_linear
-from tessera.operators import components, compose, geometry, measure, resample
+from tessera.operators import components, compose, geometry, layers, measure, resample
 from tessera.operators.components import connected
 from pyspark.sql import functions as F
 
@@ -163,3 +163,146 @@ def test_size_pyramid_makes_each_entry(spark):
     entries = spark.createDataFrame([("a", 4), ("b", 4), ("c", 2)], "entry string, size int")
     counts = {r["entry"]: r["count"] for r in resample.size_pyramid(pixels, images, entries, least_master=8).groupBy("entry").count().collect()}
     assert counts == {"a": 16, "b": 16, "c": 4}
+
+
+def kernel_1d(name, d):
+    d = abs(d)
+    if name in ("cubic", "mitchell"):
+        b, c = (0, 0.5) if name == "cubic" else (1 / 3, 1 / 3)
+        if d < 1:
+            return ((12 - 9 * b - 6 * c) * d**3 + (-18 + 12 * b + 6 * c) * d**2 + 6 - 2 * b) / 6
+        return ((-b - 6 * c) * d**3 + (6 * b + 30 * c) * d**2 + (-12 * b - 48 * c) * d + 8 * b + 24 * c) / 6 if d < 2 else 0
+    n = int(name[-1])
+    return np.sinc(d) * np.sinc(d / n) if d < n else 0
+
+
+def matrix(name, src, dst):
+    scale = src / dst
+    wide = max(scale, 1)
+    w = np.array([[kernel_1d(name, (k + 0.5 - (o + 0.5) * scale) / wide) for k in range(src)] for o in range(dst)])
+    return w / w.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kernel", ["cubic", "mitchell", "lanczos2", "lanczos3"])
+@pytest.mark.parametrize("size", [(7, 5), (19, 23)])
+def test_kernels_equal_matrices(spark, kernel, size):
+    rng = np.random.default_rng(11)
+    raster = rng.integers(0, 256, (13, 17, 4))
+    raster[..., 3] = np.where(rng.random((13, 17)) < 0.3, 0, raster[..., 3])
+    pixels, images = table(spark, {1: raster})
+    w, h = size
+    out = resample.resize_to(pixels, images.selectExpr("*", f"{w} AS out_w", f"{h} AS out_h"), kernel)
+    a = raster[..., 3].astype(float)
+    down, across = matrix(kernel, 13, h), matrix(kernel, 17, w)
+    alpha_ = down @ a @ across.T
+    for k, c in enumerate("rgb"):
+        mixed = down @ (raster[..., k] * a) @ across.T
+        want = np.where(alpha_ > 0, mixed / np.where(alpha_ > 0, alpha_, 1), 0)
+        assert np.abs(np.array(back(out, (h, w), c)) - np.clip(np.floor(want + 0.5), 0, 255)).max() <= 1
+    assert np.abs(np.array(back(out, (h, w))) - np.clip(np.floor(alpha_ + 0.5), 0, 255)).max() <= 1
+
+
+def blurred(a, sigma):
+    k = int(np.ceil(3 * sigma))
+    w = np.exp(-(np.arange(-k, k + 1) ** 2) / (2 * sigma**2))
+    for axis in (1, 0):
+        one = np.apply_along_axis(np.convolve, axis, np.ones_like(a, float), w, "same")
+        a = np.floor(np.apply_along_axis(np.convolve, axis, a.astype(float), w, "same") / one + 0.5)
+    return a
+
+
+@pytest.mark.parametrize("sigma", [0.5, 1.3])
+def test_gaussian_equals_convolution(spark, sigma):
+    a = np.random.default_rng(3).integers(0, 256, (12, 15))
+    pixels, _ = table(spark, {1: alpha(a)})
+    assert np.abs(np.array(back(geometry.gaussian(pixels.select("image_id", "y", "x", "a"), sigma), (12, 15))) - blurred(a, sigma)).max() <= 1
+
+
+def test_blurred_shadow_equals_numpy(spark):
+    a = np.zeros((9, 9), int)
+    a[3:6, 2:7] = 255
+    pixels, images = table(spark, {1: alpha(a)})
+    out = geometry.shadow(pixels, images, blur=1, offset=(2, 1), color="#ff0000", opacity=0.5)
+    cast = blurred(np.floor(np.pad(a, 3) * 0.5 + 0.5), 1)
+    canvas = np.zeros((3 + 9 + 1 + 2, 3 + 9 + 2 + 2))
+    canvas = np.zeros((max(9 + 2, 1 - 3 + 15) + 2, max(9, 2 - 3 + 15) + 1))
+    canvas[0 : cast.shape[0], 0 : cast.shape[1]] = cast
+    subject = np.zeros_like(canvas)
+    subject[2 : 2 + 9, 1 : 1 + 9] = a
+    t, u = subject / 255, canvas / 255
+    want = np.floor((t + u * (1 - t)) * 255 + 0.5)
+    assert np.abs(np.array(back(out, canvas.shape)) - want).max() <= 1
+
+
+def test_images_of_different_sizes_are_an_error(spark):
+    pixels, images = table(spark, {1: alpha([[1, 2, 3]])})
+    mask, sizes = table(spark, {1: alpha([[1, 2]])})
+    for call in (lambda: compose.compose(pixels, mask), lambda: compose.combine("union", mask, pixels), lambda: compose.compose(pixels, pixels, mask)):
+        with pytest.raises(Exception, match="different sizes"):
+            call().collect()
+    assert tuple(compose.same_size(images, sizes).first())[1:] == (3, 1, 2, 1)
+
+
+def test_components_of_many_nominally_large_images(spark):
+    rows = spark.range(0, 200, 1, 200)
+    pixels = rows.selectExpr("id AS image_id", "0 AS y", "0 AS x", "0 AS r", "0 AS g", "0 AS b", "9 AS a")
+    images = rows.selectExpr("id AS image_id", "8192 AS width", "8192 AS height")
+    got = connected(pixels, images).collect()
+    assert len(got) == 200 and {r["label"] for r in got} == {0}
+
+
+def test_layers(spark):
+    base, images = table(spark, {1: np.zeros((4, 6, 4), int) + [10, 20, 30, 255], 2: np.zeros((4, 6, 4), int) + [10, 20, 30, 0]})
+    top, _ = table(spark, {7: np.zeros((3, 3, 4), int) + [200, 100, 50, 128]})
+    pairs = images.selectExpr("image_id AS base_id", "7L AS top_id", "width AS base_w", "height AS base_h", "3 AS top_w", "3 AS top_h")
+    out, plan = layers.layer(base, top, pairs, "northeast", 0.5)
+    assert {(r["out_w"], r["out_h"], r["dest_x"], r["dest_y"]) for r in plan.collect()} == {(2, 2, 4, 0)}
+    rows = {(r["image_id"], r["y"], r["x"]): tuple(r)[3:] for r in out.collect()}
+    t = 128 / 255
+    assert rows[1, 0, 5] == (*(int(v * t + u * (1 - t) + 0.5) for v, u in ((200, 10), (100, 20), (50, 30))), 255)
+    assert rows[2, 0, 5] == (200, 100, 50, 128) and rows[1, 2, 5] == rows[1, 0, 3] == (10, 20, 30, 255) and rows[2, 3, 0][3] == 0
+    for bad in ({"scale": 0.01}, {"top_offset": (6, 0)}, {"top_offset": (0, -3)}):
+        with pytest.raises(ValueError, match="top 7 on base 1"):
+            layers.layer(base, top, pairs, **bad)
+
+
+def test_what_lies_below(spark):
+    pixels, _ = table(spark, {1: alpha([[1]])})
+    assert compose.over_spec("transparent") == ("transparent", None) and compose.over_spec("#0a0B0c") == ("color", (10, 11, 12))
+    assert compose.over_spec(pixels)[0] == "image"
+    for bad in ("0a0b0c", "red", "#12345"):
+        with pytest.raises(ValueError):
+            compose.over_spec(bad)
+
+
+@pytest.mark.parametrize("gravity, want", [("center", (2, 1)), ("north", (2, 0)), ("southeast", (3, 2)), ("west", (0, 1)), ("northwest", (0, 0)), ("south", (2, 2))])
+def test_gravities(spark, gravity, want):
+    row = spark.range(1).select(*geometry.anchor(F.lit(gravity), F.lit(8), F.lit(6), F.lit(5), F.lit(4))).first()
+    assert tuple(row) == want  # 1.5 is rounded up
+
+
+def test_mirrored_padding_of_a_narrow_image(spark):
+    pixels, images = table(spark, {1: alpha([[1, 2, 3]])})
+    out, sizes = geometry.pad_to_multiple(pixels, images, 8)
+    assert tuple(sizes.first()) == (1, 8, 8)
+    assert back(out, (8, 8)) == [[1, 2, 3, 3, 2, 1, 1, 2]] * 8
+    tiles = geometry.plan_tiles(images, 16, 4)
+    seen = resample.map_tiles(pixels, tiles, lambda t: t if t.shape == (8, 8, 3) else t[:0], 1, 16, 4, 8)
+    assert seen.count() == 3
+
+
+def test_gradient_plates(spark):
+    plates = spark.createDataFrame([(1, 20, 1.0, 0.0, "#000000", "#ffffff", 90, "rect"), (2, 20, 0.5, 0.5, "#ff0000", "#ff0000", 0, "rect"), (3, 20, 0.5, 0.5, "#ff0000", "#ff0000", 0, "squircle"), (4, 20, 1.0, 0.0, "#000000", "#ffffff", 0, "rect")], "image_id long, size int, content double, radius double, from_color string, to_color string, angle int, shape string")
+    rows = {(r["image_id"], r["y"], r["x"]): r for r in layers.gradient_plates(plates).collect()}
+    assert [rows[1, 7, x]["r"] for x in (0, 10, 19)] == [int(255 * (x + 0.5) / 20 + 0.5) for x in (0, 10, 19)] and rows[1, 0, 0]["a"] == 255
+    assert [rows[4, y, 3]["r"] for y in (0, 19)] == [int(255 * (19 - y + 0.5) / 20 + 0.5) for y in (0, 19)]
+    area = {k: sum(rows[k, y, x]["a"] for y in range(20) for x in range(20)) / 255 for k in (2, 3)}
+    assert abs(area[2] - np.pi * 25) < 1.5 and area[2] + 5 < area[3] < 100 and rows[2, 0, 0]["a"] == 0
+
+
+def test_sheet_cells_hold_whole_images(spark):
+    pixels, images = table(spark, {1: np.zeros((4, 8, 4), int) + [9, 9, 9, 255], 2: np.zeros((8, 4, 4), int) + [9, 9, 9, 255]})
+    sheets = spark.createDataFrame([(5, 0, 1, True), (5, 1, 2, True), (5, 2, 3, False)], "sheet_id long, pos int, image_id long, readable boolean")
+    out, report = layers.contact_sheet(pixels, images, sheets, cell=4, gap=1)
+    assert back(out, (6, 11)) == [[0] * 11, [0] * 7 + [255, 255, 0, 0], [0, *[255] * 4, 0, 0, 255, 255, 0, 0], [0, *[255] * 4, 0, 0, 255, 255, 0, 0], [0] * 7 + [255, 255, 0, 0], [0] * 11]
+    assert (report.first()["placed"], report.first()["skipped"]) == (2, [3])
