@@ -287,6 +287,33 @@ def decoder(path: str) -> BytePairDecoder:
     return _decoders[path]
 
 
+def _encoded(tool: BytePairEncoder, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids, where each text's ids end) of slices of a column of texts."""
+    texts = utf8(column)
+    for lo in range(0, len(texts), 512):
+        found = tool.encode_all(texts[lo : lo + 512].to_pylist())
+        yield lo, lo + len(found), np.frombuffer(b"".join(found), "<i4"), np.cumsum([len(x) // 4 for x in found])
+
+
+def _digests(tool: BytePairDecoder, flat: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """Of lists of ids: their lengths, and digests of the ids and of what they decode to."""
+    decimal, n, a, b, ends = tool.decimal.__getitem__, [], [], [], ends.tolist()
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        ids = flat[lo:hi].tolist()
+        n.append(len(ids))
+        a.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
+        b.append(hashlib.sha256(tool.decode(ids)).hexdigest())
+    return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+
+
+_DIGESTED = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+_DIGESTED_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, ids array<int>``, a row per row.
 
@@ -297,41 +324,44 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, pattern)
         for batch in batches:
-            texts, doc_ids = utf8(batch.column("text")), batch.column("doc_id")
-            for lo in range(0, len(texts), 512):
-                found = tool.encode_all(texts[lo : lo + 512].to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([doc_ids[lo : lo + 512], ids], ["doc_id", "ids"])
+            for lo, hi, flat, ends in _encoded(tool, batch.column("text")):
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], ids], ["doc_id", "ids"])
         tool.forget()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids`` -> ``doc_id, n_tokens, ids_sha256, decoded_sha256``: the ids
-    in decimal joined by a space, and the bytes that they decode to."""
+    in decimal joined by a space, and the bytes that they decode to. Null ids are none."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = decoder(path)
-        decimal = tool.decimal.__getitem__
         for batch in batches:
-            n, a, b = [], [], []
             column = batch.column("ids")
-            flat, ends = column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy().cumsum().tolist()
-            for lo, hi in zip([0, *ends], ends, strict=False):
-                ids = flat[lo:hi].tolist()
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(tool.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = _digests(tool, column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy().cumsum())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], _DIGESTED)
+
+    return encoded.mapInArrow(run, _DIGESTED_SCHEMA)
+
+
+def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``digests(encode_documents(docs))`` in one pass: a task has one Python worker, and the ids
+    don't leave it."""
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, back = encoder(path, pattern), decoder(path)
+        for batch in batches:
+            for lo, hi, flat, ends in _encoded(tool, batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], *_digests(back, flat, ends)], _DIGESTED)
+        tool.forget()
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs).mapInArrow(run, _DIGESTED_SCHEMA)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids, and of the bytes decoded from them, of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode_documents(docs))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
