@@ -9,30 +9,32 @@ from tessera.plans.staging import staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter, or that resemble
-    none, go."""
+    """Documents whose text has a language; those without a letter (null and empty ones
+    too), or that resemble none, go. Each row passes or goes by its own text; its columns stay."""
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the smallest doc_id."""
+    """One document of each group of near-duplicates, the smallest doc_id; of rows that share a
+    doc_id one. Rows without a doc_id stay, as do texts that are null or have no word."""
     return near_dup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark table."""
+    """Documents that hold no item of the benchmark table; null and short texts hold none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.drop_contaminated(docs, benchmark)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its personal data masked."""
+    """Every document, with its personal data masked and ``n_chars`` counted anew; null stays null."""
     return pii.mask(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of them and of the bytes they decode to."""
-    return bpe.digests(bpe.encode_documents(docs))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document: its token ids and the
+    bytes that they decode to; a null text has no ids."""
+    return bpe.round_trip(docs)
 
 
 STAGES = [
