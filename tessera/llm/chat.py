@@ -204,3 +204,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     return read_back(expanded(format_conversations(rows.unionByName(added)), rest=True))
+
+
+def _escaped_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace(replace(replace({c}, '\\', '\\\\'), '<|', '<\\|'), '\\[(/?INST\\])', '[\\\\\\1', 'g'), '<(/?s>)', '<\\\\\\1', 'g')"
+
+
+#: The same rows for DuckDB, without the examples' texts: a turn counts in each that holds it.
+OP6_SQL = f"""WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, CAST(turn AS BIGINT) AS n, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+p AS (SELECT *, {len(OPEN) + 1 + len(CLOSE)} + length(replace({_escaped_sql("r")}, chr(10), chr(92) || chr(10))) + length({_escaped_sql("x")}) AS chars FROM t),
+q AS (SELECT *, sum(chars) OVER (PARTITION BY c ORDER BY n NULLS FIRST, r, x ROWS UNBOUNDED PRECEDING) AS upto,
+  coalesce(sum(CASE WHEN r = '{TRAINED}' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY n NULLS FIRST, r, x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS later FROM p)
+SELECT c AS conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY n NULLS FIRST, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (r = '{TRAINED}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY n NULLS FIRST, r, x) FILTER (r = '{TRAINED}'), '')) AS loss_sha256,
+  CAST(coalesce(sum(upto) FILTER (r = '{TRAINED}'), 0) + coalesce(sum(chars) FILTER (later = 0), 0) AS BIGINT) AS formatted_chars FROM q GROUP BY c"""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import bit_map, in_map
-from tessera.llm.words import Words, PLACES, chunked, lowered, mixed, signed, split
+from tessera.llm.words import Words, PLACES, chunked, lowered, mixed, signed, split, unused
 from tessera.plans.staging import staged
 
 SEED_WORDS = 3
@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    code = "__decontam_code"
+    code = unused(docs.columns, "__decontam_code")
     bad = staged(contaminated(docs, benchmark, least).select(F.col("code").alias(code)).distinct(), "contaminated")
     keyed = docs.withColumn(code, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(bad, code, "left_anti").drop(code)

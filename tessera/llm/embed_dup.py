@@ -260,3 +260,14 @@ def near_vectors(vectors: DataFrame, least_cosine: float = COSINE) -> DataFrame:
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+#: The same rows for DuckDB, from all pairs of a label.
+OP3_SQL = f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+sound AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pair AS (SELECT a.k AS a, b.k AS b, a.vec_id AS u, b.vec_id AS w FROM sound a JOIN sound b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM sound UNION SELECT r.u, p.w FROM reach r JOIN pair p ON p.u = r.w),
+own AS (SELECT u, min(w) AS least FROM reach GROUP BY u), links AS (SELECT a, count(*) AS n FROM pair GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, coalesce(CASE WHEN sound.k IS NOT NULL THEN own.least END, v.vec_id) AS component_id,
+  coalesce(v.vec_id = coalesce(CASE WHEN sound.k IS NOT NULL THEN own.least END, v.vec_id), true) AS kept
+FROM v LEFT JOIN links ON links.a = v.k LEFT JOIN own ON own.u = v.vec_id LEFT JOIN sound ON sound.k = v.k"""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import bit_map, in_map
-from tessera.llm.words import chunked, mixed, signed, split, utf8
+from tessera.llm.words import chunked, mixed, signed, split, unused, utf8
 from tessera.plans.staging import staged
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
@@ -332,10 +332,10 @@ def mask(docs: DataFrame) -> DataFrame:
     A null text stays null; rows are told apart by doc_id and text, so equal rows
     get the same spans. Added spans are joined to the texts; Spark broadcasts them
     if their table is below its limit, and else shuffles both."""
-    code, more = "__pii_code", "__pii_added"
+    code, more, key, id_ = (unused(docs.columns, f"__pii_{n}") for n in ("code", "added", "key", "id"))
     found = staged(extract(docs), "found")
     added = added_spans(found, trusted_values(docs, found), ["doc_id", "code"])
-    added = staged(added.select(F.col("doc_id").alias("__pii_id"), F.col("code").alias("__pii_key"), F.col("added").alias(more)), "added")
+    added = staged(added.select(F.col("doc_id").alias(id_), F.col("code").alias(key), F.col("added").alias(more)), "added")
     schema, names = docs.schema, docs.columns
     lengths = "n_chars" in names
 
@@ -353,7 +353,7 @@ def mask(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     rows = docs.withColumn(code, F.xxhash64("text"))
-    joined = rows.join(added, (F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_id"))) & (F.col(code) == F.col("__pii_key")), "left")
+    joined = rows.join(added, (F.col("doc_id").cast("long").eqNullSafe(F.col(id_))) & (F.col(code) == F.col(key)), "left")
     return joined.select(*names, more).mapInArrow(run, schema)
 
 

@@ -25,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express; the others are tested against brute force or their library."""
+    return {"op3_embedding_dedup": embed_dup.OP3_SQL, "op6_chat_format": chat.OP6_SQL}

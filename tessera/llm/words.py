@@ -134,3 +134,11 @@ def lowered(column: pa.Array) -> pa.Array:
 
 def signed(code: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
+
+
+def unused(names: list[str], wanted: str) -> str:
+    """A column name that a table with these doesn't have, whatever their case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
