@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import jsonops, text
+from tessera.operators import artifacts
 from tessera.sources import files
 from tessera.streaming import logs
 
@@ -76,7 +77,7 @@ def test_sidecars_settings_and_logs(spark, tmp_path):
     for name, body in (("1", '{"n": 3}'), ("2", "{"), ("3", '{"n": [1]}')):
         (tmp_path / "t" / name).write_text(body)
     rows = files.read_settings(spark, str(tmp_path / "t"), "n int").orderBy("path").collect()
-    assert [r["error"] for r in rows][:2] == [None, "invalid_json"] and rows[0]["settings"]["n"] == 3
+    assert [r["error"] for r in rows] == [None, "invalid_json", "invalid_section"] and rows[0]["settings"]["n"] == 3
     sidecars = spark.createDataFrame([("a", '{"token": 1}')], "name string, body string")
     files.write_sidecars(sidecars, str(tmp_path / "out"))
     assert "redacted" in spark.read.json(str(tmp_path / "out")).first()["body"]
@@ -96,3 +97,116 @@ def test_log_streams(spark, tmp_path):
     logs.notify(logs.log_progress_stream(spark, str(tmp_path / "in")), lambda batch: seen.extend(r["level"] for r in batch.collect()), str(tmp_path / "cp2")).awaitTermination(60)
     assert sorted(seen) == ["debug", "info"]
     assert logs.enabled(" TRUE ") and logs.enabled("1") and not logs.enabled(None) and not logs.enabled("yes")
+
+
+def test_secrets_in_maps_and_variants(spark):
+    rows = spark.sql("SELECT map('Token', 'S', 'n', 'x') AS m, map('token', map('a', 1)) AS k, named_struct('in', map('password', array('p'))) AS s, map('b64_json', 'x', 'n', 'y') AS z, parse_json('{\"token\": 1}') AS v")
+    got = jsonops.redact(rows, ["m", "k", "s"]).first()
+    assert (got["m"], got["k"], got["s"]["in"]) == ({"Token": "[redacted]", "n": "x"}, {"token": None}, {"password": None})
+    assert jsonops.null_payloads(rows, ["z"]).first()["z"] == {"b64_json": None, "n": "y"}
+    for fn in (jsonops.redact, jsonops.null_payloads):
+        with pytest.raises(ValueError, match="VARIANT"):
+            fn(rows, ["v"])
+    entries = rows.selectExpr("'info' AS level", "m AS data")
+    assert logs.persisted(entries).first()["data"]["Token"] == "[redacted]"
+    with pytest.raises(ValueError, match="VARIANT"):
+        logs.persisted(rows.selectExpr("'info' AS level", "v AS data"))
+
+
+def test_unreadable_json_never_passes_and_never_fails(spark):
+    rows = spark.createDataFrame([('{"token": "x"}',), ("{token: SEKRET",), (None,), ("[" * 50_000,)], "v string")
+    got = rows.select(jsonops.redact_json(F.col("v")).alias("r"), jsonops.null_payloads_json(F.col("v")).alias("p"), jsonops.unreadable(F.col("v")).alias("bad")).collect()
+    assert [r["r"] for r in got] == ['{"token":"[redacted]"}', '"[unreadable]"', None, '"[unreadable]"']
+    assert [r["p"] for r in got][1] == '"[unreadable]"' and [r["bad"] for r in got] == [False, True, False, True]
+
+
+def test_settings_of_wrong_types(spark):
+    bodies = ['{"n": 3, "s": {"t": ["a"]}}', "{", '{"n": [1]}', '{"n": "x"}', '{"n": 1.5}', '{"s": 4}', '{"s": {"t": [1]}}', "[]", '{"n": null, "more": 1}', '{"n": 99999999999}']
+    rows = files.parse_settings(spark.createDataFrame(list(enumerate(bodies)), "path int, value string"), "n int, s struct<t: array<string>>").orderBy("path").collect()
+    assert [r["error"] for r in rows] == [None, "invalid_json", *["invalid_section"] * 6, None, "invalid_section"]
+    assert rows[0]["settings"]["s"]["t"] == ["a"] and rows[8]["settings"]["n"] is None and rows[3]["settings"] is None
+
+
+def test_stamps_in_another_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql("SELECT timestamp'2026-01-01 00:00:00.125Z' AS t UNION ALL SELECT timestamp'2026-03-08 07:30:00Z' UNION ALL SELECT timestamp'2026-11-01 05:30:00Z' UNION ALL SELECT null")
+        got = [tuple(r) for r in rows.select(text.utc_stamp(F.col("t")), text.utc_stamp(F.col("t"), True)).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [("20260101-000000-utc", "20260101-000000-125-utc"), ("20260308-073000-utc", "20260308-073000-000-utc"), ("20261101-053000-utc", "20261101-053000-000-utc"), (None, None)]
+
+
+def test_budgets_need_finite_numbers(spark):
+    defaults = spark.createDataFrame([(k, 5, 2, [1.0]) for k in "abcd"], "category string, timeout int, max_retries int, retry_intervals array<double>")
+    given = [("a", 7, 0, [0.0, 3.0]), ("b", 0, -1, [float("nan")]), ("c", None, None, [float("inf")]), ("d", 1, 1, [None])]
+    rows = jsonops.layer_budgets(defaults, spark.createDataFrame(given, defaults.schema)).orderBy("category").collect()
+    assert [tuple(r)[1:] for r in rows] == [(7, 0, [0.0, 3.0]), (5, 2, [1.0]), (5, 2, [1.0]), (1, 1, [1.0])]
+
+
+def test_arrays_of_settings_are_joined_patch_first(spark):
+    rows = spark.sql("SELECT named_struct('a', array(1), 'b', array(1), 'c', 1) AS x, named_struct('a', array(2), 'b', cast(null AS array<int>), 'c', 2) AS y")
+    assert rows.select(jsonops.deep_merge(F.col("x"), F.col("y"), rows.schema["x"].dataType).alias("m")).first()["m"] == ([2, 1], [1], 2)
+
+
+def test_sidecars_belong_to_their_folder(spark):
+    images = spark.createDataFrame([("x/1.png",), ("y/1.png",), ("1.png",), ("x/deep/1.png",)], "path string")
+    sidecars = spark.createDataFrame([("x/1.json", "#000001"), ("y/1.json", "#000002"), ("1.json", None)], "path string, c string")
+    body = F.parse_json(F.to_json(F.struct(F.struct(F.struct(F.col("c").alias("color")).alias("chroma")).alias("request"))))
+    got = {r["path"]: r["color"] for r in artifacts.sidecar_keys(images, sidecars.select("path", body.alias("body"))).collect()}
+    assert got == {"x/1.png": "#000001", "y/1.png": "#000002", "1.png": None, "x/deep/1.png": None}
+
+
+def test_siblings_in_order(spark):
+    names = spark.createDataFrame([(n,) for n in ("a-10.png", "A-2.jpg", "a.json", "b.png", "a-x.png", "a.svg")], "name string")
+    found = artifacts.in_order(artifacts.siblings(names, spark.createDataFrame([("a",), ("b",)], "stem string")))
+    assert [tuple(r) for r in found.collect()] == [("a", "A-2.jpg"), ("a", "a-10.png"), ("a", "a.json"), ("b", "b.png")]
+
+
+def test_written_sidecars_have_no_payloads(spark, tmp_path):
+    files.write_sidecars(spark.createDataFrame([("a", '{"b64_json": "x", "token": 1, "n": 2}')], "name string, body string"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first()["body"] == '{"b64_json":null,"token":"[redacted]","n":2}'
+
+
+def test_written_logs_are_appended_and_redacted(spark, tmp_path):
+    entry = lambda level, data: spark.createDataFrame([(level, data)], "level string, data string")
+    files.write_logs(entry("info", '{"secret": 1}'), str(tmp_path / "l"))
+    files.write_logs(entry("debug", "{}"), str(tmp_path / "l"), debug="1")
+    files.write_logs(entry("debug", "{}"), str(tmp_path / "l"))
+    assert sorted((r["level"], r["data"]) for r in files.read_logs(spark, str(tmp_path / "l")).collect()) == [("debug", "{}"), ("info", '{"secret":"[redacted]"}')]
+
+
+def test_one_notice_for_each_path(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    rows = [("2026-01-01T00:00:00Z", "a"), ("2026-01-01T00:00:05Z", "a"), ("2026-01-01T00:00:07Z", "b"), ("2026-01-01T00:00:09Z", "a")]
+    (folder / "x.json").write_text("\n".join(json.dumps({"time": t, "path": p}) for t, p in rows))
+    stream = logs.failure_notices(spark.readStream.schema("time timestamp, path string").json(str(folder)))
+    run = stream.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert sorted(r["path"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_pixels_round_trip_and_masks_of_images(spark, tmp_path):
+    rows = [(1, y, x, 10 * y, 20 * x, 5, 255) for y in range(3) for x in range(4) if (y, x) != (1, 2)]
+    pixels = spark.createDataFrame(rows, "image_id int, y int, x int, r int, g int, b int, a int")
+    whole = files.densify(pixels, spark.createDataFrame([(1, 4, 3)], "image_id int, width int, height int"))
+    assert whole.count() == 12 and tuple(whole.where("y = 1 and x = 2").first()) == (1, 1, 2, 0, 0, 0, 0)
+    files.write_pixels(whole, str(tmp_path / "p"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).collect())) == sorted(map(tuple, whole.collect()))
+    with pytest.raises(Exception, match="exists"):
+        files.write_pixels(whole, str(tmp_path / "p"))
+    assert {(r["y"], r["x"]): r["a"] for r in files.as_mask(pixels).collect()}[2, 3] == int(0.2126 * 20 + 0.7152 * 60 + 0.0722 * 5 + 0.5)
+
+
+def test_text_patterns_take_linear_time(spark):
+    blank = " " * 300_000
+    c = F.col("v")
+    rows = spark.createDataFrame([(f"{blank}x{blank}\ny{blank}{chr(10) * 300_000}",)], "v string")
+    got = rows.select(text.single_line(c), text.single_line(c, minify=True), text.multiline(c), text.trimmed(c)).first()
+    assert (got[0], got[1], got[2]) == ("x y", "x y", f"{blank}x\ny") and len(got[3]) == 300_003
+
+
+@pytest.mark.parametrize("given, want", [("\n \na  \n b \n \n", "a  \n b "), (" \n ", ""), ("a", "a"), ("\r\na\rb\r\n", "a\nb"), (None, None)])
+def test_edges_without_trimming(spark, given, want):
+    assert one(spark, given, lambda c: text.multiline(c, trim_line_ends=False)) == want
