@@ -322,8 +322,8 @@ SHEET_SQL = """placed AS (SELECT p_partkey // 40 AS sheet_id, p_partkey AS image
   CAST(ceil(sqrt(count(*) OVER (PARTITION BY p_partkey // 40))) AS INTEGER) AS cols, count(*) OVER (PARTITION BY p_partkey // 40) AS many FROM part WHERE p_partkey % 7 <> 0)"""
 
 
-@query("WITH " + SHEET_SQL + """ SELECT sheet_id, image_id, CAST(place AS BIGINT) AS place, cols, CAST(ceil(many / cols) AS INTEGER) AS rows, CAST(16 + place % cols * 272 AS INTEGER) AS "left", CAST(16 + place // cols * 272 AS INTEGER) AS top,
-CAST(cols * 272 + 16 AS BIGINT) AS width, CAST(ceil(many / cols) AS INTEGER) * 272 + 16 AS height FROM placed""")
+@query("WITH " + SHEET_SQL + """ SELECT sheet_id, image_id, CAST(place AS INTEGER) AS place, cols, CAST(ceil(many / cols) AS INTEGER) AS rows, CAST(16 + place % cols * 272 AS INTEGER) AS "left", CAST(16 + place // cols * 272 AS INTEGER) AS top,
+CAST(cols * 272 + 16 AS INTEGER) AS width, CAST(CAST(ceil(many / cols) AS INTEGER) * 272 + 16 AS INTEGER) AS height FROM placed""")
 def sheet_positions(spark, sf_dir):
     return geometry.sheet_plan(_sheets(spark, sf_dir))
 
