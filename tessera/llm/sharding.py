@@ -19,7 +19,7 @@ from tessera.plans.staging import staged
 
 SHARDS = 16
 SEED = 17
-SLICE = 2_000
+SLICE = 500
 
 
 def _offsets(counts: DataFrame, by: list[str], order: str) -> DataFrame:
