@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import bit_map, in_map
-from tessera.llm.words import Words, PLACES, chunked, lowered, mixed, signed, split, unused
+from tessera.llm.words import Words, PLACES, chunked, lowered, mixed, signed, slices, split, unused
 from tessera.plans.staging import staged
 
 SEED_WORDS = 3
@@ -129,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["code", "doc_id", "item_id", "score", "first_word", "end_word"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for code, doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("code", "doc_id", "text", "found")), strict=True):
                 words = _one(text)

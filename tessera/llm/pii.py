@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import bit_map, in_map
-from tessera.llm.words import chunked, mixed, signed, split, unused, utf8
+from tessera.llm.words import chunked, mixed, signed, slices, split, unused, utf8
 from tessera.plans.staging import staged
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
@@ -340,7 +340,7 @@ def mask(docs: DataFrame) -> DataFrame:
     lengths = "n_chars" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, extra in zip(batch.column("text").to_pylist(), batch.column(more).to_pylist(), strict=True):
                 base = base_spans(text or "")

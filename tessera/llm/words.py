@@ -136,6 +136,13 @@ def signed(code: np.ndarray) -> np.ndarray:
     return code.view(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, where a task makes Python strings of their texts."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def unused(names: list[str], wanted: str) -> str:
     """A column name that a table with these doesn't have, whatever their case."""
     taken = {n.lower() for n in names}
