@@ -235,7 +235,8 @@ class BytePairEncoder:
             (known if len(c) <= LONGEST else long_)[c] = ids
         if long_:
             return [b"".join([head, *(known[c] if c in known else long_[c] for c in own[1:])]) for head, own in zip(found, cut, strict=False)]
-        return [b"".join([head, *(known[c] for c in own[1:])]) for head, own in zip(found, cut, strict=False)]
+        of = known.__getitem__
+        return [b"".join([head, *map(of, own[1:])]) for head, own in zip(found, cut, strict=False)]
 
     def encode_chunks(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, by the pattern's matches."""
@@ -253,7 +254,8 @@ class BytePairEncoder:
             known.update(zip([p for p, _ in new], self.merge_all([raw for _, raw in new]), strict=True))
         if long_:
             return [b"".join([known[p] if p in known else long_[p] for p in own]) for own in found]
-        return [b"".join([known[p] for p in own]) for own in found]
+        of = known.__getitem__
+        return [of(own[0]) if len(own) == 1 else b"".join(map(of, own)) for own in found]
 
     def forget(self) -> None:
         self.piece, self.chunk = Memory(), Memory()
