@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 @pytest.fixture(scope="session")
 def spark():
     folder = tempfile.mkdtemp(prefix="spark-")
-    built = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+    built = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
     built = built.config("spark.checkpoint.dir", f"{folder}/checkpoints").config("spark.sql.warehouse.dir", f"{folder}/warehouse").config("spark.sql.session.timeZone", "UTC")
     session = built.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
