@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.words import utf8
+from tessera.llm.words import released, utf8
 
 #: Strings in each of the two generations of what a task remembers, and the most bytes
 #: of a match among them: some 50 MB in all. A task forgets them when it ends.
@@ -331,7 +331,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], ids], ["doc_id", "ids"])
         tool.forget()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(released(run), "doc_id long, ids array<int>")
 
 
 def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -346,7 +346,7 @@ def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             columns = _digests(tool, column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy().cumsum())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], _DIGESTED)
 
-    return encoded.mapInArrow(run, _DIGESTED_SCHEMA)
+    return encoded.mapInArrow(released(run), _DIGESTED_SCHEMA)
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -361,7 +361,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str = pu
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], *_digests(back, flat, ends)], _DIGESTED)
         tool.forget()
 
-    return _texts(docs).mapInArrow(run, _DIGESTED_SCHEMA)
+    return _texts(docs).mapInArrow(released(run), _DIGESTED_SCHEMA)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.words import Words, chunked, mixed, signed, split
+from tessera.llm.words import Words, chunked, mixed, released, signed, split
 from tessera.plans.staging import staged
 
 FREQUENT, SHAPES, CLASSES, SWEEPS = 1024, 512, 64, 8
@@ -147,7 +147,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if parts:
             yield _packed(number, parts)
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, Block.SCHEMA)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(released(run), Block.SCHEMA)
 
 
 def _each_block(blocks: DataFrame, of, needs: str, schema: str, columns: list[str]) -> DataFrame:
@@ -158,7 +158,7 @@ def _each_block(blocks: DataFrame, of, needs: str, schema: str, columns: list[st
             for k in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in of(Block(batch, k))], columns)
 
-    return blocks.select(*needs.split()).mapInArrow(run, schema)
+    return blocks.select(*needs.split()).mapInArrow(released(run), schema)
 
 
 def type_of(code: np.ndarray, shape: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -205,7 +205,7 @@ def _type_pairs(blocks: DataFrame, frequent: np.ndarray) -> np.ndarray:
                 counts += np.bincount(pair, minlength=types * types)
         yield _pair_rows(counts, types)
 
-    return _table(blocks.select("held", "sizes", "places", "words", "shapes").mapInArrow(run, "a int, b int, n long"), types)
+    return _table(blocks.select("held", "sizes", "places", "words", "shapes").mapInArrow(released(run), "a int, b int, n long"), types)
 
 
 def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -340,7 +340,7 @@ def _classes(near: DataFrame, frequent: np.ndarray, class_of: np.ndarray, table:
         if len(word):
             yield settle(word, n, counts)
 
-    return near.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, n long, class int")
+    return near.repartition("word").sortWithinPartitions("word").mapInArrow(released(run), "word long, n long, class int")
 
 
 def _classed(blocks: DataFrame, words: DataFrame, parts: int, frequent: np.ndarray, class_of: np.ndarray, n_tokens: int, n_words: int) -> DataFrame:
@@ -398,7 +398,7 @@ def _transitions(classed: DataFrame) -> np.ndarray:
                 counts += np.bincount(_steps(*_tokens_of(batch)), minlength=CLASSES * CLASSES)
         yield _pair_rows(counts, CLASSES)
 
-    return _table(classed.where("not held_out").select("classes").mapInArrow(run, "a int, b int, n long"), CLASSES)
+    return _table(classed.where("not held_out").select("classes").mapInArrow(released(run), "a int, b int, n long"), CLASSES)
 
 
 def probabilities(table: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -447,7 +447,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
             columns += [pa.array(np.full(len(value), n_tokens)), batch.column("base_score"), pa.array(value), pa.array(10 ** (-value / np.diff(first)))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return classed.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return classed.mapInArrow(released(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

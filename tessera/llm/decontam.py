@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import bit_map, in_map
-from tessera.llm.words import Words, PLACES, chunked, lowered, mixed, signed, slices, split, unused
+from tessera.llm.words import PLACES, Words, chunked, lowered, mixed, released, signed, slices, split, unused
 from tessera.plans.staging import staged
 
 SEED_WORDS = 3
@@ -55,7 +55,7 @@ def _item_runs(items: DataFrame) -> DataFrame:
                 ids = batch.column("item_id").slice(lo, hi - lo).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), pa.array(signed(code))], ["item_id", "item_at", "key"])
 
-    return items.mapInArrow(run, "item_id long, item_at int, key long")
+    return items.mapInArrow(released(run), "item_id long, item_at int, key long")
 
 
 def _document_runs(docs: DataFrame, words: np.ndarray) -> DataFrame:
@@ -69,7 +69,7 @@ def _document_runs(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 owner = batch.column("code").slice(lo, hi - lo).take(pa.array(row[hit]))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(code[hit])), owner, pa.array(at[hit].astype(np.int32))], ["key", "code", "at"])
 
-    return docs.select("text", "code").mapInArrow(run, "key long, code long, at int")
+    return docs.select("text", "code").mapInArrow(released(run), "key long, code long, at int")
 
 
 def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -144,9 +144,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
                         out.append((code, doc_id, x["item_id"], best[0] / (MATCH * len(item)), -best[1], best[2]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 6, kinds, strict=True)], names)
 
-    texts = docs.mapInArrow(pick, docs.schema)
+    texts = docs.mapInArrow(released(pick), docs.schema)
     listed = pairs.join(items.withColumnRenamed("text", "item"), "item_id").groupBy("code").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("found"))
-    return texts.join(listed, "code").mapInArrow(align, "code long, doc_id long, item_id long, score double, first_word int, end_word int")
+    return texts.join(listed, "code").mapInArrow(released(align), "code long, doc_id long, item_id long, score double, first_word int, end_word int")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:

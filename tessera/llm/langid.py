@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.words import chunked, utf8
+from tessera.llm.words import chunked, released, utf8
 
 DIMENSIONS = 512
 SEED = 70707
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> tu
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(total)], ["lang", "k", "x"])
 
     rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sums = rows.mapInArrow(run, "lang string, k int, x double").groupBy("lang", "k").agg(F.sum("x").alias("x"))
+    sums = rows.mapInArrow(released(run), "lang string, k int, x double").groupBy("lang", "k").agg(F.sum("x").alias("x"))
     found = sums.toPandas()  # a row for each language and dimension
     names = sorted(found["lang"].unique())
     table = np.zeros((len(names), dimensions))
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, seed: int
                     yield pa.RecordBatch.from_arrays([ids[lo + a : lo + b], pa.array(best.tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(released(run), "doc_id long, lang_pred string, score double")
 
 
 def fold(doc_id: Column) -> Column:
@@ -224,4 +224,4 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
                     good = letters & ((_unit(x) @ prototypes.T).max(axis=1) >= least) if names else letters
                     yield batch.slice(lo + a, b - a).filter(pa.array(good))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

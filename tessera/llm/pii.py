@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import bit_map, in_map
-from tessera.llm.words import chunked, mixed, signed, slices, split, unused, utf8
+from tessera.llm.words import chunked, mixed, released, signed, slices, split, unused, utf8
 from tessera.plans.staging import staged
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
@@ -213,7 +213,7 @@ def extract(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([uids, ids[lo : lo + 512], batch.column("code")[lo : lo + 512], pa.array(out, kind)], ["uid", "doc_id", "code", "found"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("code"))
-    return rows.mapInArrow(run, f"uid long, doc_id long, code long, {_FOUND}")
+    return rows.mapInArrow(released(run), f"uid long, doc_id long, code long, {_FOUND}")
 
 
 def occurrences(docs: DataFrame, words: np.ndarray) -> DataFrame:
@@ -243,7 +243,7 @@ def occurrences(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 yield out()
         yield out()
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n long")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(run), "key long, n long")
     return counted.groupBy("key").agg(F.sum("n").alias("occurs"))
 
 
@@ -354,7 +354,7 @@ def mask(docs: DataFrame) -> DataFrame:
 
     rows = docs.withColumn(code, F.xxhash64("text"))
     joined = rows.join(added, (F.col("doc_id").cast("long").eqNullSafe(F.col(id_))) & (F.col(code) == F.col(key)), "left")
-    return joined.select(*names, more).mapInArrow(run, schema)
+    return joined.select(*names, more).mapInArrow(released(run), schema)
 
 
 def replaced(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

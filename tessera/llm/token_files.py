@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.words import chunked, utf8
+from tessera.llm.words import chunked, released, utf8
 from tessera.plans.staging import new_path
 
 END_ID = 1
@@ -297,7 +297,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    done = rows.mapInArrow(write, "part long, path string, docs long, ids long").collect()
+    done = rows.mapInArrow(released(write), "part long, path string, docs long, ids long").collect()
     return [(r["path"], r["docs"], r["ids"]) for r in sorted(done, key=lambda r: r["part"])]
 
 
@@ -333,7 +333,7 @@ def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) ->
                     lo = hi
                 file.close()
 
-    return listed.repartition(len(files)).mapInArrow(read, schema)
+    return listed.repartition(len(files)).mapInArrow(released(read), schema)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

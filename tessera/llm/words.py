@@ -6,7 +6,9 @@ its own)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,6 +145,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(lo, rows)
 
 
+def released(run: Callable) -> Callable:
+    """A task's function after which the memory that it has freed goes back to the system, as
+    Python workers are used again and would keep it."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def unused(names: list[str], wanted: str) -> str:
     """A column name that a table with these doesn't have, whatever their case."""
     taken = {n.lower() for n in names}
