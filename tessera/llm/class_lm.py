@@ -330,7 +330,7 @@ def _classes(near: DataFrame, frequent: np.ndarray, class_of: np.ndarray, table:
                 own = np.concatenate((word, part.column("word").to_numpy()))
                 group = np.cumsum(np.concatenate(([0], (own[1:] != own[:-1]).astype(np.int64))))
                 row = np.repeat(group[len(word) :], np.diff(offsets) // 2)
-                new = np.bincount(row * _SIDES + entries[:, 0], entries[:, 1], (group[-1] + 1) * _SIDES).reshape(-1, _SIDES)
+                new = np.bincount(row * _SIDES + entries[:, 0], entries[:, 1], (group[-1] + 1) * _SIDES).astype(np.float64).reshape(-1, _SIDES)
                 new[: len(word)] += counts
                 total = np.bincount(group, np.concatenate((n, part.column("n").to_numpy()))).astype(np.int64)
                 own = own[np.concatenate(([True], own[1:] != own[:-1]))]
