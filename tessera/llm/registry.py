@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, class_lm, decontam, embed_dup, langid, near_dup, pii, sharding, token_files
+from tessera.llm import alignment, bpe, chat, class_lm, decontam, embed_dup, langid, near_dup, pii, sharding, token_counts, token_files, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_token_files": token_files.op9_token_files,
         "op10_sharding": sharding.op10_sharding,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_token_counts": token_counts.op12_token_counts,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
