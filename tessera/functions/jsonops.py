@@ -51,17 +51,36 @@ def null_payloads(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: _rewritten(F.col(c), df.schema[c].dataType, lambda k: k.isin(*PAYLOAD_KEYS), lambda n: n in PAYLOAD_KEYS, none) for c in cols})
 
 
+def strict_json(c: Column) -> Column:
+    """JSON text as VARIANT if all of it is one value, else null; a JSON null is a variant null.
+
+    Spark's own function takes the first value and ignores what follows. So the text is made the
+    first item of an array whose second is the text's digest: only where that is read back did
+    the first end where the text does. An object that repeats a key, a text beyond the size of
+    a VARIANT, and one nested deeper than 1,000 are no JSON here."""
+    mark = F.sha2(c, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]')))
+    return F.when(F.try_variant_get(both, "$[1]", "string") == mark, F.try_variant_get(both, "$[0]", "variant"))
+
+
 def redact_json(c: Column) -> Column:
     """Secrets in JSON text of any shape; null stays null, and text that is no JSON becomes a
     JSON string that says so, as it might hold anything (see :func:`unreadable`).
 
-    Schemas of free-form JSON aren't known, so this is a Python function over batches."""
-    return _json_udf("redact")(c)
+    Schemas of free-form JSON aren't known, so this is a Python function over batches. Of a
+    repeated key the last value stays, as parsers that users know do it."""
+    return _json_udf(_redacted)(c)
 
 
 def null_payloads_json(c: Column) -> Column:
     """Encoded images in JSON text of any shape, as :func:`redact_json`."""
-    return _json_udf("payloads")(c)
+    return _json_udf(_without_payloads)(c)
+
+
+def sanitized_json(c: Column, indent: int | None = None) -> Column:
+    """Both rules of :func:`redact_json` and :func:`null_payloads_json` in one pass; with an
+    indent on lines of their own."""
+    return _json_udf(lambda k, v: _without_payloads(k, _redacted(k, v)), indent)(c)
 
 
 #: What stands for text that is no JSON.
@@ -69,26 +88,50 @@ UNREADABLE = '"[unreadable]"'
 
 
 def unreadable(c: Column) -> Column:
-    """Whether text is there that is no JSON: the rows to look at."""
-    return c.isNotNull() & F.try_parse_json(c).isNull()
+    """Whether text is there that is no JSON, by the parser of :func:`redact_json`: the rows to look at."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: None if text is None else _parsed(text)[1])
+
+    return c.isNotNull() & run(c)
+
+
+def _redacted(k: str, v: object) -> object:
+    return REDACTED if k.lower() in SECRET_KEYS else v
+
+
+def _without_payloads(k: str, v: object) -> object:
+    return None if k in PAYLOAD_KEYS else v
+
+
+def _parsed(text: str) -> tuple[object, bool]:
+    """A JSON text's value, and whether it is none."""
+
+    def refuse(name: str) -> None:
+        raise ValueError(f"{name} is no JSON")
+
+    try:
+        return json.loads(text, parse_constant=refuse), False
+    except (ValueError, RecursionError):
+        return None, True
 
 
-def _json_udf(rule: str):
+def _json_udf(rule: Callable[[str, object], object], indent: int | None = None):
     def walk(v):
         if isinstance(v, list):
             return [walk(x) for x in v]
         if isinstance(v, dict):
-            if rule == "redact":
-                return {k: REDACTED if k.lower() in SECRET_KEYS else walk(x) for k, x in v.items()}
-            return {k: None if k in PAYLOAD_KEYS else walk(x) for k, x in v.items()}
+            return {k: walk(x) if (x := rule(k, y)) is y else x for k, y in v.items()}
         return v
 
     def one(text: str | None) -> str | None:
         if text is None:
             return None
+        value, bad = _parsed(text)
         try:
-            return json.dumps(walk(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-        except (ValueError, RecursionError):
+            return UNREADABLE if bad else json.dumps(walk(value), ensure_ascii=False, indent=indent, separators=(",", ":" if indent is None else ": "))
+        except RecursionError:
             return UNREADABLE
 
     @F.pandas_udf("string")
@@ -139,8 +182,9 @@ def parse_verdicts(responses: DataFrame) -> DataFrame:
     """``response_id, refusal, finish_reason, content`` -> ``response_id, status, ok, score, reasons``.
 
     status: refusal, content_filter, length (checked in this order, before the content), empty,
-    not_json, off_schema or verdict. The score is held to 0..1; a fault has no verdict."""
-    v = F.try_parse_json("content")
+    not_json (see :func:`strict_json`: also where something follows the value), off_schema or
+    verdict. The score is held to 0..1; a fault has no verdict."""
+    v = strict_json(F.col("content"))
     kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     score_kind = kind("$.score")
     reasons = F.try_variant_get(v, "$.reasons", "array<variant>")

@@ -10,6 +10,7 @@ from tessera.operators import artifacts
 from tessera.plans.fixtures import table
 from tessera.plans.staging import new_path
 from tessera.sources import files
+from tessera.sources import sidecars as documents
 from tessera.streaming import logs
 
 QUERIES: dict = {}
@@ -113,12 +114,12 @@ def layered_budgets(spark, sf_dir):
     return jsonops.layer_budgets(defaults, over).select("category", "timeout", "max_retries", F.array_join(F.col("retry_intervals").cast("array<string>"), ",").alias("intervals"))
 
 
-@query("""SELECT doc_id AS response_id, CASE WHEN doc_id % 11 = 0 THEN 'refusal' WHEN doc_id % 11 = 1 THEN 'content_filter' WHEN doc_id % 11 = 2 THEN 'length' WHEN doc_id % 11 = 3 THEN 'empty' WHEN doc_id % 11 = 4 THEN 'not_json'
- WHEN doc_id % 11 = 5 OR quality IS NULL THEN 'off_schema' ELSE 'verdict' END AS status, CASE WHEN doc_id % 11 > 5 AND quality IS NOT NULL THEN quality = 1 END AS ok, CASE WHEN doc_id % 11 > 5 THEN least(1.0, greatest(0.0, quality * 1.5 - 0.2)) END AS score, CASE WHEN doc_id % 11 > 5 AND quality IS NOT NULL THEN 'a,b' END AS reasons FROM labels""")
+@query("""SELECT doc_id AS response_id, CASE WHEN doc_id % 11 = 0 THEN 'refusal' WHEN doc_id % 11 = 1 THEN 'content_filter' WHEN doc_id % 11 = 2 THEN 'length' WHEN doc_id % 11 = 3 THEN 'empty' WHEN doc_id % 11 IN (4, 9, 10) THEN 'not_json'
+ WHEN doc_id % 11 = 5 OR quality IS NULL THEN 'off_schema' ELSE 'verdict' END AS status, CASE WHEN doc_id % 11 BETWEEN 6 AND 8 AND quality IS NOT NULL THEN quality = 1 END AS ok, CASE WHEN doc_id % 11 BETWEEN 6 AND 8 THEN least(1.0, greatest(0.0, quality * 1.5 - 0.2)) END AS score, CASE WHEN doc_id % 11 BETWEEN 6 AND 8 AND quality IS NOT NULL THEN 'a,b' END AS reasons FROM labels""")
 def verdicts(spark, sf_dir):
     m, q = F.col("doc_id") % 11, F.col("quality")
     good = F.to_json(F.struct((q == 1).alias("ok"), (q * 1.5 - 0.2).alias("score"), F.array(F.lit("a"), F.lit("b")).alias("reasons")))
-    content = F.when(m == 3, "").when(m == 4, "{not json").when(m == 5, '{"ok":"yes","score":1,"reasons":[]}').otherwise(good)
+    content = F.when(m == 3, "").when(m == 4, "{not json").when(m == 5, '{"ok":"yes","score":1,"reasons":[]}').when(m == 9, F.concat(good, F.lit(" and more"))).when(m == 10, F.concat(good, good)).otherwise(good)
     finish = F.when(m <= 1, "content_filter").when(m == 2, "length").otherwise("stop")
     rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("response_id"), F.when(m == 0, "no").alias("refusal"), finish.alias("finish_reason"), content.alias("content"))
     return jsonops.parse_verdicts(rows).withColumn("reasons", F.array_join("reasons", ","))
@@ -252,20 +253,33 @@ def logs_written_and_read(spark, sf_dir):
     return files.read_logs(spark, path).where("_corrupt_record is null").select(F.col("message").cast("long").alias("event_id"), "level", "data")
 
 
-@query("""SELECT p_partkey, p_partkey % 5 = 4 AS rejected, CASE WHEN p_partkey % 5 <> 4 THEN CAST(p_partkey AS VARCHAR) END AS stem, CASE WHEN p_partkey % 5 <> 4 THEN p_brand END AS brand FROM part""")
+@query("""SELECT p_partkey, p_partkey % 5 >= 2 AS rejected, CASE WHEN p_partkey % 5 < 2 THEN CAST(p_partkey AS VARCHAR) END AS stem, CASE WHEN p_partkey % 5 < 2 THEN p_brand END AS brand FROM part""")
 def sidecar_scan(spark, sf_dir):
     k = F.col("p_partkey")
-    body = F.when(k % 5 == 4, F.lit("{no json")).otherwise(F.to_json(F.struct("p_brand")))
-    good, bad = files.parse_sidecars(table(spark, sf_dir, "part").select(F.concat(F.lit("x/"), k, F.lit(".json")).alias("path"), body.alias("value")))
+    good = F.to_json(F.struct("p_brand"))
+    # broken, followed by text, or two values
+    body = F.when(k % 5 == 4, F.lit("{no json")).when(k % 5 == 3, F.concat(good, F.lit(" trailing"))).when(k % 5 == 2, F.concat(good, good)).otherwise(good)
+    good, bad = documents.parse_sidecars(table(spark, sf_dir, "part").select(F.concat(F.lit("x/"), k, F.lit(".json")).alias("path"), body.alias("value")))
     number = F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey")
     return good.select(number, F.lit(False).alias("rejected"), "stem", F.try_variant_get("body", "$.p_brand", "string").alias("brand")).union(bad.select(number, F.lit(True), F.lit(None), F.lit(None)))
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'invalid_section' WHEN 2 THEN 'invalid_section' WHEN 3 THEN 'invalid_section' END AS error, CASE WHEN event_id % 6 > 3 THEN event_id END AS n, CASE WHEN event_id % 6 = 4 THEN 'a,b' END AS tags FROM events""")
+@query("""SELECT p_partkey, 'p ' || p_partkey AS stem, 'd' || (p_partkey % 3) AS folder, p_brand AS brand, '[redacted]' AS token, true AS nulled FROM part""")
+def sidecars_written_and_read(spark, sf_dir):
+    k, path = F.col("p_partkey"), new_path(spark, "sidecars")
+    body = F.to_json(F.struct(k, "p_brand", F.struct(F.lit("s").alias("apiKey"), F.lit("x").alias("b64_json")).alias("request")))
+    documents.write_sidecars(table(spark, sf_dir, "part").select(F.concat(F.lit("d"), k % 3, F.lit("/p "), k).alias("name"), body.alias("body")), path)
+    of = lambda at, kind="string": F.try_variant_get("body", at, kind)
+    rows = documents.read_sidecars(spark, path)[0]
+    nulled = of("$.request", "string").contains('"b64_json":null').alias("nulled")
+    return rows.select(of("$.p_partkey", "long").alias("p_partkey"), "stem", F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"), of("$.p_brand").alias("brand"), of("$.request.apiKey").alias("token"), nulled)
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'invalid_json' WHEN 6 THEN 'invalid_json' WHEN 7 THEN 'invalid_json' WHEN 1 THEN 'invalid_section' WHEN 2 THEN 'invalid_section' WHEN 3 THEN 'invalid_section' END AS error, CASE WHEN event_id % 8 IN (4, 5) THEN event_id END AS n, CASE WHEN event_id % 8 = 4 THEN 'a,b' END AS tags FROM events""")
 def settings_scan(spark, sf_dir):
     e = F.col("event_id")
-    forms = ['{{"in": {{"n": {n}', '{{"in": {{"n": ["{n}"]}}}}', '{{"in": {{"n": "{n}"}}}}', '{{"in": {{"n": {n}, "tags": ["a", 1]}}}}', '{{"in": {{"n": {n}, "tags": ["a", "b"]}}, "other": 1}}', '{{"in": {{"n": {n}, "tags": null}}}}']
-    value = F.element_at(F.array(*(F.replace(F.lit(f.format(n="#")), F.lit("#"), e.cast("string")) for f in forms)), (e % 6 + 1).cast("int"))
+    forms = ['{{"in": {{"n": {n}', '{{"in": {{"n": ["{n}"]}}}}', '{{"in": {{"n": "{n}"}}}}', '{{"in": {{"n": {n}, "tags": ["a", 1]}}}}', '{{"in": {{"n": {n}, "tags": ["a", "b"]}}, "other": 1}}', '{{"in": {{"n": {n}, "tags": null}}}}', '{{"in": {{"n": {n}}}}} x', '{{"in": {{"n": {n}}}}}{{}}']
+    value = F.element_at(F.array(*(F.replace(F.lit(f.format(n="#")), F.lit("#"), e.cast("string")) for f in forms)), (e % 8 + 1).cast("int"))
     rows = files.parse_settings(table(spark, sf_dir, "events").select(e.cast("string").alias("path"), value.alias("value")), "in struct<n: bigint, tags: array<string>>")
     return rows.select(F.col("path").cast("long").alias("event_id"), "error", F.col("settings.in.n").alias("n"), F.array_join("settings.in.tags", ",").alias("tags"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import jsonops, text
 from tessera.operators import artifacts
-from tessera.sources import files
+from tessera.sources import files, sidecars
 from tessera.streaming import logs
 
 
@@ -68,21 +68,16 @@ def test_sidecars_settings_and_logs(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "a.json").write_text('{"request": {"chroma": {"color": "#00ff00"}}}')
     (tmp_path / "s" / "b.json").write_text("{no")
-    good, bad = files.read_sidecars(spark, str(tmp_path / "s"))
+    good, bad = sidecars.read_sidecars(spark, str(tmp_path / "s"))
     assert good.first()["stem"] == "a" and bad.count() == 1
     assert files.read_settings(spark, str(tmp_path / "none"), "n int", required=False).count() == 0
     with pytest.raises(FileNotFoundError):
         files.read_settings(spark, str(tmp_path / "none"), "n int")
     (tmp_path / "t").mkdir()
-    for name, body in (("1", '{"n": 3}'), ("2", "{"), ("3", '{"n": [1]}')):
+    for name, body in (("1", '{"n": 3}'), ("2", "{"), ("3", '{"n": [1]}'), ("4", "")):
         (tmp_path / "t" / name).write_text(body)
     rows = files.read_settings(spark, str(tmp_path / "t"), "n int").orderBy("path").collect()
-    assert [r["error"] for r in rows] == [None, "invalid_json", "invalid_section"] and rows[0]["settings"]["n"] == 3
-    sidecars = spark.createDataFrame([("a", '{"token": 1}')], "name string, body string")
-    files.write_sidecars(sidecars, str(tmp_path / "out"))
-    assert "redacted" in spark.read.json(str(tmp_path / "out")).first()["body"]
-    with pytest.raises(Exception, match="exists"):
-        files.write_sidecars(sidecars, str(tmp_path / "out"))
+    assert [r["error"] for r in rows] == [None, "invalid_json", "invalid_section", "invalid_json"] and rows[0]["settings"]["n"] == 3
 
 
 def test_log_streams(spark, tmp_path):
@@ -114,10 +109,26 @@ def test_secrets_in_maps_and_variants(spark):
 
 
 def test_unreadable_json_never_passes_and_never_fails(spark):
-    rows = spark.createDataFrame([('{"token": "x"}',), ("{token: SEKRET",), (None,), ("[" * 50_000,)], "v string")
+    bad = ["{token: SEKRET", "[" * 50_000, '{"token": "x"} more', '{"a": 1}{"b": 2}', "NaN", "", "1] x [2", '{"a": 1}]', "\ufeff{}"]
+    rows = spark.createDataFrame([('{"token": "x"}',), (None,), (' {"a": {}, "a": [true]}\n',), *((x,) for x in bad)], "v string")
     got = rows.select(jsonops.redact_json(F.col("v")).alias("r"), jsonops.null_payloads_json(F.col("v")).alias("p"), jsonops.unreadable(F.col("v")).alias("bad")).collect()
-    assert [r["r"] for r in got] == ['{"token":"[redacted]"}', '"[unreadable]"', None, '"[unreadable]"']
-    assert [r["p"] for r in got][1] == '"[unreadable]"' and [r["bad"] for r in got] == [False, True, False, True]
+    assert [r["r"] for r in got] == ['{"token":"[redacted]"}', None, '{"a":[true]}'] + ['"[unreadable]"'] * len(bad)
+    assert [r["p"] for r in got][3:] == ['"[unreadable]"'] * len(bad) and [r["bad"] for r in got] == [False] * 3 + [True] * len(bad)
+
+
+def test_strict_json_takes_one_whole_value(spark):
+    good = ['{"x": 1}', "null", '"s"', " [1, 2]\n", "true", "-0.5", '{"k": "]"}', "{}"]
+    bad = ['{"x":1} more', '{"x":1}{"y":2}', "1,2", "1, 2]", "1] x [2", '{"x":1},', "", "  ", "tru", '{"a":1,"a":2}', '1,"x"', None]
+    rows = spark.createDataFrame([(x,) for x in good + bad], "c string").select(F.to_json(jsonops.strict_json(F.col("c"))).alias("j")).collect()
+    assert [r["j"] for r in rows] == ['{"x":1}', "null", '"s"', "[1,2]", "true", "-0.5", '{"k":"]"}', "{}"] + [None] * len(bad)
+
+
+def test_nothing_may_follow_settings_and_verdicts(spark):
+    rows = spark.createDataFrame([("a", '{"n": 3} x'), ("b", '{"n": 3}{"n": 4}'), ("c", '{"n": 3}')], "path string, value string")
+    assert [r["error"] for r in files.parse_settings(rows, "n int").orderBy("path").collect()] == ["invalid_json", "invalid_json", None]
+    answer = '{"ok": true, "score": 1, "reasons": []}'
+    answers = spark.createDataFrame([(k, None, "stop", answer + more) for k, more in enumerate(("", " and more", answer, "]"))], "response_id int, refusal string, finish_reason string, content string")
+    assert [r["status"] for r in jsonops.parse_verdicts(answers).orderBy("response_id").collect()] == ["verdict"] + ["not_json"] * 3
 
 
 def test_settings_of_wrong_types(spark):
@@ -163,11 +174,6 @@ def test_siblings_in_order(spark):
     assert [tuple(r) for r in found.collect()] == [("a", "A-2.jpg"), ("a", "a-10.png"), ("a", "a.json"), ("b", "b.png")]
 
 
-def test_written_sidecars_have_no_payloads(spark, tmp_path):
-    files.write_sidecars(spark.createDataFrame([("a", '{"b64_json": "x", "token": 1, "n": 2}')], "name string, body string"), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).first()["body"] == '{"b64_json":null,"token":"[redacted]","n":2}'
-
-
 def test_written_logs_are_appended_and_redacted(spark, tmp_path):
     entry = lambda level, data: spark.createDataFrame([(level, data)], "level string, data string")
     files.write_logs(entry("info", '{"secret": 1}'), str(tmp_path / "l"))
