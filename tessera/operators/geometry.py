@@ -96,16 +96,36 @@ def layer_plan(pairs: DataFrame, gravity: str = "center", scale: float | None =
     return rows.withColumn("status", status).drop("longer")
 
 
-def source_over(base: DataFrame, top: DataFrame, plan: DataFrame) -> DataFrame:
-    """``top`` (already at its planned size) laid over ``base`` with straight alpha; a row
-    for each base pixel, as ``image_id`` the base's. Rounding may differ by 1 from other compositors."""
-    where = plan.where("status = 'ok'").select("base_id", "top_id", "dest_x", "dest_y")
-    moved = top.withColumnRenamed("image_id", "top_id").join(where, "top_id").select(F.col("base_id").alias("image_id"), (F.col("y") + F.col("dest_y")).alias("y"), (F.col("x") + F.col("dest_x")).alias("x"), *(F.col(c).alias(f"t{c}") for c in "rgba"))
-    rows = base.join(moved, KEY, "left")
-    t, u = F.coalesce(F.col("ta") / 255, F.lit(0.0)), F.col("a") / 255
+def _over(top: dict[str, Column], under: dict[str, Column]) -> list[Column]:
+    """Bytes of a pixel laid over another one with straight alpha."""
+    t, u = top["a"] / 255, under["a"] / 255
     alpha = t + u * (1 - t)
-    mixed = lambda c: F.when(alpha > 0, half_up((F.coalesce(F.col(f"t{c}"), F.lit(0)) * t + F.col(c) * u * (1 - t)) / F.when(alpha > 0, alpha))).otherwise(0).cast("int").alias(c)
-    return rows.select(*KEY, *map(mixed, "rgb"), half_up(alpha * 255).cast("int").alias("a"))
+    mixed = [F.when(alpha > 0, half_up((top[c] * t + under[c] * u * (1 - t)) / F.when(alpha > 0, alpha))).otherwise(0).cast("int").alias(c) for c in "rgb"]
+    return [*mixed, half_up(alpha * 255).cast("int").alias("a")]
+
+
+def source_over(base: DataFrame, top: DataFrame, plan: DataFrame) -> DataFrame:
+    """Tops (already at their planned size) laid over ``base`` with straight alpha; a row for each
+    base pixel, as ``image_id`` the base's; bases without a top come as they are.
+
+    Several tops of a base are laid over it one after the other, rounded each time, by the plan's
+    ``position`` (null first; all alike if it has none), of equal ones by ``top_id``. The tops
+    that cover a pixel are gathered for it, so as many as there are at most.
+    Rounding may differ by 1 from other compositors."""
+    where = plan.where("status = 'ok'")
+    where = where.select("base_id", "top_id", "dest_x", "dest_y", (F.col("position") if "position" in plan.columns else F.lit(0)).alias("position"))
+    moved = top.withColumnRenamed("image_id", "top_id").join(where, "top_id").select(F.col("base_id").alias("image_id"), (F.col("y") + F.col("dest_y")).alias("y"), (F.col("x") + F.col("dest_x")).alias("x"), "position", "top_id", *"rgba")
+    under = {c: F.col(c) for c in "rgba"}
+    if where.groupBy("base_id").count().where("count > 1").isEmpty():
+        rows = base.join(moved.select(*KEY, *(F.col(c).alias(f"t{c}") for c in "rgba")), KEY, "left")
+        return rows.select(*KEY, *_over({c: F.coalesce(f"t{c}", F.lit(0)) for c in "rgba"}, under))
+    stacks = moved.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("position", "top_id", *"rgba"))).alias("stack"))
+    own = F.struct(*(c.cast("int").alias(n) for n, c in under.items()))
+    laid = F.aggregate("stack", own, lambda below, over: F.struct(*_over({c: over[c] for c in "rgba"}, {c: below[c] for c in "rgba"})))
+    rows = base.join(stacks, KEY, "left").withColumn("laid", laid)
+    # a pixel that no top covers is rounded as the others are: without alpha it has no colour
+    bare = F.struct(*_over({c: F.lit(0) for c in "rgba"}, under))
+    return rows.select(*KEY, F.when(F.col("stack").isNull(), bare).otherwise(F.col("laid")).alias("laid")).select(*KEY, *(f"laid.{c}" for c in "rgba"))
 
 
 def _cut(length: Column, core: int, margin: int) -> Column:

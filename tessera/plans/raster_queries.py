@@ -487,3 +487,24 @@ def gradient_plates(spark, sf_dir):
     at = F.col("y") * 64 + F.col("x") + 1
     rows = layers.gradient_plates(plates)
     return rows.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum((F.col("a") > 0).cast("long")).alias("shown"), F.sum(F.col("a") * at).cast("long").alias("a_sum"), F.round(F.avg("r"), 1).alias("r_mean"))
+
+
+def _laid_sql(name: str, under: str, top: str, dy: int, dx: int) -> str:
+    """``under`` with ``top`` over it, moved, rounded to bytes."""
+    colour = lambda c: f"CASE WHEN o.a + u.a > 0 THEN CAST(floor((o.{c} * (o.a / 255) + u.{c} * (u.a / 255) * (1 - o.a / 255)) / (o.a / 255 + u.a / 255 * (1 - o.a / 255)) + 0.5) AS INTEGER) ELSE 0 END AS {c}"
+    over = f"(SELECT u.image_id, u.y, u.x, coalesce(t.r, 0) AS r, coalesce(t.g, 0) AS g, coalesce(t.b, 0) AS b, coalesce(t.a, 0) AS a FROM {under} u LEFT JOIN {top} t ON t.image_id = u.image_id AND t.y = u.y - ({dy}) AND t.x = u.x - ({dx}))"
+    return f"{name} AS (SELECT u.image_id, u.y, u.x, {', '.join(map(colour, 'rgb'))}, CAST(floor((o.a / 255 + u.a / 255 * (1 - o.a / 255)) * 255 + 0.5) AS INTEGER) AS a FROM {under} u JOIN {over} o USING (image_id, y, x))"
+
+
+STACK_SQL = "glass AS (SELECT image_id, y, x, b AS r, r AS g, g AS b, CAST((x * 7 + y * 13 + image_id) % 256 AS INTEGER) AS a FROM px)"
+
+
+@query(with_pixels(STACK_SQL, _laid_sql("once", "cut", "glass", 3, -4), _laid_sql("twice", "once", "glass", 3, -4), _laid_sql("done", "twice", "px", 3, -4), then=digest_sql("done")))
+def layer_stack(spark, sf_dir):
+    """A base under three tops: a half-transparent one twice, then an opaque one."""
+    base, top = pixels(spark, sf_dir, True), pixels(spark, sf_dir)
+    glass = top.select((-1 - F.col("image_id")).alias("image_id"), "y", "x", F.col("b").alias("r"), F.col("r").alias("g"), F.col("g").alias("b"), ((F.col("x") * 7 + F.col("y") * 13 + F.col("image_id")) % 256).cast("int").alias("a"))
+    ids, sides = images(spark, sf_dir).select(F.col("image_id").alias("base_id")), [F.lit(32).alias(c) for c in ("base_w", "base_h", "top_w", "top_h")]
+    tops = F.explode(F.array(*(F.struct(F.lit(p).alias("position"), id_.alias("top_id")) for p, id_ in ((2, -1 - F.col("base_id")), (9, F.col("base_id")), (1, -1 - F.col("base_id"))))))
+    pairs = ids.withColumn("t", tops).select("base_id", "t.*", *sides)
+    return digest(layers.layer(base, glass.union(top), pairs, top_offset=(-4, 3))[0])

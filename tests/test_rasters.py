@@ -266,6 +266,31 @@ def test_layers(spark):
             layers.layer(base, top, pairs, **bad)
 
 
+def test_tops_are_laid_in_their_order(spark):
+    rng = np.random.default_rng(4)
+    arrays = {k: rng.integers(0, 256, (4, 5, 4)) for k in range(6)}
+    arrays[1][..., 3] = 0
+    rows = [(k, y, x, *map(int, v[y, x])) for k, v in arrays.items() for y in range(4) for x in range(5)]
+    pixels = spark.createDataFrame(rows, "image_id int, y int, x int, r int, g int, b int, a int")
+    # base 0 under 3, 4 and 4 again, base 1 (without alpha) under 5 and 3, base 2 under none
+    pairs = spark.createDataFrame([(0, 4, 7), (0, 3, 1), (0, 4, 7), (1, 3, 2), (1, 5, None)], "base_id int, top_id int, position int")
+    pairs = pairs.select("*", *(F.lit(n).alias(c) for c, n in (("base_w", 5), ("base_h", 4), ("top_w", 5), ("top_h", 4))))
+    got = layers.layer(pixels.where("image_id < 3"), pixels, pairs, top_offset=(1, -1))[0].collect()
+    want = {}
+    for k, tops in ((0, (3, 4, 4)), (1, (5, 3)), (2, ())):
+        below = arrays[k].astype(float)
+        for top in tops or (None,):
+            above = np.zeros((4, 5, 4))
+            if top is not None:
+                above[:3, 1:] = arrays[top][1:, :4]
+            t, u = above[..., 3:] / 255, below[..., 3:] / 255
+            alpha = t + u * (1 - t)
+            colour = np.where(alpha > 0, np.floor((above[..., :3] * t + below[..., :3] * u * (1 - t)) / np.where(alpha > 0, alpha, 1) + 0.5), 0)
+            below = np.concatenate((colour, np.floor(alpha * 255 + 0.5)), axis=2)
+        want |= {(k, y, x): tuple(map(int, below[y, x])) for y in range(4) for x in range(5)}
+    assert len(got) == 60 and {tuple(r)[:3]: tuple(r)[3:] for r in got} == want
+
+
 def test_what_lies_below(spark):
     pixels, _ = table(spark, {1: alpha([[1]])})
     assert compose.over_spec("transparent") == ("transparent", None) and compose.over_spec("#0a0B0c") == ("color", (10, 11, 12))
