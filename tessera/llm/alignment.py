@@ -25,6 +25,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ from tessera.llm.words import chunked, released, utf8
 from tessera.plans.staging import staged
 
 #: Bytes of text in a batch (a longer text is one of its own).
-BATCH_BYTES = 4 << 20
-#: Chunks in each of the two generations of what a task remembers: some 100 MB in all.
-REMEMBERED = 250_000
+BATCH_BYTES = 3 << 20
+#: Chunks in each of the two generations of what a task remembers: some 50 MB in all.
+REMEMBERED = 120_000
 #: Links of one group from which its repeated ids are counted before they are linked.
 WIDE = 1 << 16
 
@@ -243,11 +244,21 @@ def aligned_batch(own: Vocabularies, texts: list[str]) -> dict:
 
     sha = [hashlib.sha256(";".join([said[k] for k in flat[lo:hi].tolist()]).encode()).hexdigest() if hi > lo else "" for lo, hi in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
     return {
-        "n_a": total(na), "n_b": total(nb), "n_groups": total(groups), "n_links": total(_sums(p * q, group_stop)), "sha": sha, "starts": starts.astype("<i8"), "chunks": flat.astype("<i4"),
-        "firsts": firsts.astype("<i8"), "places": places.astype("<i4"), "times": times.astype("<i8"), "pair_a": (codes // wide).astype(np.int32), "pair_b": (codes % wide).astype(np.int32), "pair_docs": counts,
+        "n_a": total(na), "n_b": total(nb), "n_groups": total(groups), "n_links": total(_sums(p * q, group_stop)), "sha": sha, "starts": starts, "chunks": flat,
+        "firsts": firsts, "places": places, "times": times, "pair_a": (codes // wide).astype(np.int32), "pair_b": (codes % wide).astype(np.int32), "pair_docs": counts,
     }
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed, as narrow as the largest needs them; their width comes first."""
+    wide = len(values) and int(values.max()) >= 1 << 31
+    return (b"8" if wide else b"4") + zstandard.compress(values.astype("<i8" if wide else "<i4").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw[1:]), f"<i{raw[:1].decode()}").astype(np.int64)
+
+
 def _read(own: Vocabularies, strings: list[str]) -> tuple[np.ndarray, ...]:
     """Ids of both vocabularies, whether both give a string's own bytes, and the bytes' numbers."""
     a, na, b, nb = own.ids(strings)
@@ -264,7 +275,7 @@ def _batches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for lo, hi, *_ in chunked(texts, BATCH_BYTES):
                 found = aligned_batch(own, texts[lo:hi].to_pylist())
                 one = lambda values, n=hi - lo: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)
-                raw = lambda name, found=found: pa.array([found[name].tobytes()], pa.binary())
+                raw = lambda name, found=found: pa.array([_packed(found[name])], pa.binary())
                 pairs = pa.StructArray.from_arrays([pa.array(found["pair_a"]), pa.array(found["pair_b"]), pa.array(found["pair_docs"], pa.int64())], ["a", "b", "docs"])
                 columns = [pa.array([number]), one(pa.concat_arrays([batch.column("doc_id")[lo:hi]])), *(one(pa.array(found[c], pa.int64())) for c in ("n_a", "n_b", "n_groups", "n_links")), one(pa.array(found["sha"], pa.string()))]
                 columns += [*map(raw, ("starts", "chunks", "firsts", "places", "times")), one(pairs, len(pairs))]
@@ -286,7 +297,7 @@ def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
     and an empty digest. Null and repeated doc_ids and repeated rows stay, each row counts as a
     document; a very long text is a batch of its own; other columns are ignored; an empty table gives no rows."""
     a_path, b_path = byte_level or public_tokenizers.path("byte_bpe_50k.json"), pieces or public_tokenizers.path("piece_bpe_32k.model")
-    batches = staged(_batches(docs, a_path, b_path), "aligned", "zstd")
+    batches = staged(_batches(docs, a_path, b_path), "aligned")
     pairs = batches.select("batch", F.posexplode("pairs").alias("at", "pair")).select("batch", "at", "pair.a", "pair.b", "pair.docs")
     counts = staged(pairs.groupBy("a", "b").agg(F.sum("docs").alias("docs")), "pair_counts")
     # a row for each id of the vocabulary at most
@@ -299,9 +310,8 @@ def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for k in range(part.num_rows):
-                array = lambda name, kind="<i8": np.frombuffer(part.column(name)[k].as_py(), kind).astype(np.int64)  # noqa: E731, B023
                 values = lambda name: part.column(name)[k].values  # noqa: E731, B023
-                starts, flat, firsts, places, times = array("starts"), array("chunks", "<i4"), array("firsts"), array("places", "<i4"), array("times")
+                starts, flat, firsts, places, times = (_unpacked(part.column(c)[k].as_py()) for c in ("starts", "chunks", "firsts", "places", "times"))
                 docs_, best_ = (values(c).to_numpy(zero_copy_only=False).astype(np.int64) if values(c) is not None else np.empty(0, np.int64) for c in ("docs", "best"))
                 sums = [_sums(_sums(times * v[places], firsts[1:])[flat], starts[1:]) for v in (best_, docs_)]
                 yield pa.RecordBatch.from_arrays([values("doc_ids"), *map(values, ("n_a", "n_b", "n_groups", "n_links")), *map(pa.array, sums), values("sha")], names)
