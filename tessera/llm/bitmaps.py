@@ -28,3 +28,17 @@ def in_map(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Of unsigned keys whether the map may hold them."""
     place = np.mod(signed(keys), len(words) * 64)
     return (words[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def sized_map(keys: DataFrame, most: int = 1 << 27) -> np.ndarray:
+    """A map with some 16 bits for each of ``keys(key)``, counted before, up to ``most`` (16 MB); where
+    there are more keys than that it only lets more pass."""
+    bits = 1 << 20
+    wanted = 16 * keys.count()
+    while bits < min(wanted, most):
+        bits *= 2
+    place = F.pmod("key", F.lit(bits))
+    rows = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, int(pmod(key, {bits}) & 63)))").alias("mask"))
+    words, found = np.zeros(bits // 64, np.int64), rows.toArrow()
+    words[found["word"].to_numpy()] = found["mask"].to_numpy()
+    return words
