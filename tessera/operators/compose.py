@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.color import half_up, linear_table, parse_hex, spill_alpha, to_byte, to_linear
 from tessera.operators.measure import KEY, keys_of, mask_stats
+from tessera.operators.tiles import REACH, box_blurred
 from tessera.plans.staging import staged
 
 PAIR = ["image_id", "y", "x"]
@@ -64,20 +65,19 @@ def combine(op: str, a: DataFrame, b: DataFrame | None = None, radius: float = 1
     raise ValueError(f"unknown operation {op!r}")
 
 
-#: Passes of a blur between two staged tables, so that plans stay short.
-PASSES = 4
-
-
 def feather(masks: DataFrame, radius: float = 1) -> DataFrame:
-    """Box blur: floor(radius) passes of a 3-tap mean over rows, then over columns, rounded each time."""
+    """Box blur: floor(radius) passes of a 3-tap mean over rows, then over columns, rounded each time.
+
+    Up to ``tiles.REACH`` passes run within a task, on a tile and as many pixels around it, after
+    one shuffle; further ones after another, between staged tables. A null value gives nothing to its
+    neighbours."""
     if not 0 <= radius <= 1024:
         raise ValueError("radius must be in 0..1024")
-    out = masks.select(*PAIR, "a")
-    for k in range(int(radius)):
-        for by, along in (("y", "x"), ("x", "y")):
-            near = Window.partitionBy("image_id", by).orderBy(along).rowsBetween(-1, 1)
-            out = out.withColumn("a", half_up(F.sum("a").over(near) / F.count("a").over(near)).cast("int"))
-        if k % PASSES == PASSES - 1 and k + 1 < int(radius):
+    out, left = masks.select(*PAIR, "a"), int(radius)
+    while left:
+        passes = min(left, REACH)
+        out, left = box_blurred(out, passes), left - passes
+        if left:
             out = staged(out, "feather")
     return out
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.color import half_up, parse_hex
 from tessera.operators.compose import dilate
 from tessera.operators.measure import KEY, alpha_boxes
+from tessera.operators.tiles import weighed
 from tessera.plans.staging import staged
 
 #: Share of the free width and height that is left of and above an image, by gravity.
@@ -37,13 +41,16 @@ def trim_plan(pixels: DataFrame, margin: float = 0.08, square: bool = False) ->
 
 
 def trim(pixels: DataFrame, margin: float = 0.08, square: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Pixels cropped to their content with a transparent margin, and the plan."""
+    """Pixels cropped to their content with a transparent margin, and the plan. Pixels are moved, and
+    those of the margin made, without a join of the two."""
     plan = staged(trim_plan(pixels, margin, square), "trim_plan")
-    to = plan.where("bbox is not null").select("image_id", "width", "height", (F.col("pad_left") - F.col("bbox.x")).alias("dx"), (F.col("pad_top") - F.col("bbox.y")).alias("dy"))
-    moved = pixels.join(plan.where("bbox is not null").select("image_id", "bbox", "pad_left", "pad_top"), "image_id")
-    inside = F.col("x").between(F.col("bbox.x"), F.col("bbox.x") + F.col("bbox.width") - 1) & F.col("y").between(F.col("bbox.y"), F.col("bbox.y") + F.col("bbox.height") - 1)
-    moved = moved.where(inside).select("image_id", (F.col("y") - F.col("bbox.y") + F.col("pad_top")).alias("y"), (F.col("x") - F.col("bbox.x") + F.col("pad_left")).alias("x"), "r", "g", "b", "a")
-    return filled(canvas(to).select(*KEY), moved), plan
+    to = plan.where("bbox is not null").select("image_id", "bbox", "pad_left", "pad_top", "width", "height")
+    span = lambda c, start, size: F.col(c).between(start, start + size - 1)
+    rows = pixels.join(to.drop("width", "height"), "image_id")
+    rows = rows.where(span("x", F.col("bbox.x"), F.col("bbox.width")) & span("y", F.col("bbox.y"), F.col("bbox.height")))
+    moved = rows.select("image_id", (F.col("y") - F.col("bbox.y") + F.col("pad_top")).cast("int").alias("y"), (F.col("x") - F.col("bbox.x") + F.col("pad_left")).cast("int").alias("x"), *(F.col(c).cast("int").alias(c) for c in "rgba"))
+    content = span("x", F.col("pad_left"), F.col("bbox.width")) & span("y", F.col("pad_top"), F.col("bbox.height"))
+    return moved.union(canvas(to).where(~content).select(*KEY, *(F.lit(0).alias(c) for c in "rgba"))), plan
 
 
 def filled(places: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -232,17 +239,9 @@ def shadow_plan(images: DataFrame, blur: float = 12, offset: tuple[int, int] = (
 def gaussian(masks: DataFrame, sigma: float) -> DataFrame:
     """Gaussian blur of one channel over rows and columns; the kernel ends at 3 sigma and is
     weighed anew where it leaves the image. Results are ours to within rounding of other kernels."""
-    import math
-
-    k = math.ceil(3 * sigma)
-    weights = F.array(*(F.lit(math.exp(-((i - k) ** 2) / (2 * sigma**2))) for i in range(2 * k + 1)))
-    out = masks
-    for by, along in (("y", "x"), ("x", "y")):
-        near = Window.partitionBy("image_id", by).orderBy(along).rowsBetween(-k, k)
-        out = out.withColumn("near", F.collect_list(F.struct((F.col(along) * 1).alias("at"), F.col("a").alias("v"))).over(near))
-        weigh = lambda s, of: F.aggregate("near", F.lit(0.0), lambda acc, e: acc + F.element_at(weights, (e["at"] - F.col(along) + k + 1).cast("int")) * of(e))  # noqa: E731, B023
-        out = out.withColumn("a", half_up(weigh("near", lambda e: e["v"]) / weigh("near", lambda e: F.lit(1.0))).cast("int")).drop("near")
-    return out
+    at = np.arange(-math.ceil(3 * sigma), math.ceil(3 * sigma) + 1)
+    weights = np.exp(-(at**2) / (2 * sigma**2))
+    return weighed(weighed(masks, "x", weights), "y", weights)
 
 
 def shadow(pixels: DataFrame, images: DataFrame, blur: float = 12, offset: tuple[int, int] = (0, 8), color: str = "#000000", opacity: float = 0.35, spread: int = 0, keep_canvas: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.functions.color import hsv, parse_hex, to_byte, to_linear
-from tessera.operators import components, compose, geometry, layers, measure, resample
+from tessera.operators import components, compose, geometry, layers, measure, resample, tiles
 from tessera.operators.components import connected
 from pyspark.sql import functions as F
 
@@ -59,6 +59,21 @@ def test_components_equal_flood_fill(spark, connectivity):
     assert got == want
 
 
+@pytest.mark.parametrize(("connectivity", "tile"), [(4, 3), (8, 3), (4, 5), (8, 5), (8, 256)])
+def test_components_across_tiles_equal_flood_fill(spark, monkeypatch, connectivity, tile):
+    monkeypatch.setattr(tiles, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    rasters = {k: alpha(np.where(rng.random((rng.integers(1, 17), rng.integers(1, 17))) < 0.35 + k % 4 * 0.15, 200, 0)) for k in range(12)}
+    spiral = np.zeros((15, 15), int)
+    for k in range(0, 7, 2):
+        spiral[k, k : 15 - k] = spiral[k : 15 - k, 14 - k] = spiral[14 - k, k : 15 - k] = spiral[k + 2 : 15 - k, k] = 9
+        spiral[k + 2, k : k + 2] = 9
+    pixels, images = table(spark, rasters | {20: alpha(spiral)})
+    got = {(r["image_id"], r["y"], r["x"]): r["label"] for r in connected(pixels, images, 1, connectivity).collect()}
+    want = {(k, y, x): v for k, m in (rasters | {20: alpha(spiral)}).items() for (y, x), v in np.ndenumerate(flood(m[..., 3] > 0, connectivity)) if v >= 0}
+    assert got == want
+
+
 def test_despeckle_removes_small_components_and_is_idempotent(spark):
     pixels, images = table(spark, {1: alpha([[9, 0, 3, 0], [9, 0, 0, 0], [0, 0, 0, 9]]), 2: alpha([[0, 0], [0, 0]])})
     out, report = components.despeckle(pixels, images, 5, 2, 4)
@@ -120,6 +135,30 @@ def test_feather_rounds_each_pass(spark):
     assert back(compose.feather(pixels.select("image_id", "y", "x", "a")), (1, 3)) == [[128, 85, 128]]
 
 
+def plain_feather(a, passes):
+    for _ in range(passes):
+        for axis in (1, 0):
+            there = np.ones_like(a)
+            pad = [(0, 0), (0, 0)]
+            pad[axis] = (1, 1)
+            v, n = np.pad(a, pad), np.pad(there, pad)
+            cut = lambda m, k: m[:, k : k + a.shape[1]] if axis == 1 else m[k : k + a.shape[0]]  # noqa: E731, B023
+            a = np.floor(sum(cut(v, k) for k in range(3)) / sum(cut(n, k) for k in range(3)) + 0.5).astype(int)
+    return a
+
+
+@pytest.mark.parametrize(("radius", "tile", "reach"), [(1, 256, 64), (7, 5, 3), (6, 8, 2), (13.9, 256, 64), (5, 4, 5)])
+def test_feather_over_tiles_equals_whole_images(spark, monkeypatch, radius, tile, reach):
+    monkeypatch.setattr(tiles, "TILE", tile)
+    monkeypatch.setattr(compose, "REACH", reach)
+    rng = np.random.default_rng(tile)
+    rasters = {k: rng.integers(0, 256, size) for k, size in enumerate(((11, 17), (1, 30), (16, 3), (1, 1)))}
+    pixels, _ = table(spark, {k: alpha(v) for k, v in rasters.items()})
+    out = compose.feather(pixels.select("image_id", "y", "x", "a"), radius)
+    for k, v in rasters.items():
+        assert back(out.where(f"image_id = {k}"), v.shape) == plain_feather(v, int(radius)).tolist()
+
+
 def test_trim_of_an_empty_image_has_no_pixels(spark):
     pixels, _ = table(spark, {1: alpha([[0, 0]]), 2: alpha([[0, 0, 0], [0, 7, 0]])})
     out, plan = geometry.trim(pixels, 0)
@@ -205,14 +244,16 @@ def test_kernels_equal_matrices(spark, kernel, size):
 def blurred(a, sigma):
     k = int(np.ceil(3 * sigma))
     w = np.exp(-(np.arange(-k, k + 1) ** 2) / (2 * sigma**2))
+    same = lambda v: np.convolve(v, w)[k : k + len(v)]
     for axis in (1, 0):
-        one = np.apply_along_axis(np.convolve, axis, np.ones_like(a, float), w, "same")
-        a = np.floor(np.apply_along_axis(np.convolve, axis, a.astype(float), w, "same") / one + 0.5)
+        one = np.apply_along_axis(same, axis, np.ones_like(a, float))
+        a = np.floor(np.apply_along_axis(same, axis, a.astype(float)) / one + 0.5)
     return a
 
 
-@pytest.mark.parametrize("sigma", [0.5, 1.3])
-def test_gaussian_equals_convolution(spark, sigma):
+@pytest.mark.parametrize("sigma", [0.5, 1.3, 9])
+def test_gaussian_equals_convolution(spark, monkeypatch, sigma):
+    monkeypatch.setattr(tiles, "BAND", 5)
     a = np.random.default_rng(3).integers(0, 256, (12, 15))
     pixels, _ = table(spark, {1: alpha(a)})
     assert np.abs(np.array(back(geometry.gaussian(pixels.select("image_id", "y", "x", "a"), sigma), (12, 15))) - blurred(a, sigma)).max() <= 1
