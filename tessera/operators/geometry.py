@@ -239,11 +239,16 @@ def shadow_plan(images: DataFrame, blur: float = 12, offset: tuple[int, int] = (
 def gaussian(masks: DataFrame, sigma: float) -> DataFrame:
     """Gaussian blur of one channel over rows and columns; the kernel ends at 3 sigma and is
     weighed anew where it leaves the image. Results are ours to within rounding of other kernels."""
-    at = np.arange(-math.ceil(3 * sigma), math.ceil(3 * sigma) + 1)
-    weights = np.exp(-(at**2) / (2 * sigma**2))
+    weights = np.array(gaussian_weights(sigma), float)
     return weighed(weighed(masks, "x", weights), "y", weights)
 
 
+def gaussian_weights(sigma: float) -> list[int]:
+    """The kernel in whole parts of its middle's, so that sums don't hang on their order."""
+    reach = math.ceil(3 * sigma)
+    return [round(math.exp(-(k**2) / (2 * sigma**2)) * (1 << 30)) for k in range(-reach, reach + 1)]
+
+
 def shadow(pixels: DataFrame, images: DataFrame, blur: float = 12, offset: tuple[int, int] = (0, 8), color: str = "#000000", opacity: float = 0.35, spread: int = 0, keep_canvas: bool = False) -> DataFrame:
     """Images over their drop shadow: alpha dilated by ``spread``, blurred, tinted and moved."""
     if not 0 < opacity <= 1:

@@ -246,7 +246,20 @@ def resize_nearest(spark, sf_dir):
     return digest(resample.resize(pixels(spark, sf_dir, True), images(spark, sf_dir), 20, "nearest"))
 
 
-@query()
+def resized_sql(name: str, src: int, dst: int) -> str:
+    """``cut`` from sides of ``src`` to ``dst`` pixels by the lanczos3 kernel, in whole parts of weights."""
+    kernel = "CASE WHEN x = 0 THEN 1.0 ELSE 3 * sin(x) * sin(x / 3) / (x * x) END"
+    centre = f"(slot + 0.5) * {src / dst!r}::DOUBLE"
+    taps = f"SELECT slot, src, abs((src + 0.5 - {centre}) / {src / dst!r}::DOUBLE) * 3.141592653589793 AS x FROM range({dst}) AS i(slot), range({src}) AS j(src) WHERE abs(src + 0.5 - {centre}) <= {3 * src / dst!r}::DOUBLE"
+    sums = lambda scale: ", ".join(f"sum({c} * w) AS {c}" if scale == 1 else f"CAST(floor(CAST(sum({c} * w) AS DOUBLE) / {scale} + 0.5) AS BIGINT) AS {c}" for c in "rgba")
+    byte = lambda v: f"CAST(least(255, greatest(0, floor({v} + 0.5))) AS INTEGER)"
+    return f"""{name}_w AS (SELECT slot, src, CAST(floor(k / sum(k) OVER (PARTITION BY slot) * {resample.UNIT} + 0.5) AS BIGINT) AS w FROM (SELECT slot, src, {kernel} AS k FROM ({taps}))),
+{name}_x AS (SELECT image_id, y, slot AS x, {sums(resample.UNIT // resample.PART)} FROM (SELECT image_id, y, x, CAST(r * a AS BIGINT) AS r, CAST(g * a AS BIGINT) AS g, CAST(b * a AS BIGINT) AS b, CAST(a AS BIGINT) AS a FROM cut) JOIN {name}_w ON src = x GROUP BY image_id, y, slot),
+{name}_y AS (SELECT image_id, slot AS y, x, {sums(1)} FROM {name}_x JOIN {name}_w ON src = y GROUP BY image_id, slot, x),
+{name} AS (SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {", ".join(f"CASE WHEN a > 0 THEN {byte(f'CAST({c} AS DOUBLE) / CAST(a AS DOUBLE)')} ELSE 0 END AS {c}" for c in "rgb")}, {byte(f"CAST(a AS DOUBLE) / {resample.UNIT * resample.PART}")} AS a FROM {name}_y)"""
+
+
+@query(with_pixels(resized_sql("done", 32, 16), then=digest_sql("done")))
 def resize_lanczos(spark, sf_dir):
     return digest(resample.resize(pixels(spark, sf_dir, True), images(spark, sf_dir), 16))
 
@@ -301,11 +314,6 @@ def shadow_plan(spark, sf_dir):
     return geometry.shadow_plan(_sized(spark, sf_dir), 12, (5, 8), 4)
 
 
-@query()
-def drop_shadow(spark, sf_dir):
-    return digest(geometry.shadow(pixels(spark, sf_dir, True), images(spark, sf_dir), 1, (2, 3), spread=1))
-
-
 def _sheets(spark, sf_dir):
     return table(spark, sf_dir, "part").select((F.col("p_partkey") / 40).cast("long").alias("sheet_id"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 7 != 0).alias("readable"))
 
@@ -336,7 +344,10 @@ def contact_sheet(spark, sf_dir):
     return digest(layers.contact_sheet(pixels(spark, sf_dir, True), images(spark, sf_dir), _sheets(spark, sf_dir), cell=16, gap=2, kernel="nearest")[0])
 
 
-@query()
+@query(with_pixels(SHEET_SQL, resized_sql("small", 32, 12), "spread AS (SELECT sheet_id, image_id, CAST(2 + place // cols * 14 AS INTEGER) AS top, CAST(2 + place % cols * 14 AS INTEGER) AS lft FROM placed)",
+    "tiles AS (SELECT s.sheet_id, s.top + c.y AS y, s.lft + c.x AS x, c.r, c.g, c.b, c.a FROM spread s JOIN small c USING (image_id))",
+    "ground AS (SELECT sheet_id, CAST(ty.y AS INTEGER) AS y, CAST(tx.x AS INTEGER) AS x FROM (SELECT sheet_id, cols, CAST(ceil(many / cols) AS INTEGER) AS rows FROM placed WHERE place = 0), range(200) AS ty(y), range(200) AS tx(x) WHERE ty.y < rows * 14 + 2 AND tx.x < cols * 14 + 2)",
+    "done AS (SELECT g.sheet_id AS image_id, g.y, g.x, " + ", ".join(f"CAST(floor(coalesce(t.{c}, 0) * (coalesce(a, 0) / 255) + {u} * (1 - coalesce(a, 0) / 255) + 0.5) AS INTEGER) AS {c}" for c, u in zip("rgb", (32, 64, 96), strict=True)) + ", 255 AS a FROM ground g LEFT JOIN tiles t USING (sheet_id, y, x))", then=digest_sql("done")))
 def contact_sheet_lanczos(spark, sf_dir):
     return digest(layers.contact_sheet(pixels(spark, sf_dir, True), images(spark, sf_dir), _sheets(spark, sf_dir), cell=12, gap=2, background="#204060")[0])
 
@@ -508,3 +519,45 @@ def layer_stack(spark, sf_dir):
     tops = F.explode(F.array(*(F.struct(F.lit(p).alias("position"), id_.alias("top_id")) for p, id_ in ((2, -1 - F.col("base_id")), (9, F.col("base_id")), (1, -1 - F.col("base_id"))))))
     pairs = ids.withColumn("t", tops).select("base_id", "t.*", *sides)
     return digest(layers.layer(base, glass.union(top), pairs, top_offset=(-4, 3))[0])
+
+
+def _blur_sql(name: str, source: str, by: str, along: str) -> str:
+    weights = geometry.gaussian_weights(1)
+    at = lambda k: "a" if k == 3 else f"{'lag' if k < 3 else 'lead'}(a, {abs(k - 3)}) OVER w"
+    total = " + ".join(f"{w}::BIGINT * coalesce({at(k)}, 0)" for k, w in enumerate(weights))
+    taps = " + ".join(f"CASE WHEN {at(k)} IS NULL THEN 0 ELSE {w}::BIGINT END" for k, w in enumerate(weights))
+    return f"{name} AS (SELECT image_id, y, x, CAST(floor(CAST({total} AS DOUBLE) / CAST({taps} AS DOUBLE) + 0.5) AS BIGINT) AS a FROM {source} WINDOW w AS (PARTITION BY image_id, {by} ORDER BY {along}))"
+
+
+SHADOW_SQL = (
+    "ground AS (SELECT p_partkey AS image_id, CAST(ty.y AS INTEGER) AS y, CAST(tx.x AS INTEGER) AS x FROM part, range(40) AS ty(y), range(40) AS tx(x))",
+    "padded AS (SELECT image_id, g.y, g.x, coalesce(c.a, 0) AS a FROM ground g LEFT JOIN (SELECT image_id, y + 4 AS y, x + 4 AS x, a FROM cut) c USING (image_id, y, x))",
+    "wide AS (SELECT image_id, y, x, max(a) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS a FROM padded)",
+    "high AS (SELECT image_id, y, x, CAST(floor(max(a) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) * 0.35::DOUBLE + 0.5) AS BIGINT) AS a FROM wide)",
+    _blur_sql("once_x", "high", "y", "x"), _blur_sql("once_y", "once_x", "x", "y"), "below AS (SELECT image_id, y, x, 0 AS r, 0 AS g, 0 AS b, CAST(a AS INTEGER) AS a FROM once_y)", _laid_sql("done", "below", "cut", 1, 2),
+)
+
+
+@query(with_pixels(*SHADOW_SQL, then=digest_sql("done")))
+def drop_shadow(spark, sf_dir):
+    return digest(geometry.shadow(pixels(spark, sf_dir, True), images(spark, sf_dir), 1, (2, 3), spread=1))
+
+
+@query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, CAST(CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS INTEGER) AS n, CAST(5 + doc_id % 7 AS INTEGER) AS w FROM documents),
+s AS (SELECT *, length(h) // 2 // (w * n) AS ht FROM d), p AS (SELECT *, unnest(range(0, w * ht)) AS i FROM s WHERE ht > 0),
+v AS (SELECT doc_id, n, i // w AS y, i % w AS x, h[2 * n * i + 1 : 2 * n * (i + 1)] AS c FROM p),
+done AS (SELECT doc_id AS image_id, y, x, """ + ", ".join(f"(instr('123456789ABCDEF', c[{2 * k + 1}]) * 16 + instr('123456789ABCDEF', c[{2 * k + 2}]))".join((f"CASE WHEN n = 1 THEN (instr('123456789ABCDEF', c[1]) * 16 + instr('123456789ABCDEF', c[2])) ELSE ", f" END AS {name}")) for name, k in (("r", 2), ("g", 1), ("b", 0))) + """,
+ CASE WHEN n = 4 THEN (instr('123456789ABCDEF', c[7]) * 16 + instr('123456789ABCDEF', c[8])) ELSE 255 END AS a FROM v)
+""" + digest_sql("done"))
+def bytes_exploded(spark, sf_dir):
+    """The bytes of each document as an image of 1, 3 or 4 channels."""
+    k, wide = F.col("doc_id"), F.col("width") * F.col("nChannels")
+    rows = table(spark, sf_dir, "documents").select(k.alias("image_id"), F.encode("text", "utf-8").alias("data"), (5 + k % 7).cast("int").alias("width"), F.when(k % 3 == 0, 1).when(k % 3 == 1, 3).otherwise(4).alias("nChannels"))
+    return digest(files.explode_pixels(rows.withColumn("height", F.floor(F.octet_length("data") / wide).cast("int"))))
+
+
+@query(SIZED_SQL + """ SELECT image_id, CASE WHEN image_id % 5 <> 0 THEN width END AS a_width, CASE WHEN image_id % 5 <> 0 THEN height END AS a_height, CASE WHEN image_id % 7 <> 0 THEN width + CAST(image_id % 2 AS INTEGER) END AS b_width, CASE WHEN image_id % 7 <> 0 THEN height END AS b_height
+FROM sized WHERE (image_id % 5 <> 0 OR image_id % 7 <> 0) AND (image_id % 5 = 0 OR image_id % 7 = 0 OR image_id % 2 = 1)""")
+def size_mismatches(spark, sf_dir):
+    sized, k = _sized(spark, sf_dir), F.col("image_id")
+    return compose.same_size(sized.where(k % 5 != 0), sized.where(k % 7 != 0).withColumn("width", F.col("width") + (k % 2).cast("int")))

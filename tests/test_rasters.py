@@ -8,6 +8,8 @@ from tessera.operators import components, compose, geometry, layers, measure, re
 from tessera.operators.components import connected
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+
 SCHEMA = "image_id long, y int, x int, r int, g int, b int, a int"
 
 
@@ -372,3 +374,13 @@ def test_sheet_cells_hold_whole_images(spark):
     out, report = layers.contact_sheet(pixels, images, sheets, cell=4, gap=1)
     assert back(out, (6, 11)) == [[0] * 11, [0] * 7 + [255, 255, 0, 0], [0, *[255] * 4, 0, 0, 255, 255, 0, 0], [0, *[255] * 4, 0, 0, 255, 255, 0, 0], [0] * 7 + [255, 255, 0, 0], [0] * 11]
     assert (report.first()["placed"], report.first()["skipped"]) == (2, [3])
+
+
+def test_pixels_of_wide_and_empty_images(spark):
+    wide = bytes(range(256)) * 1000
+    rows = [("w", 64_000, 1, 4, wide), ("h", 1, 85_000, 3, wide[:255_000]), ("g", 256, 1000, 1, wide), ("none", 0, 0, 3, b"")]
+    images = spark.createDataFrame(rows, "image_id string, width int, height int, nChannels int, data binary")
+    got = files.explode_pixels(images)
+    assert {r["image_id"]: r["count"] for r in got.groupBy("image_id").count().collect()} == {"w": 64_000, "h": 85_000, "g": 256_000}
+    picked = got.where("(image_id = 'w' and x = 63999) or (image_id = 'h' and y = 84999) or (image_id = 'g' and y = 999 and x = 7)").orderBy("image_id").collect()
+    assert [tuple(r) for r in picked] == [("g", 999, 7, 7, 7, 7, 255), ("h", 84999, 0, *(wide[254_999 - k] for k in range(3)), 255), ("w", 0, 63999, 254, 253, 252, 255)]
