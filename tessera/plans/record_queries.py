@@ -323,3 +323,29 @@ def icon_files(spark, sf_dir):
 @query(f"SELECT 'doc' AS stem, 'Doc-' || doc_id || '.' || {EXT_SQL} AS name FROM documents ORDER BY name")
 def sibling_order(spark, sf_dir):
     return artifacts.in_order(artifacts.siblings(_names(spark, sf_dir), _names(spark, sf_dir).select(F.lit("doc").alias("stem")).distinct()))
+
+
+def _feed(spark, sf_dir, fields: list) -> str:
+    """A folder of JSON Lines with the events as a feed."""
+    path = new_path(spark, "feed")
+    table(spark, sf_dir, "events").select(*fields).write.json(path)
+    return path
+
+
+@query(f"SELECT event_id, {LEVEL_SQL} AS level FROM events WHERE event_type <> 'error'")
+def log_notified(spark, sf_dir):
+    """A stream of entries whose batches a callback writes down."""
+    level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "debug").when(F.col("event_type") == "signup", "warn").otherwise("info")
+    path, out = _feed(spark, sf_dir, [F.col("event_id").cast("string").alias("message"), level.alias("level")]), new_path(spark, "notified")
+    logs.notify(logs.log_progress_stream(spark, path), lambda batch: batch.write.mode("append").parquet(out), new_path(spark, "calls")).awaitTermination()
+    return spark.read.parquet(out).select(F.col("message").cast("long").alias("event_id"), "level")
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS path FROM events WHERE event_type = 'error'")
+def failures_noticed(spark, sf_dir):
+    """A stream of failures, one notice for each path; all events are of one batch."""
+    path, out = _feed(spark, sf_dir, [F.col("ts").alias("time"), F.col("user_id").cast("string").alias("path"), "event_type"]), new_path(spark, "noticed")
+    feed = spark.readStream.schema("time timestamp, path string, event_type string").json(path)
+    run = logs.failure_notices(feed.where("event_type = 'error'")).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "notices"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,10 +47,25 @@ def log_persist_stream(spark: SparkSession, path: str, out: str, checkpoint: str
 
 def failure_notices(failures: DataFrame, delay: str = "1 hour") -> DataFrame:
     """``time, path, ...``: the first failure of each path. The stream forgets a path that failed
-    last more than ``delay`` before the watermark, so its state is bounded."""
+    last more than ``delay`` before the watermark, so its state is bounded; a stream that is started
+    again from its checkpoint still knows the others."""
     return failures.withWatermark("time", delay).dropDuplicatesWithinWatermark(["path"])
 
 
-def notify(entries: DataFrame, callback, checkpoint: str) -> StreamingQuery:
-    """Call ``callback(batch)`` with each batch of a feed, a DataFrame."""
-    return entries.writeStream.foreachBatch(lambda batch, _: callback(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def notify(entries: DataFrame, callback: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """Call ``callback(batch)`` with each batch of a feed, a DataFrame; what is there is read, then the query ends.
+
+    A stream that stops between a call and its own record of the batch has the batch again when it
+    is started from its checkpoint. So each call that came back is marked by the batch's number beside
+    the checkpoint, which driver and executors share, and a marked batch isn't called again. A call
+    that failed, or was cut off, isn't marked and is repeated."""
+    spark = entries.sparkSession
+
+    def once(batch: DataFrame, number: int) -> None:
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}-calls/{number}")
+        system = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(mark):
+            callback(batch)
+            system.create(mark, True).close()
+
+    return entries.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

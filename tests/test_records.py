@@ -216,3 +216,73 @@ def test_text_patterns_take_linear_time(spark):
 @pytest.mark.parametrize("given, want", [("\n \na  \n b \n \n", "a  \n b "), (" \n ", ""), ("a", "a"), ("\r\na\rb\r\n", "a\nb"), (None, None)])
 def test_edges_without_trimming(spark, given, want):
     assert one(spark, given, lambda c: text.multiline(c, trim_line_ends=False)) == want
+
+
+def test_names_listed_twice(spark):
+    manifest = spark.createDataFrame([(k, k, "x") for k in "abcd"] + [("a", "a", None)], "key string, name string, expected string")
+    listed = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", "x"), ("c", None)], "name string, actual string")
+    got = [tuple(r)[1:] for r in artifacts.verify_integrity(manifest, listed).orderBy("key", "integrity").collect()]
+    assert got == [("a", "ok"), ("a", "unverifiable"), ("b", "mismatch"), ("c", "mismatch"), ("d", "missing")]
+    sizes = spark.createDataFrame([(k, k, 10) for k in "abc"], "key string, name string, byte_size int")
+    files_ = spark.createDataFrame([("a", True, 10), ("a", True, 10), ("b", True, 10), ("b", True, 11), ("c", True, 10), ("c", False, 10)], "name string, is_file boolean, length int")
+    assert [r["present"] for r in artifacts.list_cached(sizes, files_).orderBy("key").collect()] == [True, False, False]
+
+
+def test_responses_without_items_have_a_row(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [("aGk=", None), (None, "u")])], "response_id int, items array<struct<b64_json: string, url: string>>")
+    got = [(r["response_id"], r["position"], r["status"]) for r in artifacts.response_items(rows).orderBy("response_id", "position").collect()]
+    assert got == [(1, None, "no_items"), (2, None, "no_items"), (3, 1, "content"), (3, 2, "pending")]
+
+
+def feed(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(json.dumps(r) for r in rows))
+
+
+def test_a_stopped_stream_calls_once_for_each_batch(spark, tmp_path):
+    folder, checkpoint, seen, fails = tmp_path / "in", str(tmp_path / "cp"), [], [True]
+
+    def callback(batch):
+        got = sorted(r["message"] for r in batch.collect())
+        if "b" in got and fails:
+            raise RuntimeError(fails.pop())
+        seen.append(got)
+
+    def run():
+        logs.notify(logs.log_progress_stream(spark, str(folder)), callback, checkpoint).awaitTermination(60)
+
+    feed(folder, "1.json", [{"level": "info", "message": "a"}])
+    run()
+    feed(folder, "2.json", [{"level": "info", "message": "b"}])
+    with pytest.raises(Exception, match="True"):
+        run()
+    assert seen == [["a"]]
+    run()  # the call that failed comes again, the other one doesn't
+    assert seen == [["a"], ["b"]]
+    (tmp_path / "cp" / "commits" / "1").unlink()  # as if the stream had died after the call, before its record
+    for crc in (tmp_path / "cp" / "commits").glob(".1.crc"):
+        crc.unlink()
+    run()
+    feed(folder, "3.json", [{"level": "info", "message": "c"}, {"level": "error", "message": "d"}])
+    run()
+    assert seen == [["a"], ["b"], ["c"]]
+
+
+def test_notices_are_remembered_over_a_restart_and_forgotten_in_time(spark, tmp_path):
+    folder = tmp_path / "in"
+
+    def run():
+        stream = logs.failure_notices(spark.readStream.schema("time timestamp, path string").json(str(folder)), "10 minutes")
+        query = stream.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        query.trigger(availableNow=True).start().awaitTermination(60)
+        return sorted((r["path"], r["time"]) for r in spark.read.schema("time string, path string").json(str(tmp_path / "out")).collect())
+
+    at = lambda h, m: f"2026-01-01T{h:02}:{m:02}:00.000Z"
+    feed(folder, "1.json", [{"time": at(0, 0), "path": "a"}, {"time": at(0, 1), "path": "b"}])
+    assert run() == [("a", at(0, 0)), ("b", at(0, 1))]
+    feed(folder, "2.json", [{"time": at(0, 5), "path": "a"}, {"time": at(0, 6), "path": "c"}])
+    assert [p for p, _ in run()] == ["a", "b", "c"]
+    feed(folder, "3.json", [{"time": at(5, 0), "path": "d"}])  # the watermark passes all that was
+    run()
+    feed(folder, "4.json", [{"time": at(5, 1), "path": "a"}])
+    assert [p for p, _ in run()] == ["a", "a", "b", "c", "d"]
