@@ -1,39 +1,48 @@
-"""Corpus preparation: stages over the documents table, each written and read again."""
+"""Corpus preparation: stages over the documents table, each written and read again.
+
+Every stage sets the session's Arrow batches to few rows, as the stages run one after the
+other in the same executors, whose memory outside the heap keeps the size of the largest batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontam, langid, near_dup, pii
+from tessera.llm.words import small_batches
 from tessera.plans.staging import staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter (null and empty ones
     too), or that resemble none, go. Each row passes or goes by its own text; its columns stay."""
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the smallest doc_id; of rows that share a
     doc_id one. Rows without a doc_id stay, as do texts that are null or have no word."""
+    small_batches(spark)
     return near_dup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark table; null and short texts hold none."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.drop_contaminated(docs, benchmark)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its personal data masked and ``n_chars`` counted anew; null stays null."""
+    small_batches(spark)
     return pii.mask(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document: its token ids and the
     bytes that they decode to; a null text has no ids."""
+    small_batches(spark)
     return bpe.round_trip(docs)
 
 

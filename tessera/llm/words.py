@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -162,6 +163,19 @@ def released(run: Callable) -> Callable:
     return whole
 
 
+#: Rows of texts that a Python task gets at a time, where :func:`small_batches` was called.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session send tables to Python tasks in batches of at most so many rows (a smaller
+    setting stays): a batch is outside the heap of an executor and in its Python worker at once, and
+    one of Spark's own 10,000 texts may have hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def unused(names: list[str], wanted: str) -> str:
     """A column name that a table with these doesn't have, whatever their case."""
     taken = {n.lower() for n in names}
