@@ -113,3 +113,27 @@ def test_no_rows_and_no_training_rows(spark):
     held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)
     only = class_lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert [(r["train_tokens"], r["n_known"], r["n_tokens"]) for r in only] == [(0, 0, 3)] and only[0]["score"] < 0
+
+
+def likelihood(table):
+    """Of the class bigrams and of words given their classes, but for what no class changes."""
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return f(table) - f(table.sum(axis=0)) - f(table.sum(axis=1))
+
+
+def test_the_sweep_raises_the_likelihood_of_a_corpus(spark, sf, monkeypatch):
+    tables, classes, transitions = [], class_lm._classes, class_lm._transitions
+
+    def before(near, frequent, class_of, table):
+        tables.append(np.asarray(table, float))
+        return classes(near, frequent, class_of, table)
+
+    def after(classed):
+        tables.append(np.asarray(transitions(classed), float))
+        return tables[-1]
+
+    monkeypatch.setattr(class_lm, "_classes", before)
+    monkeypatch.setattr(class_lm, "_transitions", after)
+    class_lm.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).count()
+    first, last = (t.reshape(class_lm.CLASSES, class_lm.CLASSES) for t in tables)
+    assert likelihood(last) > likelihood(first) and first.sum() == last.sum()
