@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.color import hsv, linear_table
 from tessera.operators import components, compose, geometry, layers, measure, resample
-from tessera.plans.fixtures import PIXELS_SQL, digest, digest_sql, images, matte, pixels, table
+from tessera.plans.fixtures import PIXELS_SQL, digest, digest_sql, images, matte, pixels, png_files, table
 from tessera.plans.staging import new_path, staged
 from tessera.sources import files
 
@@ -561,3 +561,21 @@ FROM sized WHERE (image_id % 5 <> 0 OR image_id % 7 <> 0) AND (image_id % 5 = 0
 def size_mismatches(spark, sf_dir):
     sized, k = _sized(spark, sf_dir), F.col("image_id")
     return compose.same_size(sized.where(k % 5 != 0), sized.where(k % 7 != 0).withColumn("width", F.col("width") + (k % 2).cast("int")))
+
+
+@query(with_pixels(then=digest_sql("cut WHERE image_id % 50 <> 7")))
+def images_written_and_read(spark, sf_dir):
+    """PNG files of all cutouts, decoded; those that are cut off are listed apart."""
+    good, bad = files.read_images(spark, png_files(spark, sf_dir))
+    key = F.regexp_extract("image_id", r"(\d+)\.png$", 1).cast("long")
+    return digest(files.explode_pixels(good).withColumn("image_id", key))
+
+
+@query("SELECT p_partkey, 'png' AS format, CASE WHEN p_partkey % 50 <> 7 THEN 32 END AS width, CASE WHEN p_partkey % 50 <> 7 THEN 32 END AS height, p_partkey % 50 = 7 AS short, p_partkey % 50 <> 7 AS readable FROM part")
+def files_listed(spark, sf_dir):
+    """The inventory of these files, and whether each can be decoded."""
+    path = png_files(spark, sf_dir)
+    key = lambda c: F.regexp_extract(c, r"(\d+)\.png$", 1).cast("long")
+    bad = files.read_images(spark, path)[1].select(key("origin").alias("p_partkey"), F.lit(False).alias("readable"))
+    rows = files.inventory(spark, path).select(key("path").alias("p_partkey"), "format", "width", "height", (F.col("length") == 10).alias("short"))
+    return rows.join(bad, "p_partkey", "left").na.fill(True, ["readable"])

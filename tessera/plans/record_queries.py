@@ -349,3 +349,12 @@ def failures_noticed(spark, sf_dir):
     run = logs.failure_notices(feed.where("event_type = 'error'")).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "notices"))
     run.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("path")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 IN (1, 2, 3) THEN '"[unreadable]"' WHEN event_id % 5 = 0 THEN '{"Token":"[redacted]","n":' || event_id || '}' END AS data, event_id % 5 IN (1, 2, 3) AS bad FROM events""")
+def unreadable_json(spark, sf_dir):
+    """Redacted text beside the mark of what is no JSON: text that follows, two values, a broken one."""
+    e = F.col("event_id")
+    good = F.concat(F.lit('{"Token":"s","n":'), e, F.lit("}"))
+    text_ = F.when(e % 5 == 0, good).when(e % 5 == 1, F.concat(good, F.lit(" token=x"))).when(e % 5 == 2, F.concat(good, good)).when(e % 5 == 3, F.lit('{"Token":'))
+    return table(spark, sf_dir, "events").select(e, jsonops.redact_json(text_).alias("data"), jsonops.unreadable(text_).alias("bad"))
