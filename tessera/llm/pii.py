@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bitmaps import bit_map, in_map
+from tessera.llm.bitmaps import in_map, sized_map
 from tessera.llm.words import chunked, mixed, released, signed, slices, split, unused, utf8
 from tessera.plans.staging import staged
 
@@ -268,7 +268,7 @@ def trusted_values(docs: DataFrame, found: DataFrame, support: int = SUPPORT, co
         more = not new.isEmpty()
         if more:
             # a key that the corpus never shows between its words counts 0 and isn't asked again
-            counted = new.join(occurrences(docs, bit_map(new)), "key", "left").select("key", F.coalesce("occurs", F.lit(0)).alias("occurs"))
+            counted = new.join(occurrences(docs, sized_map(new)), "key", "left").select("key", F.coalesce("occurs", F.lit(0)).alias("occurs"))
             counted = staged(counted, "occurrences")
             total = counted if total is None else total.union(counted)
         if total is None:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bitmaps import bit_map, in_map
+from tessera.llm.bitmaps import in_map, sized_map
 from tessera.llm.bpe import LONGEST, Memory, chunks
 from tessera.llm.libraries import ByteLevelChunks, byte_level, library_tokenizer, pieces_model
 from tessera.llm.words import chunked, released, slices, utf8
@@ -168,7 +168,7 @@ def count_tokens(docs: DataFrame, cache: CountCache | None = None, tokenizer: st
         known = keyed.select("content").distinct().join(known, "content", "left").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
         known = staged(known, "known")
         missing = known.where("n_tokens is null").select("content")
-        wanted = bit_map(missing.select(F.xxhash64("content").alias("key")))
+        wanted = sized_map(missing.select(F.xxhash64("content").alias("key")))
     rows = _packed(texts, wanted).dropDuplicates(["content"])
     if known is not None:
         rows = rows.join(missing, "content", "left_semi")
