@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.color import half_up, linear_table, parse_hex, spill_alpha, to_byte, to_linear
 from tessera.operators.measure import KEY, keys_of, mask_stats
-from tessera.operators.tiles import REACH, box_blurred
+from tessera.operators.tiles import REACH, box_blurred, dilated
 from tessera.plans.staging import staged
 
 PAIR = ["image_id", "y", "x"]
@@ -83,14 +83,10 @@ def feather(masks: DataFrame, radius: float = 1) -> DataFrame:
 
 
 def dilate(masks: DataFrame, radius: int) -> DataFrame:
-    """The largest value within ``radius`` in both directions."""
+    """``image_id, y, x, a``: the largest value within ``radius`` in both directions, first along rows."""
     if radius < 0:
         raise ValueError("radius must not be negative")
-    out = masks
-    for by, along in (("y", "x"), ("x", "y")):
-        near = Window.partitionBy("image_id", by).orderBy(along).rowsBetween(-radius, radius)
-        out = out.withColumn("a", F.max("a").over(near))
-    return out
+    return dilated(dilated(masks, "x", radius), "y", radius)
 
 
 def alpha_floor(pixels: DataFrame, threshold: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -98,6 +98,29 @@ def weighed(masks: DataFrame, along: str, weights: np.ndarray) -> DataFrame:
     return _plain(masks).groupBy("image_id", F.floor(F.col(other) / BAND).alias("band")).applyInArrow(run, _schema(masks))
 
 
+def dilated(masks: DataFrame, along: str, radius: int) -> DataFrame:
+    """The largest value within ``radius`` along its row (x) or column (y). The line is cut into
+    stretches as long as a window; a window's largest is that of the end of one and the start of the
+    next, so the work doesn't grow with the radius. A task has a band of whole rows or columns."""
+    size, low = 2 * radius + 1, np.iinfo(np.int64).min
+
+    def run(rows: pa.Table) -> pa.Table:
+        y, x = _placed(rows)
+        at = (y, x) if along == "x" else (x, y)
+        values, there = _array(rows, *at)
+        n = values.shape[1]
+        line = np.full((len(values), -(-(n + 2 * radius) // size) * size), low)
+        line[:, radius : radius + n] = np.where(there, values, low)
+        parts = line.reshape(len(values), -1, size)
+        starts = np.maximum.accumulate(parts, axis=2).reshape(line.shape)
+        ends = np.maximum.accumulate(parts[:, :, ::-1], axis=2)[:, :, ::-1].reshape(line.shape)
+        out = np.maximum(ends[:, :n], starts[:, size - 1 : size - 1 + n])[at]
+        return _mapped(rows, np.ones(len(y), bool), np.where(out == low, 0, out), out != low)
+
+    other = "y" if along == "x" else "x"
+    return _plain(masks).groupBy("image_id", F.floor(F.col(other) / BAND).alias("band")).applyInArrow(run, _schema(masks))
+
+
 def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Of n nodes with links u-v the smallest node of each one's component: roots that are
     linked hang on the smaller one, and paths are shortened, until no link joins two roots."""

@@ -161,6 +161,18 @@ def test_feather_over_tiles_equals_whole_images(spark, monkeypatch, radius, tile
         assert back(out.where(f"image_id = {k}"), v.shape) == plain_feather(v, int(radius)).tolist()
 
 
+@pytest.mark.parametrize("radius", [0, 1, 4, 40])
+def test_dilation_equals_the_largest_of_windows(spark, monkeypatch, radius):
+    monkeypatch.setattr(tiles, "BAND", 4)
+    rng = np.random.default_rng(radius)
+    rasters = {k: rng.integers(0, 256, size) for k, size in enumerate(((11, 17), (1, 30), (16, 3), (1, 1)))}
+    pixels, _ = table(spark, {k: alpha(v) for k, v in rasters.items()})
+    out = compose.dilate(pixels.select("image_id", "y", "x", "a"), radius)
+    for k, v in rasters.items():
+        want = [[int(v[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1].max()) for x in range(v.shape[1])] for y in range(v.shape[0])]
+        assert back(out.where(f"image_id = {k}"), v.shape) == want
+
+
 def test_trim_of_an_empty_image_has_no_pixels(spark):
     pixels, _ = table(spark, {1: alpha([[0, 0]]), 2: alpha([[0, 0, 0], [0, 7, 0]])})
     out, plan = geometry.trim(pixels, 0)
