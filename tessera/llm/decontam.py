@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import in_map, sized_map
-from tessera.llm.words import PLACES, Words, chunked, lowered, mixed, released, signed, slices, split, unused
+from tessera.llm.words import CHUNK, PLACES, Words, chunked, lowered, mixed, released, signed, slices, split, unused
 from tessera.plans.staging import staged
 
 SEED_WORDS = 3
 #: Pairs of a document and an item that may hang on a run that counts as rare.
 RARE = 1000
+#: Bytes of text that a stage looks at together, which takes some 100 times as much memory.
+PIECE = 1 << 18
 #: Least share of an item's words that the best alignment has to score.
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 1, -1, -1
@@ -75,7 +77,7 @@ def _item_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(released(run), "item_id long, item_at int, word long, key long")
 
 
-def _document_seeds(docs: DataFrame, runs: np.ndarray, words: np.ndarray) -> DataFrame:
+def _document_seeds(docs: DataFrame, runs: np.ndarray, words: np.ndarray, chunk: int) -> DataFrame:
     """``key, code, n``: each place of a document where an item's run may start (n is 1), and, without
     a code, how often each word that an item may have occurs in a part of the documents."""
     sent = docs.sparkSession.sparkContext.broadcast((runs, words))
@@ -83,7 +85,7 @@ def _document_seeds(docs: DataFrame, runs: np.ndarray, words: np.ndarray) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, words = sent.value
         for batch in batches:
-            for lo, hi, data, offsets in chunked(lowered(batch.column("text"))):
+            for lo, hi, data, offsets in chunked(lowered(batch.column("text")), chunk):
                 w = split(data, offsets, True)
                 code, row, _ = runs_of(w, SEED_WORDS)
                 hit = in_map(runs, code)
@@ -96,7 +98,7 @@ def _document_seeds(docs: DataFrame, runs: np.ndarray, words: np.ndarray) -> Dat
     return docs.select("text", "code").mapInArrow(released(run), "key long, code long, n long")
 
 
-def _document_words(docs: DataFrame, codes: np.ndarray, words: np.ndarray) -> DataFrame:
+def _document_words(docs: DataFrame, codes: np.ndarray, words: np.ndarray, chunk: int) -> DataFrame:
     """``code, word``: of documents that the one map lets through, the words that the other one does."""
     sent = docs.sparkSession.sparkContext.broadcast((codes, words))
 
@@ -104,7 +106,7 @@ def _document_words(docs: DataFrame, codes: np.ndarray, words: np.ndarray) -> Da
         codes, words = sent.value
         for batch in batches:
             batch = batch.filter(pa.array(in_map(codes, batch.column("code").to_numpy().view(np.uint64))))
-            for lo, _, data, offsets in chunked(lowered(batch.column("text"))):
+            for lo, _, data, offsets in chunked(lowered(batch.column("text")), chunk):
                 w = split(data, offsets, True)
                 hit = np.flatnonzero(in_map(words, w.hash))
                 row, word = w.row[hit], signed(w.hash)[hit]
@@ -117,12 +119,12 @@ def _document_words(docs: DataFrame, codes: np.ndarray, words: np.ndarray) -> Da
     return docs.select("text", "code").mapInArrow(released(run), "code long, word long")
 
 
-def _pairs(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+def _pairs(docs: DataFrame, items: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
     """``code, item_id`` of the pairs that may align: all that share a rare run, and of those that
     share frequent runs only the ones that share enough for the score."""
     words = staged(_item_words(items), "item_words")
     grams = words.where("key is not null").select("item_id", "key")
-    seeds = staged(_document_seeds(docs, sized_map(grams.select("key").distinct()), sized_map(words.select(F.col("word").alias("key")).distinct())), "document_seeds")
+    seeds = staged(_document_seeds(docs, sized_map(grams.select("key").distinct()), sized_map(words.select(F.col("word").alias("key")).distinct()), chunk), "document_seeds")
     hits = seeds.where("code is not null").select("key", "code")
     holders = grams.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("items"))
     keys = staged(hits.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).join(holders, "key").select("key", (F.col("docs") * F.col("items") > RARE).alias("frequent")), "keys")
@@ -144,7 +146,7 @@ def _pairs(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     matched = lambda share: F.ceil(F.col("length") * share - 1e-9)
     needed = F.greatest(matched(least), matched(2 * least) - F.least(F.pow(F.lit(2), "tier"), "runs").cast("long") - 2)
     signs = staged(ranked.where(F.col("rank") <= F.col("length") - needed + 1).select("word", "tier", "item_id").distinct(), "signs")
-    texts = _document_words(docs, sized_map(owners.select(F.col("code").alias("key"))), sized_map(signs.select(F.col("word").alias("key")).distinct()))
+    texts = _document_words(docs, sized_map(owners.select(F.col("code").alias("key"))), sized_map(signs.select(F.col("word").alias("key")).distinct()), chunk)
     others = texts.join(owners, "code").join(signs, ["word", "tier"]).select("code", "item_id")
     return staged(found.union(others).distinct(), "pairs")
 
@@ -192,7 +194,7 @@ def shared_diagonals(item: np.ndarray, text: np.ndarray) -> list[int]:
     return np.unique(order[at] - np.repeat(np.arange(len(item)), many)).tolist()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, chunk: int = CHUNK) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> ``code, doc_id, item_id, score,
     first_word, end_word``, a row for each document row and item it holds.
 
@@ -205,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
     give no rows; other columns are ignored."""
     docs = _with_code(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    pairs = _pairs(docs, items, least)
+    pairs = _pairs(docs, items, least, chunk)
     wanted = docs.sparkSession.sparkContext.broadcast(sized_map(pairs.select(F.col("code").alias("key")).distinct()))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
     code = unused(docs.columns, "__decontam_code")
-    bad = staged(contaminated(docs, benchmark, least).select(F.col("code").alias(code)).distinct(), "contaminated")
+    bad = staged(contaminated(docs, benchmark, least, PIECE).select(F.col("code").alias(code)).distinct(), "contaminated")
     keyed = docs.withColumn(code, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(bad, code, "left_anti").drop(code)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.words import chunked, released, utf8
+from tessera.llm.words import CHUNK, chunked, released, utf8
 
 DIMENSIONS = 512
 SEED = 70707
@@ -133,7 +133,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
-def learn(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED, chunk: int = CHUNK) -> tuple[list[str], np.ndarray]:
     """Prototypes from ``docs(text, lang)``: the names, sorted, and a unit row each.
 
     Rows without a text, a letter or a lang teach nothing. Each task sums its
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> tu
         tool, sums = sequences(dimensions, seed), {}
         for batch in batches:
             langs = np.asarray(batch.column("lang").to_pylist(), object)
-            for lo, _, data, offsets in chunked(batch.column("text")):
+            for lo, _, data, offsets in chunked(batch.column("text"), chunk):
                 for a, b, x, letters in tool.blocks(data, offsets):
                     own, x = langs[lo + a : lo + b], _unit(x)
                     for lang in set(own[letters].tolist()):
@@ -206,6 +206,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: apart from 0, so of texts with letters only odd ones go: of 61,282 in two test tables none, the
 #: least score of a text (of ten characters) being 0.029.
 LEAST_SCORE = 0.02
+#: Bytes of text that a stage looks at together, which takes some 250 times as much memory.
+PIECE = 1 << 18
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -213,13 +215,13 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 
     Rows pass or go with their own text, also where doc_ids repeat or are null. Where nothing
     was learned, each text with a letter passes."""
-    names, prototypes = learn(docs.where(fold(F.col("doc_id")) != 1))
+    names, prototypes = learn(docs.where(fold(F.col("doc_id")) != 1), chunk=PIECE)
     dimensions, schema = prototypes.shape[1], docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = sequences(dimensions, SEED)
         for batch in batches:
-            for lo, hi, data, offsets in chunked(batch.column("text")):
+            for lo, hi, data, offsets in chunked(batch.column("text"), PIECE):
                 for a, b, x, letters in tool.blocks(data, offsets):
                     good = letters & ((_unit(x) @ prototypes.T).max(axis=1) >= least) if names else letters
                     yield batch.slice(lo + a, b - a).filter(pa.array(good))

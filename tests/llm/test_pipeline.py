@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.llm.test_operators import DOCS, EDGE, prose, row
 
 import corpus_pipeline
+from tessera.llm.words import small_batches
 
 STAGES = dict(corpus_pipeline.STAGES)
 CLASHING = ["component_id", "kept", "class_id", "values", "size", "code", "spans", "found", "added", "lang_pred", "ids", "item_id", "node", "u", "v", "key", "uid", "__pii_key", "__near_dup_id", "__decontam_code"]
@@ -55,3 +56,15 @@ def test_tables_without_rows(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_batches_are_made_small_but_not_larger(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for set_, want in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(name, set_)
+            small_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
