@@ -20,7 +20,11 @@ group is settled by as many comparisons as it has members. Where a bucket's memb
 are then in different components, they are compared across components: all pairs in a
 bucket of up to ``SMALL`` members, in a larger one each member with further centres (two
 of the bucket, and one of those that share another value too), in rounds until one
-brings no link. So the comparisons grow with the members, not with their squares."""
+brings no link. So the comparisons grow with the members, not with their squares.
+
+What is then still apart in large buckets gets an exact pass (:func:`_by_rarest`): two sequences that
+reach the similarity share one of their rarest shingles, so only members of different components
+that share such a one are compared, and no pair of a bucket is left out."""
 
 from __future__ import annotations
 
@@ -217,11 +221,35 @@ def _with_centre(member: DataFrame, by: list[str], order: Column, least: float)
 
 
 def _all_pairs(member: DataFrame, least: float) -> DataFrame:
-    """Pairs of members of a bucket in different components; a bucket has few members."""
+    """Pairs of members of a bucket in different components."""
     a, b = member.select("key", F.col("v").alias("u"), F.col("c").alias("ca"), F.col("size").alias("u_size")), member.select("key", "v", F.col("c").alias("cb"), "size")
     return a.join(b, "key").where("ca <> cb and u < v").where(_alike("size", "u_size", least)).select("u", "v")
 
 
+def _by_rarest(member: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs of members (``v, c, size``) in different components that can reach the similarity.
+
+    Of ``m`` shingles at least ``least * m`` are shared, whatever the other's number. With all
+    shingles in one order, rare ones first, two such sequences share one among the first
+    ``m - ceil(least * m) + 1`` of each. Those rare ones join them; one that a single component
+    has joins none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            labels = [signed(_labels(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(labels, pa.list_(pa.int64()))], ["v", "labels"])
+
+    held = member.select("v").join(texts.select(F.col("doc_id").alias("v"), "text"), "v").mapInArrow(released(run), "v long, labels array<long>")
+    held = staged(held.select("v", F.explode("labels").alias("label")), "shingles")
+    counts = held.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ordered = held.join(counts, "label").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "label"))).alias("s"))
+    first = F.size("s") - F.ceil(F.size("s") * F.lit(least) - F.lit(1e-9)) + 1
+    rare = ordered.select("v", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("s")).select("v", F.col("s.label").alias("key"))
+    rare = staged(rare.join(member, "v"), "rarest")
+    across = rare.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    return _all_pairs(rare.join(across, "key"), least)
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, digest, class_id, component_id, kept``, a row per row.
 
@@ -258,6 +286,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if more.isEmpty():
             break
         tested, found = tested.union(near), _merged(found, more)
+    apart = staged(large.select("v", "c", "size").distinct(), "apart")
+    if not apart.isEmpty():
+        rest = staged(_by_rarest(apart, texts, least).distinct().join(tested.union(near), ["u", "v"], "left_anti"), "pairs")
+        more = staged(_verified(rest, texts, least), "links")
+        if not more.isEmpty():
+            found = _merged(found, more)
     placed = rows.select("doc_id", "digest", F.col("values").isNotNull().alias("live")).join(classes, "digest", "left")
     own = F.when(F.col("live") & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
     placed = placed.select("doc_id", "digest", own.alias("class_id"))

@@ -60,3 +60,18 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     assert len(set(want)) < 60 and lost <= 0.03 * len(texts)
     # nothing is joined that isn't linked
     assert all(want[i] == want[got[i]] for i in range(len(texts)))
+
+
+def test_large_bucket_that_no_centre_settles_is_compared_whole(spark, monkeypatch):
+    """Pairs of like texts in one bucket, unlike all others: further centres alone find few of them."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "_with_centre", lambda member, *_: member.selectExpr("v as u", "v").limit(0))
+    bucket = near_dup._buckets
+    monkeypatch.setattr(near_dup, "_buckets", lambda firsts: bucket(firsts.withColumn("values", near_dup.F.transform("values", lambda _: near_dup.F.lit(7).cast("long")))))
+    texts = []
+    for k in range(30):
+        words = prose(9700 + k, 60).split()
+        texts += [" ".join(words), " ".join([*words[:-1], f"end{k}"])]
+    frame = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts) == [i - i % 2 for i in range(len(texts))]
