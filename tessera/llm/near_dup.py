@@ -23,8 +23,8 @@ of the bucket, and one of those that share another value too), in rounds until o
 brings no link. So the comparisons grow with the members, not with their squares.
 
 What is then still apart in large buckets gets an exact pass (:func:`_by_rarest`): two sequences that
-reach the similarity share one of their rarest shingles, so only members of different components
-that share such a one are compared, and no pair of a bucket is left out."""
+reach the similarity share one of their rarest shingles, at places that their numbers of shingles tell, so
+only members of different components that share one there are compared, and no pair of a bucket is left out."""
 
 from __future__ import annotations
 
@@ -47,6 +47,8 @@ SKETCHES, TAKEN = 32, 5
 #: Members of a bucket that are compared in all pairs, and sketches between a value and the
 #: other one that parts a large bucket.
 SMALL, BETWEEN = 32, 7
+#: Classes of sizes for each factor of e, where members are joined by their rarest shingles.
+SIZES = 20
 #: Numbers of shingles of the texts that have values beside their sketches.
 SHORT = range(4, 11)
 _FACTORS = np.random.default_rng(40404).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,25 +231,46 @@ def _all_pairs(member: DataFrame, least: float) -> DataFrame:
 def _by_rarest(member: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs of members (``v, c, size``) in different components that can reach the similarity.
 
-    Of ``m`` shingles at least ``least * m`` are shared, whatever the other's number. With all
-    shingles in one order, rare ones first, two such sequences share one among the first
-    ``m - ceil(least * m) + 1`` of each. Those rare ones join them; one that a single component
-    has joins none."""
+    Sequences of ``m`` and ``n`` shingles reach it with ``need(m, n)`` aligned ones. With all shingles
+    in one order, rare ones first, the first that is aligned has at least ``need(m, n) - 1`` behind it in
+    both, so its place is at most ``m - need(m, n)`` in one and ``n - need(m, n)`` in the other: a ninth of
+    the shingles where sizes are equal, a fifth of the longer one at most. Copies of one text with too many edits
+    to be linked have only edits in those places, not the shingles that all of the group have.
+
+    The shorter of two has places for partners of its own size at least (``held``), the longer one for each
+    class of sizes that it can be joined with (``asked``). Members of a component that have a shingle
+    at the same place and the same size are one row of the join; a shingle of one component joins none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             labels = [signed(_labels(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(labels, pa.list_(pa.int64()))], ["v", "labels"])
-
-    held = member.select("v").join(texts.select(F.col("doc_id").alias("v"), "text"), "v").mapInArrow(released(run), "v long, labels array<long>")
-    held = staged(held.select("v", F.explode("labels").alias("label")), "shingles")
-    counts = held.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    ordered = held.join(counts, "label").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "label"))).alias("s"))
-    first = F.size("s") - F.ceil(F.size("s") * F.lit(least) - F.lit(1e-9)) + 1
-    rare = ordered.select("v", F.explode(F.slice("s", F.lit(1), first.cast("int"))).alias("s")).select("v", F.col("s.label").alias("key"))
-    rare = staged(rare.join(member, "v"), "rarest")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("v", "c", "size")), pa.array(labels, pa.list_(pa.int64()))], ["v", "c", "size", "labels"])
+
+    def need(m: Column, n: Column, scale: float = least / (1 + least)) -> Column:
+        return F.ceil((m + n) * F.lit(scale) - F.lit(2e-9))
+
+    def sizes(m: Column) -> Column:
+        return F.floor(F.log(F.greatest(m, F.lit(1.0))) * F.lit(SIZES)).cast("int")
+
+    labels = member.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").select("v", "c", "size", "text").mapInArrow(released(run), "v long, c long, size long, labels array<long>")
+    labels = staged(labels.select("v", "c", "size", F.explode("labels").alias("label")), "shingles")
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("times"))
+    ordered = labels.join(counts, "label").groupBy("v", "c", "size").agg(F.sort_array(F.collect_list(F.struct("times", "label"))).alias("s"))
+    size, place = F.col("size"), F.col("place")
+    first = size - F.ceil(size * F.lit(least) - F.lit(2e-9)) + 1
+    rare = ordered.select("v", "c", "size", F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("place", "s"))
+    rare = staged(rare.select(F.col("s.label").alias("key"), "place", "size", "c", "v"), "rarest")
     across = rare.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    return _all_pairs(rare.join(across, "key"), least)
+    rare = rare.join(across, "key").groupBy("key", "place", "size", "c").agg(F.collect_list("v").alias("v"))
+    held = rare.where(place <= size - need(size, size)).withColumn("sizes", sizes(size))
+    most = F.least(size + F.lit(0.0), (size - place) * F.lit((1 + least) / least) - size + F.lit(1e-6))
+    asked = rare.withColumns({"lo": F.ceil(size * F.lit(least) - F.lit(2e-9)), "hi": most}).where("lo <= hi").withColumn("sizes", F.explode(F.sequence(sizes(F.col("lo")), sizes(F.col("hi"))))).drop("lo", "hi")
+    held, asked = (side.select("key", "sizes", *(F.col(k).alias(f"{name}_{k}") for k in ("place", "size", "c", "v"))) for side, name in ((held, "a"), (asked, "b")))
+    m, n = F.col("a_size"), F.col("b_size")
+    both = held.join(asked, ["key", "sizes"]).where("a_c <> b_c and (a_size < b_size or a_size = b_size and a_c < b_c)")
+    both = both.where((F.col("a_place") <= m - need(m, n)) & (F.col("b_place") <= n - need(m, n))).where(_alike("a_size", "b_size", least))
+    pairs = both.select(F.explode("a_v").alias("a"), "b_v").select("a", F.explode("b_v").alias("b"))
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

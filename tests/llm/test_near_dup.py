@@ -75,3 +75,29 @@ def test_large_bucket_that_no_centre_settles_is_compared_whole(spark, monkeypatc
     frame = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCS)
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame).collect()}
     assert [got[i] for i in range(len(texts))] == components(texts) == [i - i % 2 for i in range(len(texts))]
+
+
+def test_rarest_shingles_make_few_pairs_of_a_group_and_lose_none(spark):
+    """Copies with edits around one text, most of them too far from each other, and further copies of some."""
+    draw, texts = np.random.default_rng(11), []
+    base = prose(9900, 200).split()
+    for k in range(120):
+        words = list(base)
+        for at in draw.choice(200, 5 + k % 4, replace=False):
+            words[at] = f"edit{k}x{at}"
+        words = words[: 200 - k % 7]
+        texts.append(" ".join(words))
+        if k % 10 == 0:
+            longer = [*words, *(f"more{k}x{j}" for j in range(k % 40))]
+            texts.append(" ".join(longer))
+    labels = [near_dup._labels(t) for t in texts]
+    member = spark.createDataFrame([(i, i, len(s)) for i, s in enumerate(labels)], "v long, c long, size long")
+    frame = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCS).select("doc_id", "text")
+    rows = [tuple(r) for r in near_dup._by_rarest(member, frame, 0.8).collect()]
+    linked = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if near_dup.similarity(labels[i], labels[j]) > 0}
+    assert len(linked) >= 9 and linked <= set(rows)
+    # all pairs of the group would be 8,646
+    assert len(set(rows)) <= 1000
+    # a component's own pairs are none
+    together = member.selectExpr("v", "0L as c", "size")
+    assert near_dup._by_rarest(together, frame, 0.8).isEmpty()
