@@ -49,6 +49,8 @@ SKETCHES, TAKEN = 32, 5
 SMALL, BETWEEN = 32, 7
 #: Classes of sizes for each factor of e, where members are joined by their rarest shingles.
 SIZES = 20
+#: Counts of shingles in the table by which these are ranked (8 MB at most).
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 21
 #: Numbers of shingles of the texts that have values beside their sketches.
 SHORT = range(4, 11)
 _FACTORS = np.random.default_rng(40404).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,6 +230,10 @@ def _all_pairs(member: DataFrame, least: float) -> DataFrame:
     return a.join(b, "key").where("ca <> cb and u < v").where(_alike("size", "u_size", least)).select("u", "v")
 
 
+def _slots(labels: np.ndarray, slots: int) -> np.ndarray:
+    return (labels & np.uint64(slots - 1)).view(np.int64)
+
+
 def _by_rarest(member: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs of members (``v, c, size``) in different components that can reach the similarity.
 
@@ -237,14 +243,38 @@ def _by_rarest(member: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     the shingles where sizes are equal, a fifth of the longer one at most. Copies of one text with too many edits
     to be linked have only edits in those places, not the shingles that all of the group have.
 
-    The shorter of two has places for partners of its own size at least (``held``), the longer one for each
+    Any one order serves; rare is what a table of counts of bounded size, which
+    shingles may share a count in, takes for rare.
+
+    The shorter of two has places for partners of its own size at least (``mine``), the longer one for each
     class of sizes that it can be joined with (``asked``). Members of a component that have a shingle
     at the same place and the same size are one row of the join; a shingle of one component joins none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = staged(member.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").select("v", "c", "size", "text"), "apart_texts")
+    slots = LEAST_SLOTS
+    while slots < min(held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], MOST_SLOTS):
+        slots *= 2
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            slot, times = np.unique(np.concatenate([_slots(_labels(t), slots) for t in batch.column("text").to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(times)], ["slot", "times"])
+
+    counts, times = held.mapInArrow(released(counted), "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow(), np.zeros(slots, np.int32)
+    times[counts["slot"].to_numpy()] = np.minimum(counts["times"].to_numpy(), np.iinfo(np.int32).max)
+    sent = held.sparkSession.sparkContext.broadcast(times)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            labels = [signed(_labels(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("v", "c", "size")), pa.array(labels, pa.list_(pa.int64()))], ["v", "c", "size", "labels"])
+            keys = []
+            for t in batch.column("text").to_pylist():
+                labels = _labels(t)
+                first = len(labels) - int(np.ceil(len(labels) * least - 2e-9)) + 1
+                keys.append(labels[np.lexsort((labels, sent.value[_slots(labels, slots)]))[:first]])
+            many = np.array([len(k) for k in keys])
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            of = pa.array(np.repeat(np.arange(len(keys)), many))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(place), *(batch.column(c).take(of) for c in ("size", "c", "v"))], ["key", "place", "size", "c", "v"])
 
     def need(m: Column, n: Column, scale: float = least / (1 + least)) -> Column:
         return F.ceil((m + n) * F.lit(scale) - F.lit(2e-9))
@@ -252,22 +282,16 @@ def _by_rarest(member: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     def sizes(m: Column) -> Column:
         return F.floor(F.log(F.greatest(m, F.lit(1.0))) * F.lit(SIZES)).cast("int")
 
-    labels = member.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").select("v", "c", "size", "text").mapInArrow(released(run), "v long, c long, size long, labels array<long>")
-    labels = staged(labels.select("v", "c", "size", F.explode("labels").alias("label")), "shingles")
-    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("times"))
-    ordered = labels.join(counts, "label").groupBy("v", "c", "size").agg(F.sort_array(F.collect_list(F.struct("times", "label"))).alias("s"))
     size, place = F.col("size"), F.col("place")
-    first = size - F.ceil(size * F.lit(least) - F.lit(2e-9)) + 1
-    rare = ordered.select("v", "c", "size", F.posexplode(F.slice("s", F.lit(1), first.cast("int"))).alias("place", "s"))
-    rare = staged(rare.select(F.col("s.label").alias("key"), "place", "size", "c", "v"), "rarest")
+    rare = staged(held.mapInArrow(released(ranked), "key long, place long, size long, c long, v long"), "rarest")
     across = rare.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     rare = rare.join(across, "key").groupBy("key", "place", "size", "c").agg(F.collect_list("v").alias("v"))
-    held = rare.where(place <= size - need(size, size)).withColumn("sizes", sizes(size))
+    mine = rare.where(place <= size - need(size, size)).withColumn("sizes", sizes(size))
     most = F.least(size + F.lit(0.0), (size - place) * F.lit((1 + least) / least) - size + F.lit(1e-6))
     asked = rare.withColumns({"lo": F.ceil(size * F.lit(least) - F.lit(2e-9)), "hi": most}).where("lo <= hi").withColumn("sizes", F.explode(F.sequence(sizes(F.col("lo")), sizes(F.col("hi"))))).drop("lo", "hi")
-    held, asked = (side.select("key", "sizes", *(F.col(k).alias(f"{name}_{k}") for k in ("place", "size", "c", "v"))) for side, name in ((held, "a"), (asked, "b")))
+    mine, asked = (side.select("key", "sizes", *(F.col(k).alias(f"{name}_{k}") for k in ("place", "size", "c", "v"))) for side, name in ((mine, "a"), (asked, "b")))
     m, n = F.col("a_size"), F.col("b_size")
-    both = held.join(asked, ["key", "sizes"]).where("a_c <> b_c and (a_size < b_size or a_size = b_size and a_c < b_c)")
+    both = mine.join(asked, ["key", "sizes"]).where("a_c <> b_c and (a_size < b_size or a_size = b_size and a_c < b_c)")
     both = both.where((F.col("a_place") <= m - need(m, n)) & (F.col("b_place") <= n - need(m, n))).where(_alike("a_size", "b_size", least))
     pairs = both.select(F.explode("a_v").alias("a"), "b_v").select("a", F.explode("b_v").alias("b"))
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
