@@ -5,6 +5,8 @@ import pytest
 
 from __spark_entry__ import queries
 from tessera.operators import compose, geometry, resample, tiles
+from tessera.plans import fixtures
+from tessera.sources import files
 
 from tests.test_rasters import back, matrix, table
 
@@ -107,3 +109,21 @@ def test_padding_mirrors_again_and_again(spark, multiple):
         want = np.pad(v, ((0, r["height"] - v.shape[0]), (0, r["width"] - v.shape[1]), (0, 0)), "symmetric")
         for k, c in enumerate("rgba"):
             assert back(out.where(f"image_id = {r['image_id']}"), want.shape[:2], c) == want[..., k].tolist()
+
+
+@pytest.mark.parametrize("name", ["files_listed", "images_written_and_read"])
+def test_many_files_are_read_folder_by_folder(spark, sf, monkeypatch, name):
+    seen, load = [], files.read_images
+
+    def read(spark, path):
+        good, bad = load(spark, path)
+        seen.append(len(set(good.inputFiles())))
+        return good, bad
+
+    monkeypatch.setattr(fixtures, "FOLDER_FILES", 60)
+    monkeypatch.setattr(files, "read_images", read)
+    out = queries()[name](spark, sf)
+    assert len(seen) == 4 and sum(seen) == 200 and not any(f.endswith(".png") for f in out.inputFiles())
+    assert out.count() == (200 if name == "files_listed" else 196)
+    if name == "files_listed":
+        assert out.where("readable = (p_partkey % 50 <> 7) and short = (p_partkey % 50 = 7)").count() == 200
