@@ -244,7 +244,8 @@ def _by_rarest(member: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     to be linked have only edits in those places, not the shingles that all of the group have.
 
     Any one order serves; rare is what a table of counts of bounded size, which
-    shingles may share a count in, takes for rare.
+    shingles may share a count in, takes for rare. Shingles whose count is of one component's members only, as
+    are those of an edit that no other text has, keep their place but are no rows.
 
     The shorter of two has places for partners of its own size at least (``mine``), the longer one for each
     class of sizes that it can be joined with (``asked``). Members of a component that have a shingle
@@ -257,24 +258,31 @@ def _by_rarest(member: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            slot, times = np.unique(np.concatenate([_slots(_labels(t), slots) for t in batch.column("text").to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(times)], ["slot", "times"])
-
-    counts, times = held.mapInArrow(released(counted), "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow(), np.zeros(slots, np.int32)
-    times[counts["slot"].to_numpy()] = np.minimum(counts["times"].to_numpy(), np.iinfo(np.int32).max)
+            own = [_slots(_labels(t), slots) for t in batch.column("text").to_pylist()]
+            c = np.repeat(batch.column("c").to_numpy(), [len(x) for x in own])
+            own = np.concatenate(own)
+            order = np.lexsort((c, own))
+            slot, start, times = np.unique(own[order], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot, times, c[order][start], c[order][start + times - 1])], ["slot", "times", "c0", "c1"])
+
+    counts = held.mapInArrow(released(counted), "slot long, times long, c0 long, c1 long").groupBy("slot").agg(F.sum("times").alias("times"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    counts, times = counts.select("slot", F.when(F.col("c0") < F.col("c1"), F.col("times")).otherwise(-F.col("times")).alias("times")).toArrow(), np.zeros(slots, np.int32)
+    # a count of one component's is negative
+    times[counts["slot"].to_numpy()] = np.clip(counts["times"].to_numpy(), -np.iinfo(np.int32).max, np.iinfo(np.int32).max)
     sent = held.sparkSession.sparkContext.broadcast(times)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys = []
+            keys, places = [], []
             for t in batch.column("text").to_pylist():
                 labels = _labels(t)
                 first = len(labels) - int(np.ceil(len(labels) * least - 2e-9)) + 1
-                keys.append(labels[np.lexsort((labels, sent.value[_slots(labels, slots)]))[:first]])
-            many = np.array([len(k) for k in keys])
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            of = pa.array(np.repeat(np.arange(len(keys)), many))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(place), *(batch.column(c).take(of) for c in ("size", "c", "v"))], ["key", "place", "size", "c", "v"])
+                times = sent.value[_slots(labels, slots)]
+                order = np.lexsort((labels, np.abs(times)))[:first]
+                places.append(np.flatnonzero(times[order] > 0))
+                keys.append(labels[order[places[-1]]])
+            of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(places)), *(batch.column(c).take(of) for c in ("size", "c", "v"))], ["key", "place", "size", "c", "v"])
 
     def need(m: Column, n: Column, scale: float = least / (1 + least)) -> Column:
         return F.ceil((m + n) * F.lit(scale) - F.lit(2e-9))

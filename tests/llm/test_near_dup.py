@@ -101,3 +101,18 @@ def test_rarest_shingles_make_few_pairs_of_a_group_and_lose_none(spark):
     # a component's own pairs are none
     together = member.selectExpr("v", "0L as c", "size")
     assert near_dup._by_rarest(together, frame, 0.8).isEmpty()
+
+
+def test_ranked_shingles_of_one_component_are_no_rows(spark, monkeypatch):
+    """Edits that no other text has keep their places, but only shingles that two components have go on."""
+    made, stage = {}, near_dup.staged
+    monkeypatch.setattr(near_dup, "staged", lambda df, name, *more: made.setdefault(name, stage(df, name, *more)))
+    base = prose(9950, 100).split()
+    texts = [" ".join([*base[:50], f"edit{k}", *base[51:]]) for k in range(40)]
+    member = spark.createDataFrame([(i, i, len(near_dup._labels(t))) for i, t in enumerate(texts)], "v long, c long, size long")
+    frame = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DOCS).select("doc_id", "text")
+    near_dup._by_rarest(member, frame, 0.8).collect()
+    # of the 20 rarest shingles of a text 5 are its own (4 or more after hashes that fall together)
+    first = [len(s) - int(np.ceil(len(s) * 0.8 - 2e-9)) + 1 for s in map(near_dup._labels, texts)]
+    assert made["rarest"].count() <= sum(first) - 4 * len(texts)
+    assert made["rarest"].groupBy("key").count().where("count < 2").isEmpty()
